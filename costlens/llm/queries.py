@@ -9,6 +9,7 @@ MODULES = {
     "op1_minhash": "op1_minhash",
     "op7_token_counts": "op7_token_counts",
     "op8_decontaminate": "op8_decontaminate",
+    "op9_substrings": "op9_substrings",
 }
 
 
