@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module of this subpackage; each has query(spark, sf_dir), and ORACLE_SQL where SQL can express it.
 MODULES = {
     "op1_minhash": "op1_minhash",
+    "op6_language": "op6_language",
     "op7_token_counts": "op7_token_counts",
     "op8_decontaminate": "op8_decontaminate",
     "op9_substrings": "op9_substrings",
