@@ -210,6 +210,13 @@ def languages(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
     return out.select(*keep, F.when(sure, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(sure, F.col("score")).otherwise(0.0).alias("score"), "spans")
 
 
+def keep_known(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` whose language is one that the model knows, all columns as they were."""
+    rest = [c for c in docs.columns if c != "text"]
+    told = languages(docs.withColumn("_whole", F.col("text")), model, *rest, "_whole")
+    return told.filter("lang_pred <> 'und'").withColumnRenamed("_whole", "text").select(*docs.columns)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id's digits is a multiple of 5; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0

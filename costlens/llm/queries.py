@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name -> module of this subpackage; each has query(spark, sf_dir), and ORACLE_SQL where SQL can express it.
 MODULES = {
     "op1_minhash": "op1_minhash",
+    "op10_url_rules": "op10_url_rules",
+    "op3_quality": "op3_quality",
     "op5_sentencepiece": "op5_sentencepiece",
     "op6_language": "op6_language",
     "op7_token_counts": "op7_token_counts",
