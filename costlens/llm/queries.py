@@ -9,6 +9,7 @@ MODULES = {
     "op1_minhash": "op1_minhash",
     "op10_url_rules": "op10_url_rules",
     "op3_quality": "op3_quality",
+    "op4_posting_lists": "op4_posting_lists",
     "op5_sentencepiece": "op5_sentencepiece",
     "op6_language": "op6_language",
     "op7_token_counts": "op7_token_counts",
