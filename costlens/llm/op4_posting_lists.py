@@ -2,7 +2,7 @@
 
 Equal vectors are one entry with their smallest ids, so a vector that fills a third of the table is one
 entry too. Centroids are fitted on a bounded sample; every entry goes to the list of its nearest
-centroid and, near a border, to those of further ones (closure with the relative-neighbour rule). A
+centroid and, near a border, to those of all others at nearly that distance. A
 query walks a neighbour graph of the centroids in memory, opens the lists whose centroid is within a ratio of
 the nearest one's distance, and is compared with all of their entries. Lists and queries that meet at a
 list are dealt into blocks of bounded size, so a long list is more tasks, not a longer one. Inner
@@ -25,9 +25,9 @@ from .common import cut, table
 #: Vectors that the centroids are fitted on (least hash first), entries that a list should have, and most lists.
 SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 200, 4096
 #: An entry goes to lists within this ratio of its nearest distance; a query opens lists within that one.
-CLOSURE, OPEN = 1.10, 1.28
-#: Neighbours of a centroid in the graph, and how many candidates its search keeps.
-DEGREE, BEAM = 24, 96
+CLOSURE, OPEN = 1.02, 1.17
+#: Neighbours of a centroid in the graph, and how many of its nodes a search expands at least.
+DEGREE, BEAM = 24, 32
 #: Entries, and queries, of one block of a list.
 BLOCK = 4096
 NEAREST = 20
@@ -67,7 +67,6 @@ class CentroidGraph:
     def __init__(self, centroids: np.ndarray):
         self.c = centroids
         apart = _distances(centroids, centroids)
-        self.apart = apart
         self.links = np.argsort(apart, 1, kind="stable")[:, 1 : DEGREE + 1]
         entry = [0]
         for _ in range(min(7, len(centroids) - 1)):
@@ -76,27 +75,26 @@ class CentroidGraph:
 
     def near(self, q: np.ndarray, ratio: float) -> list[int]:
         """Centroids within ``ratio`` of the nearest distance found."""
-        seen, open_, best = set(self.entry), [], []
+        seen, open_, found = set(self.entry), [], []
         for i in self.entry:
             d = float(np.sqrt(((self.c[i] - q) ** 2).sum()))
             heappush(open_, (d, i))
-            heappush(best, (-d, i))
+            found.append((d, i))
+        least, expanded = min(found)[0], 0
         while open_:
             d, i = heappop(open_)
-            if len(best) >= BEAM and d > -best[0][0]:
-                break
+            expanded += 1
+            if expanded > BEAM and d > ratio * least:
+                break  # what is left leads on from centroids that are too far themselves
             fresh = [j for j in self.links[i].tolist() if j not in seen]
-            seen.update(fresh)
             if fresh:
+                seen.update(fresh)
                 far = np.sqrt(((self.c[fresh] - q) ** 2).sum(1)).tolist()
                 for e, j in zip(far, fresh, strict=True):
-                    if len(best) < BEAM or e < -best[0][0]:
-                        heappush(open_, (e, j))
-                        heappush(best, (-e, j))
-                        if len(best) > BEAM:
-                            heappop(best)
-        least = min(-d for d, _ in best)
-        return sorted(j for d, j in best if -d <= ratio * least + 1e-12)
+                    heappush(open_, (e, j))
+                    found.append((e, j))
+                least = min(least, min(far))
+        return sorted(j for d, j in found if d <= ratio * least + 1e-12)
 
 
 def _post(shared, width: int):
@@ -106,28 +104,18 @@ def _post(shared, width: int):
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 d = _distances(_lifted(_matrix(part.column(1), width), largest), graph.c)
-                order = np.argsort(d, 1, kind="stable")[:, :64]
-                rows, lists = [], []
-                for i, ranked in enumerate(order):
-                    chosen = [int(ranked[0])]
-                    for j in ranked[1:]:
-                        if d[i, j] > CLOSURE * d[i, ranked[0]]:
-                            break
-                        if (graph.apart[j, chosen] > d[i, j]).all():  # else a chosen centroid stands between
-                            chosen.append(int(j))
-                    rows += [i] * len(chosen)
-                    lists += chosen
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["list", "rep", "vec"])
+                rows, lists = np.nonzero(d <= CLOSURE * d.min(1, keepdims=True) + 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["list", "rep", "vec"])
 
     return run
 
 
 def _probe(shared, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, _ = shared.value
+        graph, largest = shared.value
         for batch in batches:
             q = _matrix(batch.column(1), width)
-            q = q / np.maximum(1e-300, np.sqrt((q * q).sum(1)))[:, None] * np.sqrt(np.median((graph.c * graph.c).sum(1)))
+            q = q / np.maximum(1e-300, np.sqrt((q * q).sum(1)))[:, None] * np.sqrt(largest)
             found = [graph.near(np.append(x, 0.0), OPEN) for x in q]
             rows = pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([pa.array([j for f in found for j in f], pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["list", "query", "vec"])
