@@ -4,8 +4,9 @@ Plan: a map stage turns each text into the digest of its set of 5-word shingles,
 sketch and 32 band keys made from 128 universal hash minima. Documents with equal digests
 meet in one pre-aggregated group, so any number of copies costs one node. Nodes that share
 a band bucket are compared with the bucket's best connected node, not with each other; a
-sketch test and then the exact sets confirm each link. Buckets that still hold several
-components afterwards have the remaining pairs across those components confirmed too, so a
+sketch test and then the exact sets confirm each link. In buckets that still hold several
+components afterwards, pairs across those components are tested by larger odd sketches, which
+rule out only pairs that can't be similar enough, and the rest are confirmed too; so a
 link is lost only if no band agrees (4e-6 at a similarity of 0.75) or the sketch differs in over
 40 of 128 bits (under 1e-9 there). Components are closed by large-star and small-star rounds.
 """
@@ -103,6 +104,21 @@ def _shingle_sets(width: int):
     return run
 
 
+def _odd_sketches(width: int):
+    """Parity of the number of shingles at each of 4096 places: two sets differ in at least as many shingles as places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, sizes, hashes in _sets(batch.column(1), width):
+                ends = np.cumsum(sizes)
+                place = (hashes >> np.uint64(52)).astype(np.int64)
+                odd = [np.packbits((np.bincount(place[e - n : e], minlength=4096) & 1).astype(np.uint8)).view(np.int64) for n, e in zip(sizes, ends, strict=True)]
+                flat = np.concatenate(odd) if odd else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), pa.array(sizes), W.list_column(flat, np.full(len(sizes), 64), pa.int64())], names=["node", "size", "odd"])
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough; the sketch test comes first."""
     pairs = cut(pairs, "pairs")
@@ -151,9 +167,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
     at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     open_ = cut(at.join(open_keys, "key").select("key", "node", "s1", "s2", "component"), "open")
-    other = open_.select("key", F.col("node").alias("c"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("component").alias("other"))
-    rest = open_.join(other, "key").filter((F.col("node") < F.col("c")) & (F.col("component") != F.col("other")) & near)
-    rest = rest.select(*pair).distinct().join(starred, ["a", "b"], "left_anti")
+    # |A| + |B| bounds how far sets that are similar enough can differ, and odd sketches how little they do: this loses none
+    odd = semi(by_node, open_.select("node").distinct(), "node").mapInArrow(_odd_sketches(width), "node long, size long, odd array<long>")
+    open_ = cut(open_.join(odd, "node"), "open-sketches")
+    other = open_.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "s1", "s2", "component", "size", "odd")))
+    apart = F.expr("aggregate(zip_with(odd, odd_, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)")
+    cheap = F.bit_count(F.expr("s1 ^ s1_")) + F.bit_count(F.expr("s2 ^ s2_")) <= SKETCH_BITS
+    close = apart * (100 + percent) <= (F.col("size") + F.col("size_")) * (100 - percent)
+    rest = open_.join(other, "key").filter((F.col("node") < F.col("node_")) & (F.col("component") != F.col("component_")) & cheap & close)
+    rest = rest.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
     rest = cut(rest, "rest-pairs")
     if not rest.isEmpty():
         links = links.union(_confirmed(rest, sketches, by_node, width, percent))
