@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_minhash": "op1_minhash",
     "op10_url_rules": "op10_url_rules",
+    "op2_licenses": "op2_licenses",
     "op3_quality": "op3_quality",
     "op4_posting_lists": "op4_posting_lists",
     "op5_sentencepiece": "op5_sentencepiece",
