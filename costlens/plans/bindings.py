@@ -26,7 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def results(spark: SparkSession, sf_dir: str, sites: int = SITES) -> DataFrame:
     """The append-only result log: one row for each event."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return results_of(table(spark, sf_dir, "events"), sites)
+
+
+def results_of(events: DataFrame, sites: int = SITES) -> DataFrame:
+    e = events.select("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     failed = (F.col("event_type") == "error") & (F.col("event_id") % 41 == 0)
     slot = F.col("event_id") % 4
     cutoff = F.when(slot == 0, 10).when(slot == 1, 11).when(slot == 2, 16).otherwise(35)

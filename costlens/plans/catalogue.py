@@ -239,3 +239,15 @@ def rollup_savings(spark, d):
         F.sum(F.when(known, F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("after"),
     )
     return rows.select("bucket", "n", "n_unknown", F.round("before", 2).alias("before"), F.round("after", 2).alias("after"), F.round(F.col("before") - F.col("after"), 2).alias("savings"))
+
+
+@query(domain("select site_id, replace(site_id, '/', '.') as slug, action, model, count(*) as n_models, round(any_value(before_month), 4) as before_month from costs join (select site_id from rated) using (site_id) group by all"))
+def export_sites(spark, d):
+    """The fields of each site's JSON document."""
+    from ..render import site_payload
+
+    r = rated(spark, d)
+    decisions = D.decide(r, SETTINGS)
+    docs = site_payload(r, decisions, M.site_costs(decisions, r, SETTINGS))
+    get = lambda p: F.get_json_object("doc", p)
+    return docs.select("site_id", "slug", get("$.decision.action").alias("action"), get("$.decision.model").alias("model"), F.json_array_length(get("$.models")).cast("bigint").alias("n_models"), F.round(get("$.cost.before_month").cast("double"), 4).alias("before_month"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import scan as S
-from .bindings import table
-from .catalogue import query
+from ..streaming import log
+from .bindings import results_of, table
+from .catalogue import domain, query
 
 #: A source file for each supplier: its model is a literal, a constant, an environment default or a dictionary's entry.
 SOURCE = '''import os
@@ -52,3 +55,13 @@ def scan_calls(spark, d):
 def scan_resolve(spark, d):
     found = S.scan(S.python_files(sources(spark, d)))
     return found.select("id", F.col("model.value").alias("model"), F.col("model.source").alias("source"))
+
+
+@query(domain("select site_id, model, case_id, seq, error, passed from latest"))
+def stream_last_wins(spark, d):
+    """The log followed as a stream; its state and its sink hold a row for each site, model and case."""
+    stream = results_of(log.follow(spark, f"{d}/events*.parquet", table(spark, d, "events").schema))
+    name = f"last_{uuid.uuid4().hex}"
+    q = log.running_last(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("site_id", "model", "case_id", "seq", "error", "passed")
