@@ -204,7 +204,7 @@ def languages(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = text_of(docs, *keep).withColumn("_letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     given = given.select(*keep, "_letter", "text")
-    kept = given.drop("text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "spans": F.lit(None).cast("array<struct<lang:string,lo:int,hi:int>>")})
+    kept = given.drop("text").withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(0.0), "spans": F.lit(None).cast("array<struct<lang:string,lo:int,hi:int>>")})
     out = given.mapInArrow(_label(shared, len(keep) + 1), kept.schema)
     sure = F.col("_letter") & F.col("lang_pred").isNotNull()
     return out.select(*keep, F.when(sure, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(sure, F.col("score")).otherwise(0.0).alias("score"), "spans")
@@ -213,8 +213,9 @@ def languages(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
 def keep_known(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` whose language is one that the model knows, all columns as they were."""
     rest = [c for c in docs.columns if c != "text"]
-    told = languages(docs.withColumn("_whole", F.col("text")), model, *rest, "_whole")
-    return told.filter("lang_pred <> 'und'").withColumnRenamed("_whole", "text").select(*docs.columns)
+    packed = docs.select(F.struct(*rest).alias("row"), F.col("text").alias("whole"), "text")  # so that no column's name can clash
+    told = languages(packed, model, "row", "whole").filter("lang_pred <> 'und'")
+    return told.select(*(F.col("whole").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -178,9 +178,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns as they were."""
-    columns = [c for c in docs.columns if c != "text"]
-    return _n_hit(benchmark_hits(docs, benchmark, *columns)).filter(~contaminated()).select(*docs.columns)
-
+    packed = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")  # so that no column's name can clash
+    clean = _n_hit(benchmark_hits(packed, benchmark, "row")).filter(~contaminated())
+    return clean.select(*(F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
