@@ -70,9 +70,9 @@ def rescore_select(spark, d):
 ROUNDED = ["mean_score", "avg_latency_s", "avg_prompt_tokens", "avg_completion_tokens", "avg_judge_score", "pass_rate"]
 
 
-@query(domain("select site_id, model, cases, scored, passed, errors, complete, " + ", ".join(f"round({c}, 6) as {c}" for c in ROUNDED) + " from rated"))
+@query(domain("select site_id, model, cases, scored, passed, errors, complete, " + ", ".join(f"round({c}, 9) as {c}" for c in ROUNDED) + " from rated"))
 def run_summary(spark, d):
-    return R.summarize(spine(spark, d), dims(spark), latest(spark, d)).select("site_id", "model", "cases", "scored", "passed", "errors", "complete", *(F.round(c, 6).alias(c) for c in ROUNDED))
+    return R.summarize(spine(spark, d), dims(spark), latest(spark, d)).select("site_id", "model", "cases", "scored", "passed", "errors", "complete", *(F.round(c, 9).alias(c) for c in ROUNDED))
 
 
 @query(domain("select site_id, case_id, " + ", ".join(f"max(cast(passed as integer)) filter (model = '{m}') as {m}" for m in SETTINGS.models) + " from latest where error is null and score is not null group by site_id, case_id"))
