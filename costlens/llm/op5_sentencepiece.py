@@ -15,6 +15,7 @@ the two are merged alone. That gives the library's pieces exactly, with the same
 from __future__ import annotations
 
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +32,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text whose distinct words make one trie; words, pairs of pieces and characters that a worker keeps.
-TRIE_BYTES, KEPT_WORDS, KEPT_PAIRS, KEPT_CHARS = 4 << 20, 500_000, 500_000, 8_000_000
+TRIE_BYTES, KEPT_WORDS, KEPT_PAIRS, KEPT_CHARS = 2 << 20, 300_000, 400_000, 5_000_000
 
 
 def load_model(path: str) -> dict:
@@ -53,21 +54,28 @@ class PieceCoder:
     def __init__(self, model: dict):
         pieces = model["pieces"]
         self.prefix, self.bpe = model["prefix"], model["type"] == BPE
-        self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER_DEFINED)}
+        known = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER_DEFINED)}
         self.score = {p: s for p, s, kind in pieces if kind in (NORMAL, USER_DEFINED)}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         found = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.of_byte = [found.get(b, self.unknown) for b in range(256)] if found else None
         self.lowest = min(self.score.values(), default=0.0) - 10
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER_DEFINED) else "⁇".encode() if kind == UNKNOWN else b"" for p, _, kind in pieces]
-        self.longest = max(map(len, self.ids), default=1)
-        whole = any(regex.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        whole = any(regex.search(f"[^{MARK}]{MARK}", p) for p in known)
         self.split = (lambda s: [s] if s else []) if whole else regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.chars = 0
         if self.bpe:  # pieces that merging never makes take no part
-            self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
+            known = {p: i for p, i in known.items() if len(p) == 1 or self.merged(p) == [p]}
+        self.text = [p for p, _, _ in pieces]
+        self.strange: dict[str, int] = {}  # characters without a piece get numbers after the pieces
+        self.ends: dict = {}  # pieces from their last character to their first; the number of a piece is under ""
+        for p, i in known.items():
+            node = self.ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = i
 
     def merged(self, text: str) -> list[str]:
         """Merging by the definition: the adjacent pair whose piece has the best score, the first of equals, again and again."""
@@ -83,57 +91,72 @@ class PieceCoder:
             now[at : at + 2] = [now[at] + now[at + 1]]
         return now
 
-    def beside(self, left: str, right: str) -> bool:
+    def beside(self, left: int, right: int) -> bool:
         """Do two pieces stay as they are when their texts are merged as one?"""
-        key = (left, right)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged(left + right) == [left, right]
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        a, b = self.text[left], self.text[right]
+        got = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
         return got
 
-    def walk(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """The pieces of sorted words; the forward states of a shared prefix are kept from word to word."""
-        before, begin, total, ids, longest = "", [0], [0.0], self.ids, self.longest
+    def stranger(self, c: str) -> int:
+        """The number of a character without a piece."""
+        if c not in self.strange:
+            self.strange[c] = len(self.text)
+            self.text.append(c)
+        return self.strange[c]
+
+    def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """The piece numbers of sorted words; the forward states of a shared prefix are kept from word to word."""
+        before, begin, last, total, pairs, ends = "", [0], [0], [0.0], self.pairs, self.ends
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del begin[shared + 1 :], total[shared + 1 :]
+            del begin[shared + 1 :], last[shared + 1 :], total[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
+                node, j, found = ends, i, []
+                while j:  # pieces that end here, the shortest first
+                    node = node.get(word[j - 1])
+                    if node is None:
+                        break
+                    j -= 1
+                    if "" in node:
+                        found.append((j, node[""]))
+                if not found or found[0][0] != i - 1:
+                    found.insert(0, (i - 1, self.stranger(word[i - 1])))
                 if self.bpe:
-                    for j in range(max(0, i - longest), i):
-                        piece = word[j:i]
-                        if (piece in ids or j == i - 1) and (j == 0 or self.beside(word[begin[j] : j], piece)):
+                    for at, piece in reversed(found):
+                        if not at:
+                            break
+                        fits = pairs.get(last[at] << 32 | piece)
+                        if fits or fits is None and self.beside(last[at], piece):
                             break
-                    begin.append(j)
-                    total.append(0.0)
                 else:
-                    best, at = None, i - 1
-                    for j in range(max(0, i - longest), i):
-                        piece = word[j:i]
-                        s = self.score.get(piece) if piece in ids else self.lowest if j == i - 1 else None
-                        if s is not None and (best is None or total[j] + s > best):
-                            best, at = total[j] + s, j
-                    begin.append(at)
+                    scored = [(total[j] + (self.score[self.text[p]] if p < len(self.raw) else self.lowest), -j, p) for j, p in found]
+                    best, at, piece = max(scored)
+                    at = -at
                     total.append(best)
-            pieces, i = [], len(word)
+                begin.append(at)
+                last.append(piece)
+            ids, i = [], len(word)
             while i:
-                pieces.append(word[begin[i] : i])
+                ids.append(last[i])
                 i = begin[i]
-            pieces.reverse()
-            yield word, pieces
+            ids.reverse()
+            yield word, ids
             before = word
 
-    def numbers(self, pieces: list[str]) -> list[int]:
+    def numbers(self, ids: list[int]) -> list[int]:
+        """Ids of the model: characters without a piece as their bytes, or as one unknown."""
+        if max(ids, default=0) < len(self.raw):
+            return ids
         out = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is not None:
+        for i in ids:
+            if i < len(self.raw):
                 out.append(i)
             elif self.of_byte:
-                out += [self.of_byte[b] for b in p.encode("utf-8")]
+                out += [self.of_byte[b] for b in self.text[i].encode("utf-8")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
@@ -149,8 +172,9 @@ class PieceCoder:
         split = [self.marked(t) for t in texts]
         known = self.words
         fresh = {w for ws in split for w in ws if w not in known}
-        for word, pieces in self.walk(sorted(fresh)):
-            known[word] = np.array(self.numbers(pieces), np.int32).tobytes()
+        for word, ids in self.walk(sorted(fresh)):
+            ids = self.numbers(ids)
+            known[word] = pack(f"{len(ids)}i", *ids)
             self.chars += len(word)
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
@@ -159,17 +183,6 @@ class PieceCoder:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_CODERS: dict[str, PieceCoder] = {}
-
-
-def _coder(key: str, shared) -> PieceCoder:
-    """The worker's own coder, which keeps its words between tasks."""
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = PieceCoder(shared.value)
-    return _CODERS[key]
-
-
 def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """``docs(text, keep...)`` -> ``(keep..., ids)``: the ids that the library gives for each whole text, without begin or end.
 
@@ -178,10 +191,10 @@ def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     reads the model at ``path`` and broadcasts its pieces, whose number the file fixes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_model(path))
-    k, key = len(keep), f"{docs.sparkSession.sparkContext.applicationId}:{path}"
+    k, key = len(keep), f"pieces:{docs.sparkSession.sparkContext.applicationId}:{path}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(key, shared)
+        coder = W.held(key, lambda: PieceCoder(shared.value))
         for batch in batches:
             text = batch.column(k)
             for lo, hi in W.spans(W.text_buffers(text)[1], TRIE_BYTES):
@@ -196,10 +209,10 @@ def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
 def decode(coded: DataFrame, path: str, *keep: str) -> DataFrame:
     """``coded(ids, keep...)`` -> ``(keep..., text)``. Null and empty ids give an empty text; the mark that encoding put first is taken off."""
     shared = coded.sparkSession.sparkContext.broadcast(load_model(path))
-    k, key = len(keep), f"{coded.sparkSession.sparkContext.applicationId}:{path}"
+    k, key = len(keep), f"pieces:{coded.sparkSession.sparkContext.applicationId}:{path}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(key, shared)
+        coder = W.held(key, lambda: PieceCoder(shared.value))
         for batch in batches:
             for lo in range(0, max(1, batch.num_rows), 500):
                 part = batch.slice(lo, 500)
