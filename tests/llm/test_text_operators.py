@@ -38,7 +38,6 @@ def edited(rng, text, n):
 def test_words_of_pieces(monkeypatch, kept, pattern, low, size):
     texts = ["Hello wOrld  foo", "", None, " a b\n", "héé ß\x85x c 漢", "x", "  ", "\x00\x01a-b"]
     monkeypatch.setattr(words, "PIECE_BYTES", size)
-    monkeypatch.setattr(words.spans, "__defaults__", (size,))
     got = []
     for p in words.pieces(pa.array(texts), kept, low):
         w = [bytes(p.data[a:b]).decode() for a, b in zip(p.starts, p.ends, strict=True)]
