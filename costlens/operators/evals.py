@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clip, normalize_text
+from ..functions.text import clip, normalize_text, strip_fences
 from ..schemas import MIN_CASES
 
 
@@ -81,3 +81,34 @@ def score_exact(output: str, expected: str):
     got, want = normalize_text(output), normalize_text(expected)
     same = F.coalesce(got == want, F.lit(False))
     return F.struct(same.cast("double").alias("value"), same.alias("passed"), F.when(same, "match").otherwise(F.concat(F.lit("expected '"), want, F.lit("', got '"), clip(got), F.lit("'"))).alias("detail"))
+
+
+def parse_generated(replies: DataFrame, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(cases, problems) of ``replies(site_id, function, text)``: a JSON array of ``{inputs, expected}``, fences around it allowed.
+
+    A case needs exactly the inputs ``wanted`` and an expected value; of equal inputs the first counts; ids are numbered anew.
+    """
+    parsed = replies.withColumn("items", F.from_json(strip_fences("text"), "array<struct<inputs:map<string,string>,expected:string>>"))
+    rows = parsed.select("site_id", "function", F.posexplode("items").alias("ord", "case"))
+    need = F.array(*map(F.lit, wanted)).cast("array<string>")
+    whole = F.col("case.inputs").isNotNull() & (F.size(F.array_except(need, F.map_keys("case.inputs"))) == 0) & (F.size(F.array_except(F.map_keys("case.inputs"), need)) == 0) & F.col("case.expected").isNotNull()
+    good = rows.filter(F.coalesce(whole, F.lit(False))).select("site_id", "function", "ord", F.col("case.inputs").alias("inputs"), F.col("case.expected").alias("expected"))
+    cases = renumber(first_of_equal(good.withColumn("key", canonical()), "key"))
+    bad = rows.filter(~F.coalesce(whole, F.lit(False))).select("site_id", F.concat(F.lit("case "), (F.col("ord") + 1).cast("string"), F.lit(" has the wrong inputs or no expected value")).alias("problem"))
+    none = parsed.filter(F.col("items").isNull()).select("site_id", F.lit("the reply is no JSON array").alias("problem"))
+    return cases, bad.unionByName(none)
+
+
+def ready_sites(sites: DataFrame, set_problems: DataFrame) -> DataFrame:
+    """``sites(site_id, slug, has_file)`` with ``skipped``: why a run leaves it out, or null."""
+    bad = set_problems.groupBy("site_id").agg(F.count("*").alias("n_problems"))
+    return sites.join(bad, "site_id", "left").withColumn("skipped", F.when(~F.col("has_file"), "no eval file").when(F.col("n_problems") > 0, F.concat(F.col("n_problems").cast("string"), F.lit(" problems")))).drop("n_problems")
+
+
+def select_only(rows: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """Rows whose key is wanted; a wanted key that no row has is an error."""
+    spark = rows.sparkSession
+    asked = spark.createDataFrame([(w,) for w in wanted], f"{key} string")
+    if unknown := sorted(r[0] for r in asked.join(rows.select(key).distinct(), key, "left_anti").collect()):
+        raise ValueError(f"unknown {key}: {', '.join(unknown)}")
+    return rows.filter(F.col(key).isin(*wanted))

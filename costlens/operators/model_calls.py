@@ -17,7 +17,7 @@ from ..functions.jsonvalues import judge_value, parse_judge_score
 from ..functions.text import clip
 from ..session import ship
 from .evals import score_exact
-from .results import is_ok
+from .results import is_ok, to_rescore
 
 CALLED = "text string, prompt_tokens bigint, completion_tokens bigint, latency_s double, error string"
 
@@ -123,6 +123,17 @@ def run_cases(todo: DataFrame, make_client: Callable[[], object]) -> DataFrame:
     return called.select("site_id", "model", "case_id", F.col("text").alias("output"), "prompt_tokens", "completion_tokens", "latency_s", F.when(done, s["value"]).alias("score"), F.when(done, s["passed"]).alias("passed"), F.when(done, s["detail"]).alias("detail"), "error")
 
 
+def rescore(latest: DataFrame, cases: DataFrame, model: str, make_client: Callable[[], object], pass_at: int = 4) -> DataFrame:
+    """New log rows for saved outputs that judge ``model`` has yet to grade; outputs, tokens and latency stay.
+
+    ``cases(site_id, case_id, messages, expected, grading)`` has the prompt and the rubric; only judge-graded cases count.
+    """
+    asked = cases.filter("grading = 'judge'").select("site_id", "case_id", "messages", F.col("expected").alias("rubric"))
+    kept = to_rescore(latest, model).select("site_id", "model", "case_id", "output", "prompt_tokens", "completion_tokens", "latency_s")
+    graded = judge(kept.join(asked, ["site_id", "case_id"]), model, make_client, pass_at)
+    return graded.drop("messages", "rubric").withColumn("judge_model", F.lit(model))
+
+
 def warm_up(models: list[str], client) -> dict[str, str]:
     """One call of each model on the driver before a run; the models that fail, with why."""
     failed = {}
@@ -146,4 +157,4 @@ def generate(ask: Callable[[int], DataFrame], wanted: int, tries: int = 3) -> Da
     return have
 
 
-__all__ = ["ChatClient", "FixedClient", "ModelError", "call_models", "generate", "is_ok", "judge", "judge_messages", "run_cases", "warm_up"]
+__all__ = ["ChatClient", "FixedClient", "ModelError", "call_models", "generate", "is_ok", "judge", "judge_messages", "rescore", "run_cases", "warm_up"]

@@ -17,16 +17,24 @@ def source_tree(spark: SparkSession, root: str, repo: str = "repo") -> DataFrame
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line, value)`` of text files; lines end at ``\\n``, ``\\r`` or ``\\r\\n`` alone, and number from 1 in each file."""
-    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "value"))
-    return lines.select("path", (F.col("pos") + 1).cast("bigint").alias("line"), "value")
+    """``(path, changed, line, value)`` of text files; lines end at ``\\n``, ``\\r`` or ``\\r\\n`` alone, and number from 1 in each file."""
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"), "value")
+    lines = whole.select("path", "changed", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "value"))
+    return lines.select("path", "changed", (F.col("pos") + 1).cast("bigint").alias("line"), "value")
 
 
 def result_log(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of ``<slug>/<model>.jsonl`` files with their place: bad lines, lines that are no object or lack a key are passed over, unknown keys dropped."""
+    """The rows of a log with their place: ``<slug>/<model>.jsonl`` files, or the folders of :func:`append_results`.
+
+    ``seq`` orders rows by the time their file was last written, then by line. Bad lines, lines that are no object or
+    lack a key are passed over, unknown keys dropped.
+    """
     parts = F.split("path", "/")
-    rows = numbered_lines(spark, path).select(F.element_at(parts, -2).alias("slug"), F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "").alias("model_file"), F.col("line").alias("seq"), F.from_json("value", RESULT_ROW).alias("r"))
+    of_folder = lambda key, plain: F.coalesce(F.nullif(F.regexp_extract("path", f"/{key}=([^/]+)/", 1), F.lit("")), plain)
+    slug = of_folder("slug", F.element_at(parts, -2))
+    model_file = of_folder("model_file", F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", ""))
+    place = F.unix_millis(F.col("changed").cast("timestamp")) * 1_000_000 + F.col("line")
+    rows = numbered_lines(spark, path).select(slug.alias("slug"), model_file.alias("model_file"), place.alias("seq"), F.from_json("value", RESULT_ROW).alias("r"))
     return rows.select("slug", "model_file", "seq", "r.*").filter(F.col("case_id").isNotNull() & F.col("model").isNotNull())
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from costlens.operators import callsites as C
 from costlens.operators import decide as D
+from costlens.operators import evals as E
 from costlens.operators import model_calls as MC
 from costlens.operators import money as M
 from costlens.operators import results as R
@@ -237,3 +238,28 @@ def test_lint_without_the_auditors_sites(spark):
     got = {(r["id"], r["warning"]) for r in C.lint(sites, "auditor").collect()}
     assert got == {("a", "placeholder {x.y} is an expression; use a plain name"), (None, "generated_by is auditor but no call site has found_by auditor")}
     assert C.lint(sites, "ast").count() == 0
+
+
+def test_rescoring_saved_outputs(spark):
+    log_ = spark.createDataFrame([("s", "m", "c1", 1, None, 0.0, "j", "an answer", 3, 4, 0.5), ("s", "m", "c2", 2, None, 1.0, "j", "other", 3, 4, 0.5)], "site_id string, model string, case_id string, seq long, error string, score double, judge_model string, output string, prompt_tokens long, completion_tokens long, latency_s double")
+    cases = spark.createDataFrame([("s", "c1", [("user", "q")], "be kind", "judge"), ("s", "c2", [("user", "q")], "x", "exact")], "site_id string, case_id string, messages array<struct<role:string,content:string>>, expected string, grading string")
+    rows = MC.rescore(log_, cases, "k", lambda: MC.FixedClient("Score: 5")).collect()
+    assert [(r["case_id"], r["score"], r["passed"], r["judge_model"], r["output"]) for r in rows] == [("c1", 1.0, True, "k", "an answer")]
+    assert MC.rescore(log_, cases, "j", lambda: MC.FixedClient("5")).count() == 0
+
+
+def test_generated_cases(spark):
+    text = '```json\n[{"inputs": {"q": "a"}, "expected": "x"}, {"inputs": {"q": "a"}, "expected": "y"}, {"inputs": {"z": "1"}, "expected": "x"}, {"inputs": {"q": "b"}, "expected": "y"}]\n```'
+    replies = spark.createDataFrame([("s", "f", text), ("t", "g", "sorry")], "site_id string, function string, text string")
+    cases, problems = E.parse_generated(replies, ["q"])
+    assert sorted((r["id"], r["inputs"]["q"], r["expected"]) for r in cases.collect()) == [("f-01", "a", "x"), ("f-02", "b", "y")]
+    assert {(r["site_id"], r["problem"][:6]) for r in problems.collect()} == {("s", "case 3"), ("t", "the re")}
+
+
+def test_selectors(spark):
+    sites = spark.createDataFrame([("a", "a", True), ("b", "b", False), ("c", "c", True)], "site_id string, slug string, has_file boolean")
+    assert [r["site_id"] for r in E.select_only(sites, "site_id", ["b"]).collect()] == ["b"]
+    with pytest.raises(ValueError, match="unknown site_id: x, y"):
+        E.select_only(sites, "site_id", ["a", "y", "x"])
+    found = spark.createDataFrame([("c", "bad"), ("c", "worse")], "site_id string, problem string")
+    assert {r["site_id"]: r["skipped"] for r in E.ready_sites(sites, found).collect()} == {"a": None, "b": "no eval file", "c": "2 problems"}
