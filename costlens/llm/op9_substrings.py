@@ -52,6 +52,16 @@ def _anchors(p: W.Piece, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return starts, np.cumsum(fresh) - 1, grams[at[fresh]], np.bincount(doc[fresh], minlength=p.hi - p.lo)
 
 
+def _twice_at_most(found: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's anchors, sorted, no hash more than twice: twice is enough to tell that it repeats."""
+    doc = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((found, doc))
+    found, doc = found[order], doc[order]
+    keep = np.ones(len(found), bool)
+    keep[2:] = (found[2:] != found[:-2]) | (doc[2:] != doc[:-2])
+    return found[keep], np.bincount(doc[keep], minlength=len(per))
+
+
 def _digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each document's word sequence; both depend on its order."""
     n = np.diff(first)
@@ -67,28 +77,29 @@ def _digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _read(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p in W.pieces(batch.column(1), W.SPACED, lower=False):
+            for p in W.pieces(batch.column(2), W.SPACED, lower=False):
                 h = p.hashes()
                 _, _, found, per = _anchors(p, h, width)
+                found, per = _twice_at_most(found, per)
                 t1, t2 = _digests(h, p.first)
-                raw, offsets = W.text_buffers(batch.column(1).slice(p.lo, p.hi - p.lo))
+                raw, offsets = W.text_buffers(batch.column(2).slice(p.lo, p.hi - p.lo))
                 sha = [hashlib.sha256(b" ".join(raw[offsets[i] : offsets[i + 1]].tobytes().split())).hexdigest() for i in range(p.hi - p.lo)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(p.lo, p.hi - p.lo), pa.array(p.counts), pa.array(t1), pa.array(t2), pa.array(sha), W.list_column(found.view(np.int64), per, pa.int64())],
-                    names=["doc_id", "n_words", "t1", "t2", "sha", "anchors"],
+                    [batch.column(0).slice(p.lo, p.hi - p.lo), batch.column(1).slice(p.lo, p.hi - p.lo), pa.array(p.counts), pa.array(t1), pa.array(t2), pa.array(sha), W.list_column(found.view(np.int64), per, pa.int64())],
+                    names=["doc_id", "nameless", "n_words", "t1", "t2", "sha", "anchors"],
                 )
 
     return run
 
 
 def _edges(width: int):
-    """(doc_id, text, t1, t2, weight, numbers of repeated anchors) -> the windows at those anchors."""
+    """(doc_id, text, t1, t2, weight, repeated anchors) -> the windows at those anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0))
             weights, want1, want2 = (np.array(batch.column(k)) for k in (4, 2, 3))
-            numbers = batch.column(5).to_pylist()
+            repeated = batch.column(5)
             for p in W.pieces(batch.column(1), W.SPACED, lower=False):
                 h = p.hashes()
                 starts, which, found, per = _anchors(p, h, width)
@@ -97,7 +108,7 @@ def _edges(width: int):
                 on = np.zeros(len(found), bool)
                 for i in range(p.hi - p.lo):
                     if t1[i] == want1[p.lo + i] and t2[i] == want2[p.lo + i]:
-                        on[base[i] + np.array(numbers[p.lo + i], np.int64)] = True
+                        on[base[i] : base[i + 1]] = np.isin(found[base[i] : base[i + 1]], repeated[p.lo + i].values.to_numpy().view(np.uint64))
                 at = starts[on[which]] if len(starts) else starts
                 doc = np.searchsorted(p.first, at, side="right") - 1
                 second = W.windows(W.mix(h ^ np.uint64(0x5851F42D4C957F2D)), width)
@@ -139,10 +150,15 @@ def _paths(width: int):
     return run
 
 
+def _key():
+    """A row's doc_id; for a null one a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))).alias("doc_id")
+
+
 def repeated_spans(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text, ...)`` -> (texts, spans).
 
-    ``texts(doc_id, n_words, t1, t2, sha, copies)``: a row for each row of ``docs``; t1 and t2 are
+    ``texts(doc_id, nameless, n_words, t1, t2, sha, copies)``: a row for each row of ``docs``, a null doc_id marked ``nameless``; t1 and t2 are
     digests of its word sequence, ``copies`` the rows that share it, ``sha`` the SHA-256 of its words
     joined by one space. ``spans(doc_id, t1, runs, paths)``: for texts that occur once and hold repeated
     windows of ``width`` words, the runs of words they cover as word numbers from, to, ..., and the
@@ -152,23 +168,23 @@ def repeated_spans(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, Dat
     Words are runs of bytes other than ASCII white space, as they are. Null and blank texts have no
     words; texts under ``width`` words have no window; a row repeated whole is a copy of itself.
     """
-    texts = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    found = cut(texts.mapInArrow(_read(width), "doc_id long, n_words long, t1 long, t2 long, sha string, anchors array<long>"), "texts")
+    texts = text_of(docs, _key(), F.col("doc_id").isNull().alias("nameless"))
+    found = cut(texts.mapInArrow(_read(width), "doc_id long, nameless boolean, n_words long, t1 long, t2 long, sha string, anchors array<long>"), "texts")
     nodes = found.filter(F.col("n_words") >= width).groupBy("t1", "t2").agg(F.count("*").cast("int").alias("copies"), F.min("doc_id").alias("node"))
     nodes = cut(nodes, "nodes")
     # one row of each text stands for all: the first by doc_id, and any of rows repeated whole
     own = found.join(nodes, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("node")))
     alone = own.filter("copies = 1").select("node", "t1", "t2", "copies", "anchors")
     many = own.filter("copies > 1").dropDuplicates(["t1", "t2"]).select("node", "t1", "t2", "copies", "anchors")
-    posted = alone.union(many).select("node", "t1", "t2", "copies", F.posexplode("anchors").alias("number", "anchor"))
+    posted = alone.union(many).select("node", "t1", "t2", "copies", F.explode("anchors").alias("anchor"))
     posted = cut(posted, "anchors")
-    again = posted.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor")
-    wanted = posted.join(again, "anchor").groupBy("node", "t1", "t2", "copies").agg(F.collect_list("number").alias("numbers"))
+    again = cut(posted.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"), "repeated")
+    wanted = posted.join(again, "anchor").groupBy("node", "t1", "t2", "copies").agg(F.collect_set("anchor").alias("repeated"))
     wanted = cut(wanted, "wanted")
-    some = semi(texts, wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
-    read = some.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "t1", "t2", "copies", "numbers")
+    some = semi(texts.drop("nameless"), wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
+    read = some.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "t1", "t2", "copies", "repeated")
     edges = cut(read.mapInArrow(_edges(width), "w1 long, w2 int, doc_id long, t1 long, pos int, weight int"), "edges")
-    repeated = edges.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1")
+    repeated = cut(edges.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1"), "repeated-edges")
     spots = edges.filter("weight = 1").join(repeated, ["w1", "w2"]).groupBy("doc_id", "t1").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("spots"))
     spans = cut(spots.mapInArrow(_paths(width), "doc_id long, t1 long, runs array<int>, paths array<int>"), "spans")
     return found.drop("anchors").join(nodes.select("t1", "t2", "copies"), ["t1", "t2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))), spans
@@ -210,12 +226,11 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     texts, spans = repeated_spans(docs, width)
     whole = texts.filter(f"copies > 1 and n_words >= {width}").select("doc_id", "t1", F.array(F.lit(0), F.col("n_words").cast("int")).alias("runs"))
     every = spans.select("doc_id", "t1", "runs").union(whole).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("t1", "runs")).alias("_spans"))
-    rest = [c for c in docs.columns if c != "text"]
-    joined = docs.join(every.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").select(*rest, "text", "_spans")
+    packed = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text", _key())  # so that no column's name can clash
+    joined = packed.join(every, "doc_id", "left").select("row", "text", "_spans")
     out = joined.mapInArrow(_without(width, digest=False), joined.drop("_spans").schema)
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out.select(*(F.col(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +238,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     texts, spans = repeated_spans(docs)
     spans = spans.withColumn("n_removed", F.expr("aggregate(transform(runs, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (a, x) -> a + x)"))
-    some = semi(text_of(docs, "doc_id"), spans.select("doc_id").distinct(), "doc_id")
+    some = semi(text_of(docs, _key()), spans.select("doc_id").distinct(), "doc_id")
     read = some.join(spans.groupBy("doc_id").agg(F.collect_list(F.struct("t1", "runs")).alias("spans")), "doc_id")
     # rows that share a doc_id are told apart by their text's digest, t1
     left = read.mapInArrow(_with_t1(), "doc_id long, text string, t1 long, spans array<struct<t1:bigint,runs:array<int>>>")
@@ -231,7 +246,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = kept.withColumnRenamed("text", "left_sha").join(spans.select("doc_id", "t1", "n_removed"), ["doc_id", "t1"])
     all_ = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
     return texts.join(kept, ["doc_id", "t1"], "left").select(
-        "doc_id",
+        F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"),
         "n_words",
         F.when(all_, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(all_, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
