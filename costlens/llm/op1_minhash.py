@@ -204,3 +204,27 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sh as (
+  select distinct doc_id, case when len(w) >= 5 then array_to_string(w[i : i + 4], ' ') else array_to_string(w, ' ') end as g
+  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from d where len(w) > 0)
+), sizes as (
+  select doc_id, count(*) as n from sh group by doc_id
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), links as (
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a
+), least_ as (
+  select a as doc_id, min(b) as b from reach group by a
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(b, d.doc_id)) as kept
+from d left join sizes using (doc_id) left join least_ using (doc_id)
+"""

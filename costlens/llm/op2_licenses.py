@@ -82,7 +82,6 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     words, contain nothing; repeated rows of a doc_id are one document; a null doc_id is a document of its own
     kind. Templates need five words or more. Other columns are ignored.
     """
-    spark = docs.sparkSession
     lists = {name: words_of(text) for name, text in templates.items()}
     if short := [name for name, w in lists.items() if len(w) < SHINGLE]:
         raise ValueError(f"templates of under {SHINGLE} words: {short}")
@@ -104,7 +103,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     windows = worded.select("doc_id", F.explode(F.concat(*(cut_windows(size) for size in classes))).alias("x")).select("doc_id", "x.*")
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, F.lit(SHINGLE)), " ")))
     hashed = windows.select("doc_id", "class", "word", shingles.alias("shingles")).withColumn("minima", _minima(F.col("shingles")))
-    known = spark.createDataFrame([(name, window_class(len(w)), _shingle_list(w)) for name, w in lists.items()], "license string, class int, template array<string>")
+    entries = [F.struct(F.lit(name).alias("license"), F.lit(window_class(len(w))).alias("class"), F.array(*map(F.lit, _shingle_list(w))).alias("template")) for name, w in lists.items()]
+    known = docs.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*entries)))
     posted = known.select("license", "class", "template", F.posexplode(_minima(F.col("template"))).alias("band", "least"))
     met = hashed.select("doc_id", "class", "word", "shingles", F.posexplode("minima").alias("band", "least")).join(F.broadcast(posted), ["class", "band", "least"])
     share = F.size(F.array_intersect("shingles", "template")) / F.size("template")

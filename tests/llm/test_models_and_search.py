@@ -147,7 +147,7 @@ def test_stages_keep_the_documents_columns(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
 
-@pytest.mark.parametrize("name", ["op2_licenses", "op8_decontaminate", "op9_substrings"])
+@pytest.mark.parametrize("name", ["op1_minhash", "op2_licenses", "op8_decontaminate", "op9_substrings"])
 def test_queries_are_their_sql(spark, name):
     import duckdb
 
