@@ -41,7 +41,14 @@ def semi(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return big.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+#: Rows that Spark hands to a Python task at once, where the session has Spark's own default: texts may be long.
+BATCH_ROWS = 2000
+
+
 def text_of(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and the text column, by position-safe names; other columns are not read."""
-    ship(docs.sparkSession)
+    """``keep`` and the text column; other columns are not read."""
+    spark = docs.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(*keep, F.col("text").cast("string").alias("text"))

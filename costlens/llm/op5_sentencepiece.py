@@ -183,10 +183,11 @@ class PieceCoder:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, *keep: str, check: bool = False) -> DataFrame:
     """``docs(text, keep...)`` -> ``(keep..., ids)``: the ids that the library gives for each whole text, without begin or end.
 
-    Null and empty texts have no ids. Characters without a piece become bytes where the model has
+    With ``check``, a column ``round_trip`` tells whether the ids decode to the text, worked out in the same stage. Null and
+    empty texts have no ids. Characters without a piece become bytes where the model has
     byte pieces. Repeated rows come back repeated; columns that aren't kept are ignored. The driver
     reads the model at ``path`` and broadcasts its pieces, whose number the file fixes.
     """
@@ -198,12 +199,16 @@ def encode(docs: DataFrame, path: str, *keep: str) -> DataFrame:
         for batch in batches:
             text = batch.column(k)
             for lo, hi in W.spans(W.text_buffers(text)[1], TRIE_BYTES):
-                got = coder.encode([t or "" for t in text.slice(lo, hi - lo).to_pylist()])
-                ids = W.list_column(np.frombuffer(b"".join(got), np.int32), np.array([len(x) // 4 for x in got]), pa.int32())
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:k]), ids], names=[*batch.schema.names[:k], "ids"])
+                texts = [t or "" for t in text.slice(lo, hi - lo).to_pylist()]
+                got = coder.encode(texts)
+                columns = [W.list_column(np.frombuffer(b"".join(got), np.int32), np.array([len(x) // 4 for x in got]), pa.int32())]
+                if check:
+                    columns.append(pa.array([coder.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(got, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:k]), *columns], names=[*batch.schema.names[:k], "ids", "round_trip"][: k + len(columns)])
 
     given = text_of(docs, *keep)
-    return given.mapInArrow(run, given.drop("text").withColumn("ids", F.array().cast("array<int>")).schema)
+    out = given.drop("text").withColumn("ids", F.array().cast("array<int>"))
+    return given.mapInArrow(run, (out.withColumn("round_trip", F.lit(True)) if check else out).schema)
 
 
 def decode(coded: DataFrame, path: str, *keep: str) -> DataFrame:
@@ -228,9 +233,8 @@ def round_trips(docs: DataFrame, path: str, *keep: str) -> DataFrame:
 
     A text that holds the word mark itself doesn't come back, as in the library: the mark decodes to a space.
     """
-    coded = encode(docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))), path, *keep, "_text").withColumn("_ids", F.struct(F.size("ids").cast("bigint").alias("n"), F.xxhash64("ids").alias("h")))
-    back = decode(coded, path, *keep, "_text", "_ids")
-    return back.select(*keep, F.col("_ids.n").alias("n_pieces"), F.col("_ids.h").alias("ids_hash"), (F.col("text") == F.col("_text")).alias("round_trip"))
+    coded = encode(docs, path, *keep, check=True)
+    return coded.select(*keep, F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
 from .common import table, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -98,17 +99,6 @@ class MergeCounter(dict):
         return sum(sum(map(self.__getitem__, self.find(x))) for x in parts) + len(parts) - 1
 
 
-_COUNTERS: dict[str, MergeCounter] = {}
-
-
-def _counter(key: str, shared) -> MergeCounter:
-    """The worker's own counter, which keeps its counts between tasks."""
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = MergeCounter(*shared.value)
-    return _COUNTERS[key]
-
-
 def load_vocabulary(path: str) -> tuple[list[tuple[str, str]], list[str]]:
     """Merges in order, and the special strings that a text may hold."""
     with open(path, encoding="utf-8") as file:
@@ -126,10 +116,10 @@ def token_counts(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     Repeated rows come back repeated; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
-    k, key = len(keep), f"{docs.sparkSession.sparkContext.applicationId}:{path}"
+    k, key = len(keep), f"merges:{docs.sparkSession.sparkContext.applicationId}:{path}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(key, shared)
+        counter = W.held(key, lambda: MergeCounter(*shared.value))
         for batch in batches:
             n = [counter.count(x.as_py() or "") for x in batch.column(k)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], batch.column(k + 1), pa.array(n, pa.int64())], names=[*batch.schema.names[:k], "n_bytes", "n_tokens"])

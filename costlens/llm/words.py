@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once (one longer document is handled alone).
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 _U = np.uint64
 _WORD_BASE, _SEQ_BASE = _U(0x9E3779B97F4A7C15 | 5), _U(0xD6E8FEB86659FD93 | 3)
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -23,6 +23,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: What map stages keep in a worker between tasks, such as the pieces of words met before.
+HELD: dict[str, object] = {}
+
+
+def held(key: str, make):
+    """The worker's own object of that key; there is one at a time, so that stages of one job don't pile up."""
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = make()
+    return HELD[key]
+
+
 def _lut(sep: Iterator[int]) -> np.ndarray:
     word = np.ones(256, bool)
     word[list(sep)] = False
@@ -102,8 +114,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def spans(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges that hold up to ``limit`` bytes, or one row."""
+def spans(offsets: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges that hold up to ``limit`` bytes (PIECE_BYTES if none is given), or one row."""
+    limit = limit or PIECE_BYTES
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
@@ -112,6 +125,7 @@ def spans(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
 
 
 def pieces(column: pa.Array, word: np.ndarray, lower: bool) -> Iterator[Piece]:
+    HELD.clear()  # a stage over words has no use for what others keep
     raw, offsets = text_buffers(column)
     for lo, hi in spans(offsets):
         edge = offsets[lo : hi + 1] - offsets[lo]
