@@ -4,9 +4,10 @@ Equal vectors are one entry with their smallest ids, so a vector that fills a th
 entry too. Centroids are fitted on a bounded sample; every entry goes to the list of its nearest
 centroid and, near a border, to those of all others at nearly that distance. A
 query walks a neighbour graph of the centroids in memory, opens the lists whose centroid is within a ratio of
-the nearest one's distance, and is compared with all of their entries. Lists and queries that meet at a
-list are dealt into blocks of bounded size, so a long list is more tasks, not a longer one. Inner
-products become distances by one more coordinate that evens out the norms.
+the nearest one's distance, and is compared with all of their entries. Lists are gathered in groups, so that
+a query has one result for each group and not for each list; the entries and the queries of a group are
+dealt into blocks of bounded size, so a long list is more tasks, not a longer one. Inner products become
+distances by one more coordinate that evens out the norms.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 200, 4096
 CLOSURE, OPEN = 1.02, 1.17
 #: Neighbours of a centroid in the graph, and how many of its nodes a search expands at least.
 DEGREE, BEAM = 24, 32
-#: Entries, and queries, of one block of a list.
-BLOCK = 4096
+#: Lists are gathered in this many groups; entries, and queries, of one block of a group.
+GROUPS, ENTRIES, QUERIES = 16, 65_536, 4096
 NEAREST = 20
 
 
@@ -116,9 +117,15 @@ def _probe(shared, width: int):
         for batch in batches:
             q = _matrix(batch.column(1), width)
             q = q / np.maximum(1e-300, np.sqrt((q * q).sum(1)))[:, None] * np.sqrt(largest)
-            found = [graph.near(np.append(x, 0.0), OPEN) for x in q]
-            rows = pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array([j for f in found for j in f], pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["list", "query", "vec"])
+            rows, groups, lists = [], [], []
+            for i, x in enumerate(q):
+                near = np.array(graph.near(np.append(x, 0.0), OPEN), np.int32)
+                for g in np.unique(near % GROUPS):
+                    rows.append(i)
+                    groups.append(g)
+                    lists.append(near[near % GROUPS == g])
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), batch.column(0).take(at), pa.array(lists, pa.list_(pa.int32())), batch.column(1).take(at)], names=["group", "query", "lists", "vec"])
 
     return run
 
@@ -128,21 +135,28 @@ def _compare(width: int, keep: int):
         kind = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
         if not entries.num_rows or not queries.num_rows:
             return kind.empty_table()
-        ids, qs = entries.column("rep").to_numpy(), queries.column("query").to_numpy()
-        x, y = (_matrix(t.column("vec").combine_chunks(), width) for t in (entries, queries))
+        ids, first, own = np.unique(entries.column("rep").to_numpy(), return_index=True, return_inverse=True)
+        x = _matrix(entries.column("vec").combine_chunks().take(pa.array(first)), width)
+        lists = entries.column("list").to_numpy()
+        order = np.argsort(lists, kind="stable")
+        names, begin = np.unique(lists[order], return_index=True)
+        held = dict(zip(names.tolist(), np.split(own[order], begin[1:]), strict=True))
+        y, qs = _matrix(queries.column("vec").combine_chunks(), width), queries.column("query").to_numpy()
         out_q, out_r, out_s = [], [], []
-        for i in range(len(qs)):
-            rough = x @ y[i]
-            if len(ids) > keep:
-                at = np.flatnonzero(rough >= np.partition(rough, -keep)[-keep] - 1e-9 * (1 + abs(rough).max()))
-            else:
-                at = np.arange(len(ids))
+        for i, opened in enumerate(queries.column("lists").to_pylist()):
+            parts = [held[k] for k in opened if k in held]
+            if not parts:
+                continue
+            at = np.unique(np.concatenate(parts))
+            rough = x[at] @ y[i]
+            if len(at) > keep:
+                at = at[rough >= np.partition(rough, -keep)[-keep] - 1e-9 * (1 + abs(rough).max())]
             score = (x[at] * y[i]).sum(1)
             top = np.lexsort((ids[at], -score))[:keep]
             out_q.append(np.full(len(top), qs[i]))
             out_r.append(ids[at][top])
             out_s.append(score[top])
-        return pa.table([np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)], schema=kind)
+        return pa.table([np.concatenate(c) if c else [] for c in (out_q, out_r, out_s)], schema=kind)
 
     return run
 
@@ -182,13 +196,14 @@ def nearest(vectors: DataFrame, wanted, k: int = NEAREST) -> DataFrame:
     posted = cut(reps.select("rep", "vec").mapInArrow(_post(shared, width), "list int, rep long, vec array<double>"), "lists")
     asked = cut(rows.filter(wanted).join(reps.select("vec", "rep"), "vec").select("vec_id", "rep", "vec"), "queries")
     distinct = asked.groupBy("rep").agg(F.first("vec").alias("vec"))
-    probes = cut(distinct.mapInArrow(_probe(shared, width), "list int, query long, vec array<double>"), "probes")
-    blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vn")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qn")), "list")
-    blocks = F.broadcast(blocks)  # a row for each list, MAX_LISTS at most
+    probes = cut(distinct.mapInArrow(_probe(shared, width), "group int, query long, lists array<int>, vec array<double>"), "probes")
+    posted = posted.withColumn("group", F.col("list") % GROUPS)
+    sizes = lambda df, most, name: df.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    blocks = F.broadcast(sizes(posted, ENTRIES, "vn").join(sizes(probes, QUERIES, "qn"), "group"))  # GROUPS rows at most
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    v = posted.join(blocks, "list").select("list", dealt("rep", "vn").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb"), "rep", "vec")
-    q = probes.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vn") - 1)).alias("vb"), dealt("query", "qn").alias("qb"), "query", "vec")
-    keys = ["list", "vb", "qb"]
+    v = posted.join(blocks, "group").select("group", dealt("rep", "vn").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb"), "list", "rep", "vec")
+    q = probes.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("vn") - 1)).alias("vb"), dealt("query", "qn").alias("qb"), "query", "lists", "vec")
+    keys = ["group", "vb", "qb"]
     met = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_compare(width, k + 1), "query long, rep long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     best = met.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n")
