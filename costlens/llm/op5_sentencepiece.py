@@ -32,7 +32,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text whose distinct words make one trie; words, pairs of pieces and characters that a worker keeps.
-TRIE_BYTES, KEPT_WORDS, KEPT_PAIRS, KEPT_CHARS = 2 << 20, 300_000, 400_000, 5_000_000
+TRIE_BYTES, KEPT_WORDS, KEPT_PAIRS, KEPT_CHARS = 1 << 20, 200_000, 250_000, 3_000_000
 
 
 def load_model(path: str) -> dict:

@@ -31,6 +31,7 @@ def held(key: str, make):
     """The worker's own object of that key; there is one at a time, so that stages of one job don't pile up."""
     if key not in HELD:
         HELD.clear()
+        _POWERS.clear()
         HELD[key] = make()
     return HELD[key]
 
