@@ -2,9 +2,10 @@
 
 Words are lower-cased runs of ASCII letters, digits and characters beyond ASCII; shingles are five
 words. A template of n words belongs to the class of windows of 2L words that start every L words,
-L the power of two from n on (8 at least), so each occurrence lies whole in some window. A window
-that holds three quarters of a template's shingles has a Jaccard similarity of 0.15 or more with it;
-64 bands of one minimum each miss that with a probability under 4e-5, and the surer the fuller it is.
+L the power of two from n on (8 at least), so each occurrence lies whole in some window. A window of
+2L words that holds just the least number of a template's shingles has the least Jaccard similarity J
+with it, 1/12 for a template of five words. Each class has the bands of one minimum that miss its least
+J with a probability of MISS or under (64 at least), and fuller or shorter windows are missed less often.
 Every shingle of a template holds one of its anchor words, so texts and windows without any are
 passed over before hashing, which loses nothing. All of it is DataFrame functions on the JVM; the
 templates are a small constant side.
@@ -12,12 +13,16 @@ templates are a small constant side.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 SHINGLE, CONTAINED_PERCENT, BANDS, LEAST_CLASS = 5, 75, 64, 8
+#: Largest probability that a window that holds enough of a template meets it in no band.
+MISS = 1e-9
 #: name -> notice: usual short notices of public licences. Fixed values.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -70,8 +75,19 @@ def window_class(n: int) -> int:
     return size
 
 
-def _minima(shingles):
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
+def least_jaccard(words: list[str], percent: int = CONTAINED_PERCENT) -> float:
+    """The least Jaccard similarity of a template with a window of its class that holds ``percent`` per cent of its shingles."""
+    n = len(_shingle_list(words))
+    held = max(1, -(-n * percent // 100))
+    return held / (max(held, 2 * window_class(len(words)) - SHINGLE + 1) + n - held)
+
+
+def bands_for(jaccard: float) -> int:
+    return BANDS if jaccard >= 1 else max(BANDS, math.ceil(math.log(MISS) / math.log1p(-jaccard)))
+
+
+def _minima(shingles, bands):
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = CONTAINED_PERCENT) -> DataFrame:
@@ -89,6 +105,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     for name, w in lists.items():
         classes.setdefault(window_class(len(w)), []).append(name)
     anchors = {size: sorted({a for n in names for a in _anchors(_shingle_list(lists[n]))}) for size, names in classes.items()}
+    bands = {size: max(bands_for(least_jaccard(lists[n], percent)) for n in names) for size, names in classes.items()}
     every = sorted({a for some in anchors.values() for a in some})
     lower = F.translate(F.col("text").cast("string"), _UPPER, _LOWER)
     hinted = docs.select("doc_id", lower.alias("t")).filter(F.col("t").rlike("(?<![0-9a-z\\x{80}-\\x{10FFFF}])(?:" + "|".join(every) + ")(?![0-9a-z\\x{80}-\\x{10FFFF}])"))
@@ -97,15 +114,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
     def cut_windows(size: int):
         starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(size))
         held = F.array(*map(F.lit, anchors[size]))
-        made = F.transform(starts, lambda i: F.struct(F.lit(size).alias("class"), i.alias("word"), F.slice("w", i + 1, F.lit(2 * size)).alias("words")))
+        made = F.transform(starts, lambda i: F.struct(F.lit(size).alias("class"), F.lit(bands[size]).alias("bands"), i.alias("word"), F.slice("w", i + 1, F.lit(2 * size)).alias("words")))
         return F.filter(made, lambda x: F.arrays_overlap(x["words"], held) & (F.size(x["words"]) >= SHINGLE))
 
     windows = worded.select("doc_id", F.explode(F.concat(*(cut_windows(size) for size in classes))).alias("x")).select("doc_id", "x.*")
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, F.lit(SHINGLE)), " ")))
-    hashed = windows.select("doc_id", "class", "word", shingles.alias("shingles")).withColumn("minima", _minima(F.col("shingles")))
-    entries = [F.struct(F.lit(name).alias("license"), F.lit(window_class(len(w))).alias("class"), F.array(*map(F.lit, _shingle_list(w))).alias("template")) for name, w in lists.items()]
+    hashed = windows.select("doc_id", "class", "bands", "word", shingles.alias("shingles")).withColumn("minima", _minima(F.col("shingles"), F.col("bands")))
+    entries = [F.struct(F.lit(name).alias("license"), F.lit(window_class(len(w))).alias("class"), F.lit(bands[window_class(len(w))]).alias("bands"), F.array(*map(F.lit, _shingle_list(w))).alias("template")) for name, w in lists.items()]
     known = docs.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*entries)))
-    posted = known.select("license", "class", "template", F.posexplode(_minima(F.col("template"))).alias("band", "least"))
+    posted = known.select("license", "class", "template", F.posexplode(_minima(F.col("template"), F.col("bands"))).alias("band", "least"))
     met = hashed.select("doc_id", "class", "word", "shingles", F.posexplode("minima").alias("band", "least")).join(F.broadcast(posted), ["class", "band", "least"])
     share = F.size(F.array_intersect("shingles", "template")) / F.size("template")
     found = met.select("doc_id", "license", "word", share.alias("share"), F.size("template").alias("n")).filter(F.col("share") * 100 >= percent)

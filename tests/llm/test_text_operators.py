@@ -122,6 +122,21 @@ def test_every_shingle_of_a_template_holds_an_anchor():
         assert shingles and all(chosen & set(s.split()) for s in shingles)
 
 
+def test_every_template_meets_its_windows():
+    for text in op2_licenses.TEMPLATES.values():
+        w = op2_licenses.words_of(text)
+        j = op2_licenses.least_jaccard(w)
+        assert (1 - j) ** op2_licenses.bands_for(j) <= op2_licenses.MISS
+    assert op2_licenses.least_jaccard(op2_licenses.words_of(op2_licenses.TEMPLATES["mit"])) == 1 / 12
+
+
+def test_shortest_template_in_one_full_window_is_never_missed(spark):
+    rng = random.Random(22)
+    texts = [(i, words_text(rng, 12 + i % 4, 10**6) + " " + op2_licenses.TEMPLATES["mit"] + " " + words_text(rng, 40, 10**6)) for i in range(4000)]
+    got = op2_licenses.scan(frame(spark, texts)).collect()
+    assert len(got) == 4000 and {(r["license"], r["containment"], r["word"]) for r in got} == {("mit", 1.0, 8)}
+
+
 # ---- 5. SentencePiece
 
 ODD = ["", "  a  b ", "<s>x</s> <0x0A>", "é漢字😀 it's 123٣\n\n y\t", " " * 37 + "x", "a" * 3000, "\r\n{\r", None, "the the The", "\x00 \x85"]
