@@ -205,6 +205,13 @@ def renumber_cases(spark, d):
     return E.renumber(e.withColumn("function", F.concat(F.lit("fn_"), F.col("site_id").cast("string")))).select("ord", "id")
 
 
+@query("with g as (select user_id % 40 as site_id, event_id as ord from events), n as (select *, cast(row_number() over (partition by site_id order by ord) as varchar) as n from g) select ord, 'fn_' || site_id || '-' || lpad(n, cast(greatest(2, len(n)) as integer), '0') as id from n")
+def renumber_every_case(spark, d):
+    """Every event numbered."""
+    e = table(spark, d, "events").select((F.col("user_id") % 40).alias("site_id"), F.col("event_id").alias("ord"))
+    return E.renumber(e.withColumn("function", F.concat(F.lit("fn_"), F.col("site_id").cast("string")))).select("ord", "id")
+
+
 @query("""select d.doc_id, source as site_id, lang as model, quality = 1 as passed from documents d join labels l using (doc_id)""")
 def quality_grid(spark, d):
     """Labels as passes of a (site, model) grid."""

@@ -45,6 +45,10 @@ def test_query_is_its_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_every_event_is_numbered(spark):
+    assert catalogue.QUERIES["renumber_every_case"](spark, DATA).count() == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
 def test_entry_imports_without_the_corpus_operators(tmp_path, monkeypatch):
     import sys
 
