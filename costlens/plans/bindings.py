@@ -112,10 +112,10 @@ costs as (select d.site_id, d.action, d.model, v.per_day, b.cost_per_call as bef
 DOMAIN_SQL = f"with {RESULTS_SQL.strip()}, {SPINE_SQL.strip()}"
 
 
-def call_sites(spark: SparkSession, sf_dir: str, head: bool) -> DataFrame:
-    """Call sites of one side of a comparison: a conversation is a site and its turns the prompt."""
+def call_sites(spark: SparkSession, sf_dir: str, head: bool, every: bool = False) -> DataFrame:
+    """Call sites of one side of a comparison, or ``every`` one: a conversation is a site and its turns the prompt."""
     c = table(spark, sf_dir, "conversations")
-    kept = c.filter(F.col("conv_id") % (5 if head else 7) != 0)
+    kept = c if every else c.filter(F.col("conv_id") % (5 if head else 7) != 0)
     turned = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"), (F.col("turn") % 5 != 4).alias("resolved"))))
     grouped = kept.groupBy("conv_id").agg(turned.alias("turns"))
     altered = F.lit(head) & (F.col("conv_id") % 6 == 0)
@@ -136,7 +136,7 @@ def call_sites(spark: SparkSession, sf_dir: str, head: bool) -> DataFrame:
     )
 
 
-def _side_sql(name: str, head: bool) -> str:
+def side_sql(name: str, head: bool, every: bool = False) -> str:
     h = "true" if head else "false"
     return f"""
 {name} as (select 'app/mod_' || cast(conv_id % 16 as varchar) || '.py::fn_' || cast(conv_id as varchar) as id, conv_id,
@@ -149,7 +149,7 @@ def _side_sql(name: str, head: bool) -> str:
     case when {h} and conv_id % 11 <> 2 then 'easy' end as difficulty, case when {h} and conv_id % 4 = 1 then 'auditor' else 'ast' end as found_by,
     case when {h} and conv_id % 7 = 3 then 'app/mod_' || cast((conv_id // 10 * 5) % 16 as varchar) || '.py::fn_' || cast(conv_id // 10 * 5 as varchar) end as via
   from (select conv_id, cast(coalesce(sum(n) filter (turn % 5 <> 4), 0) as bigint) as tokens, count(*) filter (turn % 5 = 4) > 0 as partial, count(*) filter (turn % 5 = 4) as unresolved
-    from (select *, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\x0b\\x0c]+')) as n from conversations) where conv_id % {5 if head else 7} <> 0 group by conv_id))"""
+    from (select *, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\x0b\\x0c]+')) as n from conversations){'' if every else f' where conv_id % {5 if head else 7} <> 0'} group by conv_id))"""
 
 
-SIDES_SQL = _side_sql("base", False).strip() + "," + _side_sql("head", True)
+SIDES_SQL = side_sql("base", False).strip() + "," + side_sql("head", True)

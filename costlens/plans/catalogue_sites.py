@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import callsites as C
 from ..operators import evals as E
-from .bindings import SETTINGS, SIDES_SQL, call_sites, table
+from .bindings import SETTINGS, SIDES_SQL, call_sites, side_sql, table
 from .catalogue import query
 
 PRICES_SQL = "prices as (select * from (values ('m_big', 2.5::double, 10.0::double), ('m_mid', 0.4::double, 1.6::double), ('m_small', 0.15::double, 0.6::double), ('m_tiny', 0.1::double, 0.4::double)) v(model, price_in, price_out))"
@@ -68,6 +68,19 @@ def diff_status_counts(spark, d):
     return C.diff_totals(diffs(spark, d)).select(*(f"n_{s}" for s in C.STATUSES))
 
 
+EVERY_SQL = side_sql("base", False, every=True).strip() + "," + side_sql("head", True, every=True)
+
+
+@query(f"with {EVERY_SQL} select id, tokens, partial from base")
+def prompt_estimate_every(spark, d):
+    return call_sites(spark, d, False, every=True).select("id", C.prompt_estimate().alias("p")).select("id", "p.tokens", "p.partial")
+
+
+@query(f"with {EVERY_SQL}, {PRICES_SQL}, {_est('base')} select id, model, model_assumed, prompt_tokens, prompt_partial, completion_tokens, completion_assumed, calls_per_day, round(monthly, 6) as monthly from e_base")
+def estimate_every_site(spark, d):
+    return C.estimate(call_sites(spark, d, False, every=True), SETTINGS).drop("per_call").withColumn("monthly", F.round("monthly", 6))
+
+
 METRICS_SQL = """unpivot_{0} as (select unnest([{{'metric': 'call_sites', 'value': count(*)}}, {{'metric': 'models_resolved', 'value': count(model)}}, {{'metric': 'prompts_resolved', 'value': count(*) filter (prompt_resolved)}},
     {{'metric': 'enriched', 'value': count(*) filter (purpose is not null and output_contract is not null and difficulty is not null and grading is not null)}},
     {{'metric': 'found_by_auditor', 'value': count(*) filter (found_by = 'auditor')}}, {{'metric': 'via_helper', 'value': count(via)}}], recursive := true) from {0})"""
@@ -78,6 +91,11 @@ def scan_summary(spark, d):
     return C.metrics(call_sites(spark, d, False)).filter(F.col("metric").isin("call_sites", "models_resolved", "prompts_resolved"))
 
 
+@query(f"with {EVERY_SQL}, {METRICS_SQL.format('base')} select metric, value from unpivot_base where metric in ('call_sites', 'models_resolved', 'prompts_resolved')")
+def scan_summary_every(spark, d):
+    return C.metrics(call_sites(spark, d, False, every=True)).filter(F.col("metric").isin("call_sites", "models_resolved", "prompts_resolved"))
+
+
 @query(f"with {SIDES_SQL}, {METRICS_SQL.format('base')}, {METRICS_SQL.format('head')} select b.metric, b.value as before, h.value as after from unpivot_base b join unpivot_head h using (metric)")
 def compare_metrics(spark, d):
     return C.compare_metrics(call_sites(spark, d, False), call_sites(spark, d, True))
@@ -97,14 +115,22 @@ def compare_changes(spark, d):
     return C.compare(call_sites(spark, d, False), call_sites(spark, d, True))
 
 
-@query(f"""with {SIDES_SQL} select id, unnest(list_filter([case when grading = 'json_fields' and output_format <> 'json' then 'grading is json_fields but output_format is ' || output_format end,
+LINT_SQL = """select id, unnest(list_filter([case when grading = 'json_fields' and output_format <> 'json' then 'grading is json_fields but output_format is ' || output_format end,
   case when via in (select id from head) then 'via ' || via || ' is still listed as its own call site' end, case when found_by = 'auditor' then 'found_by is auditor but there is no note of it' end,
   case when purpose is null or output_contract is null or difficulty is null or grading is null then 'missing ' || concat_ws(', ', case when purpose is null then 'purpose' end, case when output_contract is null then 'output_contract' end, case when difficulty is null then 'difficulty' end, case when grading is null then 'grading' end) end,
-  case when model is null then 'model still unresolved' end, case when not prompt_resolved then 'prompt still unresolved' end], lambda x: x is not null)) as warning from head""")
+  case when model is null then 'model still unresolved' end, case when not prompt_resolved then 'prompt still unresolved' end], lambda x: x is not null)) as warning from head"""
+
+
+@query(f"with {SIDES_SQL} {LINT_SQL}")
 def audit_lint(spark, d):
     return C.lint(call_sites(spark, d, True), "auditor")
 
 
+@query(f"with {EVERY_SQL} {LINT_SQL}")
+def audit_lint_every(spark, d):
+    return C.lint(call_sites(spark, d, True, every=True), "auditor")
+
+
 @query("select l_orderkey, l_linenumber, 'f' || (l_suppkey % 7) || '::fn_' || (l_orderkey % 5000) || case when row_number() over (partition by l_suppkey % 7, l_orderkey % 5000 order by l_orderkey, l_linenumber, l_partkey, l_quantity) > 1 then '#' || row_number() over (partition by l_suppkey % 7, l_orderkey % 5000 order by l_orderkey, l_linenumber, l_partkey, l_quantity) else '' end as id from lineitem where l_linenumber <= 3")
 def site_numbering(spark, d):
     rows = table(spark, d, "lineitem").filter("l_linenumber <= 3").select(
@@ -113,6 +139,14 @@ def site_numbering(spark, d):
     return C.number_sites(rows).select("l_orderkey", "l_linenumber", "id")
 
 
+@query("with n as (select *, row_number() over (partition by l_suppkey % 7, l_orderkey % 5000 order by l_orderkey, l_linenumber, l_partkey, l_quantity) as n from lineitem) select l_orderkey, l_linenumber, 'f' || (l_suppkey % 7) || '::fn_' || (l_orderkey % 5000) || case when n > 1 then '#' || n else '' end as id from n")
+def site_numbering_every(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("f"), (F.col("l_suppkey") % 7).cast("string")).alias("file"), F.concat(F.lit("fn_"), (F.col("l_orderkey") % 5000).cast("string")).alias("function"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("ord")
+    )
+    return C.number_sites(rows).select("l_orderkey", "l_linenumber", "id")
+
+
 CALLERS_SQL = """with sites as (select 'mod_' || (s_nationkey) as file, 'Cls.' || 'fn_' || (s_suppkey % 50) as function, 'fn_' || (s_suppkey % 50) as last, s_suppkey from supplier),
 calls as (select distinct 'mod_' || c_nationkey || '::' || case when c_custkey % 9 = 0 then 'Cls.fn_' || (c_custkey % 50) else 'caller_' || (c_custkey % 40) end as caller, 'fn_' || (c_custkey % 60) as callee from customer)
 select s_suppkey, coalesce(string_agg(distinct caller, ',' order by caller), '') as callers from sites left join calls on callee = last and caller <> file || '::' || function group by s_suppkey"""

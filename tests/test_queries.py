@@ -49,6 +49,13 @@ def test_every_event_is_numbered(spark):
     assert catalogue.QUERIES["renumber_every_case"](spark, DATA).count() == spark.read.parquet(f"{DATA}/events.parquet").count()
 
 
+def test_every_line_and_conversation_is_a_site(spark):
+    rows = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
+    assert catalogue.QUERIES["site_numbering_every"](spark, DATA).count() == rows("lineitem").count()
+    for name in ("prompt_estimate_every", "estimate_every_site"):
+        assert catalogue.QUERIES[name](spark, DATA).count() == rows("conversations").select("conv_id").distinct().count()
+
+
 def test_entry_imports_without_the_corpus_operators(tmp_path, monkeypatch):
     import sys
 
