@@ -165,6 +165,25 @@ def test_scan_of_a_small_repository(spark):
     assert sites["app/main.py::twice#5"]["max_tokens"] == 5 and not sites["app/main.py::twice#5"]["messages"][0]["resolved"]
 
 
+def test_scan_of_a_src_layout_and_of_long_chains(spark):
+    call = "client.chat.completions.create(model={}, messages={})\n"
+    head = "from openai import OpenAI\nclient = OpenAI()\n"
+    tree = {
+        "src/app/conf.py": "MODEL = 'm1'\nROUTES = {'a.b': 'm2'}\n",
+        "one/same.py": "MODEL = 'x'\n",
+        "two/same.py": "MODEL = 'y'\n",
+        "src/app/main.py": head + "from app.conf import MODEL, ROUTES\nfrom same import MODEL as either\nfrom chain.c0 import MODEL as far\n"
+        "def a():\n    " + call.format("MODEL", "[]") + "def b():\n    " + call.format("ROUTES['a.b']", "[]") + "def c():\n    " + call.format("either", "[]") + "def d():\n    " + call.format("far", "[]")
+        + "def e():\n    m = []\n    m.append({'role': 'user', 'content': 'x'})\n    " + call.format("'m'", "m"),
+        **{f"chain/c{i}.py": f"from chain.c{i + 1} import MODEL\n" for i in range(7)},
+        "chain/c7.py": "MODEL = 'm7'\n",
+    }
+    given = spark.createDataFrame([("r", k, v.encode()) for k, v in tree.items()], "repo string, rel string, content binary")
+    found = {r["function"]: r for r in S.scan(given).collect()}
+    assert {k: r["model"]["value"] for k, r in found.items()} == {"a": "m1", "b": "m2", "c": None, "d": "m7", "e": "m"}
+    assert found["e"]["messages"] is None and found["a"]["model"]["defined_in"] == "src/app/conf.py"
+
+
 def test_git_source(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", tmp_path, "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
     run("init", "-q")
