@@ -55,13 +55,13 @@ def logged(spark: SparkSession, sites: DataFrame, evals: str, results: str, s: S
 def command_scan(spark, a, s):
     sites = scan_tree(spark, a.root, s)
     write_scan(sites, a.out)
-    sites.select("id", "line", F.col("model.value").alias("model"), F.col("model.source").alias("source"), C.prompt_resolved().alias("prompt")).orderBy("file", "line").show(render.REPORT_ROWS, 80)
+    render.show(sites.select("id", "line", F.col("model.value").alias("model"), F.col("model.source").alias("source"), C.prompt_resolved().alias("prompt"), "file").orderBy("file", "line").drop("file"))
     return 0
 
 
 def command_validate(spark, a, s):
     problems = files.scan_problems(spark, a.scan, FIELDS).collect()
-    warnings = [] if problems else C.lint(files.scan_file(spark, a.scan), a.generated_by).orderBy("id").limit(render.REPORT_ROWS).collect()
+    warnings = [] if problems else C.lint(files.scan_file(spark, a.scan), a.generated_by).orderBy("id").collect()
     for r in problems:
         print(f"error: {r['id']}: {r['problem']}")
     for r in warnings:
@@ -72,7 +72,7 @@ def command_validate(spark, a, s):
 def command_compare(spark, a, s):
     before, after = files.scan_file(spark, a.before), files.scan_file(spark, a.after)
     C.compare_metrics(before, after).orderBy("metric").show(truncate=False)
-    C.compare(before, after).orderBy("id").show(render.REPORT_ROWS, False)
+    render.show(C.compare(before, after).orderBy("id"))
     return 0
 
 
@@ -80,8 +80,8 @@ def command_check_evals(spark, a, s):
     sites = files.scan_file(spark, a.scan)
     cases, problems = files.eval_cases(spark, a.evals)
     found = E.coverage(cases.select("slug"), sites.select(slug_for("id").alias("slug"))).filter("state <> 'ok'").collect()
-    rows = problems.orderBy("slug", "line").limit(render.REPORT_ROWS).collect()
-    twice = E.duplicate_ids(cases.withColumnRenamed("slug", "site_id")).limit(render.REPORT_ROWS).collect()
+    rows = problems.orderBy("slug", "line").collect()
+    twice = E.duplicate_ids(cases.withColumnRenamed("slug", "site_id")).orderBy("site_id", "line").collect()
     few = E.few_cases(cases.withColumnRenamed("slug", "site_id")).collect()
     for r in rows:
         print(f"error: {r['slug']} line {r['line']}: {r['problem']}")
@@ -117,9 +117,8 @@ def command_run(spark, a, s, client=None):
 
 def command_report(spark, a, s):
     rated, log = logged(spark, files.scan_file(spark, a.scan), a.evals, a.results, s)
-    text = render.report(rated, log, s)
     with open(a.out, "w", encoding="utf-8") as file:
-        file.write(text)
+        file.writelines(line + "\n" for line in render.report_lines(rated, log, s))
     return 0
 
 

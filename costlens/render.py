@@ -1,7 +1,9 @@
-"""Reports and payloads: small results as Markdown on the driver, documents as JSON columns in Spark."""
+"""Reports and payloads: Markdown line by line, its rows sorted in Spark; documents as JSON columns in Spark."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,6 @@ from .operators import decide as D
 from .operators import money as M
 from .schemas import Settings
 
-#: Rows of a report that the driver takes: a report lists call sites, which people read one by one.
-REPORT_ROWS = 10_000
-
 
 def usd(x: float | None, unknown: str = "n/a") -> str:
     return unknown if x is None else f"{'-' if x < 0 else ''}${abs(x):,.2f}"
@@ -23,38 +22,61 @@ def share(x: float | None) -> str:
     return "n/a" if x is None else f"{x * 100:.1f}%"
 
 
-def table(head: list[str], rows: list[list]) -> list[str]:
+def table(head: list[str], rows: Iterable[list]) -> Iterator[str]:
     line = lambda cells: "| " + " | ".join("-" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
-    return [line(head), line(["---"] * len(head)), *map(line, rows)]
+    yield from (line(head), line(["---"] * len(head)))
+    yield from map(line, rows)
+
+
+def show(rows: DataFrame) -> None:
+    """Prints every row."""
+    for line in table(rows.columns, rows.toLocalIterator()):
+        print(line)
 
 
 def report(rated: DataFrame, latest: DataFrame, settings: Settings) -> str:
-    """The Markdown report of a log: what changes, what it saves, what the analysis cost, what needs a look."""
+    return "\n".join(report_lines(rated, latest, settings)) + "\n"
+
+
+def report_lines(rated: DataFrame, latest: DataFrame, settings: Settings) -> Iterator[str]:
+    """The Markdown report of a log: what changes, what it saves, what the analysis cost, what needs a look.
+
+    Counts come from aggregates; the driver takes one partition of the rows at a time.
+    """
     decisions = D.decide(rated, settings)
     costs = M.site_costs(decisions, rated, settings)
     checks = D.check_candidates(rated, settings)
     total = M.summary(costs).first()
     spent = M.analysis_cost(latest, settings).first()
     back = costs.sparkSession.createDataFrame([(spent["total"], total["savings"])], "total double, savings double").select(M.payback_hours().alias("hours")).select(M.payback_label().alias("label")).first()[0]
-    ds = decisions.orderBy("site_id").limit(REPORT_ROWS).collect()
-    cs = {r["site_id"]: r for r in costs.limit(REPORT_ROWS).collect()}
-    down = [r for r in ds if r["action"] == "downgrade"]
-    out = ["# Model cost report", "", f"- Cost now: {usd(total['before'])} a month", f"- Cost after: {usd(total['after'])} a month", f"- Savings: {usd(total['savings'])} ({'n/a' if total['savings_pct'] is None else f'{total['savings_pct']:.1f}%'})", f"- Call sites that change: {len(down)} of {len(ds)}"]
-    out += ["", "## Cost of the analysis", "", *table(["part", "calls", "cost"], [["model calls", spent["model_calls"], usd(spent["model_cost"])], [f"judge calls ({spent['judge_model'] or 'none'})", spent["judge_calls"], usd(spent["judge_cost"])], ["total", None, usd(spent["total"])]]), "", f"Paid back after: {back}"]
-    out += ["", "## Decisions", "", *table(["call site", "action", "model", "before", "after", "why"], [[r["site_id"], r["action"], r["model"], usd(cs[r["site_id"]]["before_month"]), usd(cs[r["site_id"]]["after_month"]), r["reason"]] for r in ds])]
-    quality = rated.groupBy("site_id").pivot("model", settings.models).agg(F.first("pass_rate")).orderBy("site_id").limit(REPORT_ROWS).collect()
-    out += ["", "## Quality", "", *table(["call site", *settings.models], [[r["site_id"], *(share(r[m]) for m in settings.models)] for r in quality])]
-    look = [f"- {r['site_id']}: {r['model']} keeps {share(r['ratio'])} of baseline quality, just under the threshold" for r in D.near_misses(checks, settings).orderBy("site_id", "ord").limit(REPORT_ROWS).collect()]
-    look += [f"- {r['site_id']}: the baseline passes {share(r['baseline_pass_rate'])}, below the floor" for r in ds if r["baseline_below_floor"]]
-    look += [f"- {r['site_id']}: the baseline has {r['scored']} of {r['cases']} cases scored" for r in D.missing_data(rated, settings).orderBy("site_id").limit(REPORT_ROWS).collect()]
-    out += ["", "## Needs a look", "", *(look or ["Nothing."])]
-    return "\n".join(out) + "\n"
+    n, down = decisions.agg(F.count("*"), F.count_if(F.col("action") == "downgrade")).first()
+    yield from ["# Model cost report", "", f"- Cost now: {usd(total['before'])} a month", f"- Cost after: {usd(total['after'])} a month", f"- Savings: {usd(total['savings'])} ({'n/a' if total['savings_pct'] is None else f'{total['savings_pct']:.1f}%'})", f"- Call sites that change: {down} of {n}"]
+    yield from ["", "## Cost of the analysis", "", *table(["part", "calls", "cost"], [["model calls", spent["model_calls"], usd(spent["model_cost"])], [f"judge calls ({spent['judge_model'] or 'none'})", spent["judge_calls"], usd(spent["judge_cost"])], ["total", None, usd(spent["total"])]]), "", f"Paid back after: {back}"]
+    priced = decisions.select("site_id", "action", "model", "reason").join(costs.select("site_id", "before_month", "after_month"), "site_id", "left").orderBy("site_id")
+    yield from ["", "## Decisions", ""]
+    yield from table(["call site", "action", "model", "before", "after", "why"], ([r["site_id"], r["action"], r["model"], usd(r["before_month"]), usd(r["after_month"]), r["reason"]] for r in priced.toLocalIterator()))
+    quality = rated.groupBy("site_id").pivot("model", settings.models).agg(F.first("pass_rate")).orderBy("site_id")
+    yield from ["", "## Quality", ""]
+    yield from table(["call site", *settings.models], ([r["site_id"], *(share(r[m]) for m in settings.models)] for r in quality.toLocalIterator()))
+    yield from ["", "## Needs a look", ""]
+    some = False
+    for r in D.near_misses(checks, settings).orderBy("site_id", "ord").toLocalIterator():
+        some = True
+        yield f"- {r['site_id']}: {r['model']} keeps {share(r['ratio'])} of baseline quality, just under the threshold"
+    for r in decisions.filter("baseline_below_floor").orderBy("site_id").toLocalIterator():
+        some = True
+        yield f"- {r['site_id']}: the baseline passes {share(r['baseline_pass_rate'])}, below the floor"
+    for r in D.missing_data(rated, settings).orderBy("site_id").toLocalIterator():
+        some = True
+        yield f"- {r['site_id']}: the baseline has {r['scored']} of {r['cases']} cases scored"
+    if not some:
+        yield "Nothing."
 
 
 def diff_report(diffs: DataFrame) -> str:
     """The Markdown of a comparison, in its order, with marks for what is assumed."""
     total = C.diff_totals(diffs).first()
-    rows = C.ordered(diffs.filter("status <> 'unchanged'")).withColumns({"shown": signed_money("delta"), "was": money("before", "unknown"), "is": money("after", "unknown")}).limit(REPORT_ROWS).collect()
+    rows = C.ordered(diffs.filter("status <> 'unchanged'")).withColumns({"shown": signed_money("delta"), "was": money("before", "unknown"), "is": money("after", "unknown")}).toLocalIterator()
     marks = lambda r: ("†" if r["model_assumed"] else "") + ("‡" if r["completion_assumed"] else "") + ("§" if r["prompt_partial"] else "")
     out = ["## Cost of this change", "", f"{usd(total['before'])} -> {usd(total['after'])} a month", ""]
     if not total["has_changes"]:

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from costlens import cli, config
+from costlens import cli, config, render
 from costlens.operators.model_calls import FixedClient
 
 APP = """
@@ -46,6 +46,12 @@ def test_commands_from_scan_to_report(spark, project):
     assert run("estimate", f"{project}/scan.json", f"{project}/scan.json", "--fail-above", "0") == 0
 
 
+def test_a_report_lists_every_change(spark):
+    row = "'added' as status, concat('s',id) as id, 1.0D as before, 2.0D as after, 1.0D as delta, true as known, array('x') as reasons, false as model_assumed, false as completion_assumed, false as prompt_partial"
+    text = render.diff_report(spark.range(10_050).selectExpr(*row.split(", ")))
+    assert text.count("| added |") == 10_050
+
+
 def test_bad_input_is_2(spark, project):
     (project / "bad.json").write_text(json.dumps({"models": {"baseline": ""}, "extra": 1}))
     assert cli.main(["--config", f"{project}/bad.json", "validate", "x"], spark) == 2
