@@ -4,8 +4,8 @@ Learning is one pass: byte trigrams inside words are counted by language over al
 rows, summed inside each task and then across tasks; the model is at most 2**16 counts a
 language. Labelling is one map stage: a word's script leaves the languages that write in it,
 its trigrams give a log probability for each of these, and Viterbi finds the labels of all
-documents of a group at once. Neighbouring words with the same best language enter the
-Viterbi pass as one step, and so stay together.
+documents of a group at once, word by word. With two languages, neighbouring words with the same
+best language enter the pass as one step, which changes nothing.
 """
 
 from __future__ import annotations
@@ -141,7 +141,8 @@ def _steps(p: W.Piece, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     top = scores.argmax(1)
     doc = p.doc_of_words()
     fresh = np.ones(len(top), bool)
-    fresh[1:] = (top[1:] != top[:-1]) | (doc[1:] != doc[:-1])
+    if len(logs) <= 2:  # a switch inside a run of one best language gains nothing; with a third language it can
+        fresh[1:] = (top[1:] != top[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(fresh)
     if not len(begin):
         return scores, begin, begin, np.zeros(p.hi - p.lo, np.int64)

@@ -6,6 +6,7 @@ import random
 import re
 
 import public_tokenizers
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -179,6 +180,22 @@ def test_unigram_words_have_the_best_sum_of_scores():
 # ---- 6. languages
 
 
+@pytest.mark.parametrize("langs", [2, 3, 4])
+def test_languages_switch_where_a_word_by_word_viterbi_does(monkeypatch, langs):
+    rng, n, switch = np.random.default_rng(6), 9, op6_language.SWITCH
+    for _ in range(60):
+        logs = (rng.integers(-40, 1, (langs, n)) * switch / 16).astype(np.float32)
+        monkeypatch.setattr(op6_language, "_features", lambda p: (np.arange(n), np.arange(n), np.zeros(n, int)))
+        piece = next(words.pieces(pa.array([" ".join("abcdefghi")]), words.ALNUM, True))
+        scores, count, _, steps = op6_language._steps(piece, {"logs": logs, "writes": np.ones((langs, 1), bool)})
+        path = np.repeat(op6_language._viterbi(scores, steps), count)
+        value = logs[path, np.arange(n)].sum() - switch * (path[1:] != path[:-1]).sum()
+        v = logs[:, 0].astype(float)
+        for t in range(1, n):
+            v = np.maximum(v, v.max() - switch) + logs[:, t]
+        assert abs(value - v.max()) < 1e-3
+
+
 def test_languages_of_spans_and_scripts(spark):
     en = "the house is green and the garden is wide with many old trees near the river"
     de = "das haus ist grün und der garten ist weit mit vielen alten bäumen nahe dem fluss"
