@@ -4,11 +4,13 @@ Plan: a map stage turns each text into the digest of its set of 5-word shingles,
 sketch and 32 band keys made from 128 universal hash minima. Documents with equal digests
 meet in one pre-aggregated group, so any number of copies costs one node. Nodes that share
 a band bucket are compared with the bucket's best connected node, not with each other; a
-sketch test and then the exact sets confirm each link. In buckets that still hold several
-components afterwards, pairs across those components are tested by larger odd sketches, which
-rule out only pairs that can't be similar enough, and the rest are confirmed too; so a
-link is lost only if no band agrees (4e-6 at a similarity of 0.75) or the sketch differs in over
-40 of 128 bits (under 1e-9 there). Components are closed by large-star and small-star rounds.
+sketch test and then the exact sets confirm each link. Nodes of buckets that still hold several
+components afterwards are looked at once more: a document of n shingles can only link to another component if
+0.75 n of them occur in other components, and then its rarest such shingles meet those of its partner. That prefix filter
+loses no pair, and it passes over templated documents, whose shared part is too small. A link is thus
+lost only if no band agrees (4e-6 at a similarity of 0.75) or the sketch differs in over 40 of 128 bits
+(under 1e-9 there). Keys with many rows are dealt to several tasks. Components are closed by
+large-star and small-star rounds.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, semi, table, text_of
+from .common import copied, cut, dealt, hot_counts, hot_keys, semi, table, text_of
 from .components import components
 
 SHINGLE, SIMILAR_PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 40
+#: Rows of one key that one task handles.
+MOST = 128
 _RNG = np.random.Generator(np.random.PCG64(71))
 _MUL = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -104,30 +108,48 @@ def _shingle_sets(width: int):
     return run
 
 
-def _odd_sketches(width: int):
-    """Parity of the number of shingles at each of 4096 places: two sets differ in at least as many shingles as places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, sizes, hashes in _sets(batch.column(1), width):
-                ends = np.cumsum(sizes)
-                place = (hashes >> np.uint64(52)).astype(np.int64)
-                odd = [np.packbits((np.bincount(place[e - n : e], minlength=4096) & 1).astype(np.uint8)).view(np.int64) for n, e in zip(sizes, ends, strict=True)]
-                flat = np.concatenate(odd) if odd else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), pa.array(sizes), W.list_column(flat, np.full(len(sizes), 64), pa.int64())], names=["node", "size", "odd"])
-
-    return run
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
+    """``pairs`` with the set of the node in column ``end``; a node of many pairs is met in several tasks."""
+    hot = hot_keys(pairs, end, MOST)
+    own = sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"))
+    return dealt(pairs, end, hot, "a", "b").join(copied(own, end, hot), [end, "salt"]).drop("salt")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough; the sketch test comes first."""
-    pairs = cut(pairs, "pairs")
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
     sets = cut(semi(texts, ids, "node").mapInArrow(_shingle_sets(width), "node long, shingles array<long>"), "sets")
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(b, "b").join(a, "a").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    linked = _with_sets(_with_sets(pairs, sets, "b"), sets, "a").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
+    return linked.select("a", "b").distinct()
+
+
+def across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``nodes(node, s1, s2, component)`` and ``sets(node, shingles)`` -> pairs (a, b) of different components that may be similar enough.
+
+    Both of a similar pair have ``percent`` per cent of their shingles in common. Only shingles in several components count as common ones;
+    with those sorted by their number of nodes, the first c - need + 1 of a node's c hold at least one of any partner's first ones. Where
+    a pair first meets, what comes after in both lists bounds the intersection, which rules out most pairs before they are made rows.
+    """
+    sets = sets.withColumn("set", F.xxhash64("shingles")).dropDuplicates(["node", "set"])  # a repeated doc_id may have several
+    flat = sets.join(nodes.select("node", "component"), "node").select("node", "component", "set", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    often = flat.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "n")
+    often = cut(often, "crossing")
+    hot = hot_counts(often, "token", MOST)
+    held = dealt(flat, "token", hot, "node").join(copied(often, "token", hot), ["token", "salt"]).groupBy("node", "set", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
+    need = F.ceil(F.col("size") * percent / 100)
+    first = held.withColumn("k", (F.size("held") - need + 1).cast("int")).filter("k > 0")
+    first = first.select("node", "size", F.size("held").alias("c"), F.posexplode(F.slice("held", 1, F.col("k"))).alias("pos", "x"))
+    first = cut(first.join(nodes, "node").select(F.col("x.token").alias("token"), "node", "size", (F.col("c") - F.col("pos")).alias("left"), "s1", "s2", "component"), "prefixes")
+    # a token's nodes meet in blocks of MOST by MOST
+    hot = hot_keys(first, "token", MOST)
+    rows = copied(dealt(first, "token", hot, "node").withColumnRenamed("salt", "row"), "token", hot).withColumnRenamed("salt", "column")
+    columns = copied(dealt(first, "token", hot, "node").withColumnRenamed("salt", "column"), "token", hot).withColumnRenamed("salt", "row")
+    columns = columns.select("token", "row", "column", *(F.col(c).alias(f"{c}_") for c in ("node", "size", "left", "s1", "s2", "component")))
+    near = F.bit_count(F.expr("s1 ^ s1_")) + F.bit_count(F.expr("s2 ^ s2_")) <= SKETCH_BITS
+    enough = F.least("left", "left_") * (100 + percent) >= (F.col("size") + F.col("size_")) * percent
+    met = rows.join(columns, ["token", "row", "column"]).filter((F.col("node") < F.col("node_")) & (F.col("component") != F.col("component_")) & enough & near)
+    return met.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILAR_PERCENT) -> DataFrame:
@@ -147,38 +169,29 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
     signed = cut(texts.mapInArrow(_signatures(width), schema), "signatures")
     named = signed.filter("n_shingles > 0 and doc_id is not null")
     nodes = cut(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands")), "nodes")
-    sketches = nodes.select("node", "s1", "s2")
-
     posted = nodes.select("node", "s1", "s2", F.explode("bands").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(posted.join(shared, "key"), "buckets")
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degree, "node")
+    shared = cut(posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    hot = cut(hot_counts(shared, "key", MOST), "hot-buckets")
+    members = cut(dealt(posted, "key", hot, "node").join(copied(shared, "key", hot), ["key", "salt"]), "buckets")
+    ranked = members.join(members.groupBy("node").agg(F.sum("n").alias("degree")), "node")
     centres = ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("node"), "s1", "s2")).alias("c"))
     centres = centres.select("key", (-F.col("c.col2")).alias("c"), F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2"))
     near = F.bit_count(F.expr("s1 ^ c1")) + F.bit_count(F.expr("s2 ^ c2")) <= SKETCH_BITS
     pair = [F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")]
-    starred = cut(members.join(centres, "key").filter((F.col("node") != F.col("c")) & near).select(*pair).distinct(), "star-pairs")
+    starred = members.join(copied(centres, "key", hot), ["key", "salt"]).filter((F.col("node") != F.col("c")) & near)
+    starred = cut(starred.select(*pair).distinct(), "star-pairs")
     by_node = texts.select(F.col("doc_id").alias("node"), "text")
-    links = cut(_confirmed(starred, sketches, by_node, width, percent), "links")
+    links = cut(_confirmed(starred, by_node, width, percent), "links")
     found = components(links)
 
-    # what the stars leave open: pairs of one bucket whose ends are still in different components
+    # what the stars leave open: nodes of buckets whose members are still in different components
     at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_ = cut(at.join(open_keys, "key").select("key", "node", "s1", "s2", "component"), "open")
-    # |A| + |B| bounds how far sets that are similar enough can differ, and odd sketches how little they do: this loses none
-    odd = semi(by_node, open_.select("node").distinct(), "node").mapInArrow(_odd_sketches(width), "node long, size long, odd array<long>")
-    open_ = cut(open_.join(odd, "node"), "open-sketches")
-    other = open_.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "s1", "s2", "component", "size", "odd")))
-    apart = F.expr("aggregate(zip_with(odd, odd_, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)")
-    cheap = F.bit_count(F.expr("s1 ^ s1_")) + F.bit_count(F.expr("s2 ^ s2_")) <= SKETCH_BITS
-    close = apart * (100 + percent) <= (F.col("size") + F.col("size_")) * (100 - percent)
-    rest = open_.join(other, "key").filter((F.col("node") < F.col("node_")) & (F.col("component") != F.col("component_")) & cheap & close)
-    rest = rest.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
-    rest = cut(rest, "rest-pairs")
+    open_ = cut(dealt(at.drop("salt"), "key", hot, "node").join(copied(open_keys, "key", hot), ["key", "salt"]).select("node", "s1", "s2", "component").distinct(), "open")
+    sets = cut(semi(by_node, open_.select("node"), "node").mapInArrow(_shingle_sets(width), "node long, shingles array<long>"), "open-sets")
+    rest = cut(across(open_, sets, percent).join(starred, ["a", "b"], "left_anti"), "rest-pairs")
     if not rest.isEmpty():
-        links = links.union(_confirmed(rest, sketches, by_node, width, percent))
+        links = links.union(_confirmed(rest, by_node, width, percent))
         found = components(links)
 
     # every document of a node, then the documents that share an id across nodes

@@ -93,6 +93,33 @@ def test_near_duplicates_by_force(spark):
     assert next(r for r in got if r["doc_id"] == len(texts) - 7)["n_shingles"] == 0
 
 
+def test_templated_documents_are_passed_over(spark):
+    """3,000 documents that share a template, of similarity 0.5: every one is its own class, and hardly any pair is looked at."""
+    rng = random.Random(17)
+    template = words_text(rng, 104, 10**6)
+    texts = [template + " " + words_text(rng, 46, 10**6) for _ in range(3000)]
+    texts += [edited(rng, texts[7], 1), edited(rng, texts[9], 2)]
+    docs = frame(spark, enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in op1_minhash.near_duplicates(docs).collect()}
+    assert got == {i: {3000: 7, 3001: 9}.get(i, i) for i in range(3002)}
+    sets = docs.selectExpr("doc_id as node", "text").mapInArrow(op1_minhash._shingle_sets(5), "node long, shingles array<long>")
+    nodes = docs.selectExpr("doc_id as node", "0L as s1", "0L as s2", "doc_id as component")
+    pairs = {(r["a"], r["b"]) for r in op1_minhash.across(nodes, sets, 75).collect()}
+    assert {(7, 3000), (9, 3001)} <= pairs and len(pairs) < 20
+
+
+def test_pairs_across_components_by_force(spark):
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice(["a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x", "y z 1 2 3 4"]) for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    docs = frame(spark, enumerate(texts))
+    sets = docs.selectExpr("doc_id as node", "text").mapInArrow(op1_minhash._shingle_sets(5), "node long, shingles array<long>")
+    nodes = docs.selectExpr("doc_id as node", "0L as s1", "0L as s2", "doc_id % 40 as component")
+    pairs = {(r["a"], r["b"]) for r in op1_minhash.across(nodes, sets, 75).collect()}
+    full = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if a % 40 != b % 40 and 100 * len(full[a] & full[b]) >= 75 * len(full[a] | full[b])}
+    assert want and want <= pairs
+
+
 def test_near_duplicates_edges(spark):
     empty = frame(spark, [])
     assert op1_minhash.near_duplicates(empty).count() == 0
@@ -325,5 +352,76 @@ def test_repeated_passages_edges(spark, tmp_path):
     assert op9_substrings.query(spark, f"{tmp_path}/none").count() == 0
 
 
+def paths_by_force(edges):
+    """Repeated edges (u, v) -> the sets of edges that hang together over nodes with one edge in and one out."""
+    ins, outs = {}, {}
+    for e in edges:
+        outs.setdefault(e[0], []).append(e)
+        ins.setdefault(e[1], []).append(e)
+    group = {e: {e} for e in edges}
+    for node in set(ins) & set(outs):
+        if len(ins[node]) == len(outs[node]) == 1:
+            a, b = group[ins[node][0]], group[outs[node][0]]
+            if a is not b:
+                a |= b
+                for e in b:
+                    group[e] = a
+    return {frozenset(g) for g in group.values()}
+
+
+def test_paths_are_compacted_over_unbranched_nodes(spark):
+    rng = random.Random(14)
+    for case in range(3):
+        edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(16)} if case else {(1, 2), (2, 3), (2, 4), (5, 2), (7, 8), (8, 7), (9, 9)}
+        # sources: some stretches follow each other in the text, others lie apart
+        at, place = {}, 0
+        for e in sorted(edges):
+            place += rng.choice([1, 1, 5])
+            at[e] = place
+        for e in sorted(edges):  # a successor right behind its edge
+            after = [f for f in sorted(edges) if f[0] == e[1] and f != e]
+            if after and rng.random() < 0.7 and at[e] + 1 not in at.values():
+                at[after[0]] = at[e] + 1
+        rows = spark.createDataFrame([(u, v, s) for (u, v), s in at.items()], "u long, v long, src long")
+        got = {}
+        for r in op9_substrings.compact(rows).collect():
+            for s in range(r["start"], r["end"]):
+                got.setdefault(r["path"], set()).add(next(e for e, x in at.items() if x == s))
+        assert {frozenset(x) for x in got.values()} == paths_by_force(edges) and sum(map(len, got.values())) == len(edges)
+
+
+@pytest.mark.parametrize("bits", [2, 7])
+def test_words_decide_where_hashes_collide(spark, bits):
+    rng = random.Random(15)
+    short, long_ = words_text(rng, 30, 10**6), words_text(rng, 45, 10**6)
+    texts = [words_text(rng, 15) + " " + short + " " + words_text(rng, 15) for _ in range(8)]  # anchors repeat, no window does
+    texts += [words_text(rng, 9) + " " + long_, long_ + " " + words_text(rng, 9), texts[0], "x y " * 40]
+    want = repeats_by_force(texts, 35)
+    every, spans, _ = op9_substrings.repeated_spans(frame(spark, enumerate(texts)), 35, bits)
+    removed = {r["doc_id"]: sum(r["runs"][1::2]) - sum(r["runs"][::2]) for r in spans.collect()}
+    whole = {r["doc_id"] for r in every.filter("copies > 1").collect()}
+    assert whole == {0, 10}
+    assert [len(texts[i].split()) if i in whole else removed.get(i, 0) for i in range(len(texts))] == [n for _, n, _ in want]
+
+
+def test_repeats_in_very_long_texts(spark):
+    rng = random.Random(16)
+    passage = words_text(rng, 50, 10**6)
+    long_ = " ".join(map(str, range((1 << 20) - 20))) + " " + passage + " tail"  # the passage lies over the end of a slot
+    docs = frame(spark, [(1, long_), (2, "a b " + passage), (3, "c " + passage[:60])])
+    _, spans, _ = op9_substrings.repeated_spans(docs)
+    assert {r["doc_id"]: r["runs"] for r in spans.collect()} == {1: [(1 << 20) - 20, (1 << 20) + 30], 2: [2, 52]}
+
+
+def test_keys_are_dealt_and_copied(spark):
+    left = spark.createDataFrame([(1, i) for i in range(100)] + [(2, i) for i in range(3)], "k int, i int")
+    hot = common.hot_keys(left, "k", 10)
+    assert [tuple(r) for r in hot.collect()] == [(1, 10)]
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, x string")
+    got = common.dealt(left, "k", hot, "i").join(common.copied(right, "k", hot), ["k", "salt"])
+    assert sorted((r["k"], r["i"], r["x"]) for r in got.collect()) == [(1, i, "a") for i in range(100)] + [(2, i, "b") for i in range(3)]
+    assert got.filter("k = 1").select("salt").distinct().count() > 5
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
