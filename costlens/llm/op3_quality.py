@@ -1,8 +1,10 @@
 """3. Text quality by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are the documents labelled 1, unlabelled text is a sample of all documents, and
-the share of positives among the labelled rows estimates the class prior. A logistic model over
-figures of a text's form minimises the non-negative unbiased risk of Kiryo et al. (2017): the part
+Trusted positives are the documents labelled 1, unlabelled text is a sample of all documents; labels of 0 are not used. The
+class prior is estimated from these two alone: above any threshold of a classifier that tells positives from
+unlabelled text, the unlabelled share is at least the prior times the positives' share, so the least ratio of the two on rows
+not fitted on bounds the prior, closely where some texts are surely good. A logistic model over
+figures of a text's form then minimises the non-negative unbiased risk of Kiryo et al. (2017): the part
 of the risk that stands for negatives, unlabelled minus prior times positive, is kept from going
 below zero. Fitting takes bounded samples; scoring is one map stage over whole texts.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import words as W
-from .common import table, text_of
+from .common import cut, table, text_of
 from .op6_language import held_out
 
 #: Most positives, and most unlabelled documents, that fitting uses: those of least hash.
@@ -103,35 +105,65 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return {"mean": mean, "scale": scale, "w": w}
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.3) -> float:
+    """The share of positives in ``unlabelled``, both rows of figures in no order: the least ratio of tails that hold ``least`` of the positives."""
+    both = np.concatenate([positive, unlabelled])
+    mean, scale = both.mean(0), both.std(0) + 1e-6
+    xp, xu = _expand((positive - mean) / scale), _expand((unlabelled - mean) / scale)
+    p, u = max(1, len(xp) // 2), max(1, len(xu) // 2)
+    w, m, v = (np.zeros(xp.shape[1]) for _ in range(3))
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    for t in range(1, 401):
+        g = (sig(xu[:u] @ w) @ xu[:u]) / u - (sig(-(xp[:p] @ w)) @ xp[:p]) / p + 1e-3 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    good, some = np.sort(xp[p:] @ w if len(xp) > p else xp @ w), np.sort(xu[u:] @ w if len(xu) > u else xu @ w)
+    at = np.quantile(good, np.linspace(0, 1 - least, 200))
+    share = lambda x: 1 - np.searchsorted(x, at) / len(x)
+    return float(np.clip((share(some) / share(good)).min(), 0.01, 0.99))
+
+
+def _least(ids: DataFrame, salt: int, sample: int) -> DataFrame:
+    """``sample`` rows of the distinct ``ids(doc_id)``: those of least hash; rows that can't be among them are passed over before the sort."""
+    h = F.xxhash64("doc_id", F.lit(salt))
+    n = ids.count()
+    some = ids if n <= 4 * sample else ids.filter(h < F.lit(int(-(2**63) + 2**64 * (4 * sample / n))))
+    return some.orderBy(h, "doc_id").limit(sample)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Figures of at most ``sample`` positives and of at most ``sample`` documents, one row for each doc_id: that of its text of least hash."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
+    picks = [_least(marked.filter("quality = 1").select("doc_id").join(ids, "doc_id", "left_semi"), 1, sample), _least(ids, 2, sample)]
+    both = picks[0].withColumn("kind", F.lit(1)).union(picks[1].withColumn("kind", F.lit(2))).groupBy("doc_id").agg(F.sum("kind").alias("kind"))
+    both = cut(both, "sample")  # at most twice ``sample`` rows
+    rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(both), "doc_id")
+    told = rows.select(F.struct("doc_id", "kind", F.xxhash64("text").alias("same")).alias("key"), "text").mapInArrow(_figures, "doc_id struct<doc_id:bigint,kind:bigint,same:bigint>, x array<double>")
+    one = told.select("doc_id.*", "x").groupBy("doc_id", "kind").agg(F.min(F.struct("same", "x")).alias("m")).select("kind", F.col("m.x").alias("x"), F.xxhash64("doc_id").alias("place"))
+    got = one.toPandas().sort_values("place")
+    return tuple(np.stack(x.to_list()) if len(x) else np.zeros((0, len(FEATURES))) for x in (got["x"][got["kind"] & k > 0] for k in (1, 2)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """``docs(doc_id, text)`` and ``labels(doc_id, quality)`` -> the model, and the prior it was fitted with.
 
     Labels with nulls are left out; a document labelled both ways is no positive. Without positives, or
-    without documents, every score is the prior (0.5 if no label says more).
+    without documents, every score is 0.5. The driver holds the figures of 2 * ``sample`` documents at most.
     """
     ship(docs.sparkSession)
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna()
-    marked = marked.join(ids.distinct(), "doc_id", "left_semi")
-    prior = marked.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    prior = 0.5 if prior is None else min(0.99, max(0.01, prior))
-    least = lambda df, salt: [r[0] for r in df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(sample).collect()]
-    good, some = least(marked.filter("quality = 1"), 1), least(ids, 2)
-    spark = docs.sparkSession
-
-    def figures(chosen: list[int]) -> np.ndarray:
-        few = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-        rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(few), "doc_id", "left_semi")
-        got = rows.mapInArrow(_figures, "doc_id long, x array<double>").orderBy("doc_id").toPandas()["x"]
-        return np.stack(got.to_list()) if len(got) else np.zeros((0, len(FEATURES)))
-
-    if not good or not some:
-        return {"prior": prior, "mean": np.zeros(len(FEATURES)), "scale": np.ones(len(FEATURES)), "w": np.append(np.zeros(2 * len(FEATURES)), np.log(prior / (1 - prior)))}
-    return {"prior": prior} | fit_risk(figures(good), figures(some), prior)
+    good, some = sampled(docs, labels, sample)
+    if not len(good) or not len(some):
+        return {"prior": 0.5, "mean": np.zeros(len(FEATURES)), "scale": np.ones(len(FEATURES)), "w": np.zeros(2 * len(FEATURES) + 1)}
+    prior = class_prior(good, some)
+    return {"prior": prior} | fit_risk(good, some, prior)
 
 
 def quality(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """``docs(text, keep...)`` -> ``(keep..., score)``, a row for each document; null and empty texts get the score of figures of 0."""
+    """``docs(text, keep...)`` -> ``(keep..., score)``, a row for each document; null and empty texts get the score of figures of 0.
+
+    Repeated rows come back repeated with one score; columns that aren't kept are ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k = len(keep)
 

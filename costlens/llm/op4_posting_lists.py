@@ -1,13 +1,13 @@
 """4. Approximate nearest neighbours by balanced posting lists around centroids.
 
 Equal vectors are one entry with their smallest ids, so a vector that fills a third of the table is one
-entry too. Centroids are fitted on a bounded sample; every entry goes to the list of its nearest
-centroid and, near a border, to those of all others at nearly that distance. A
-query walks a neighbour graph of the centroids in memory, opens the lists whose centroid is within a ratio of
-the nearest one's distance, and is compared with all of their entries. Lists are gathered in groups, so that
-a query has one result for each group and not for each list; the entries and the queries of a group are
-dealt into blocks of bounded size, so a long list is more tasks, not a longer one. Inner products become
-distances by one more coordinate that evens out the norms.
+entry too. Centroids are fitted on a bounded sample so that no list of the sample is far over its share; every entry goes to the list of its
+nearest centroid and, near a border, to those of all others at nearly that distance. The lists are then counted over the whole table, and each
+that is overfull is split by centroids of its own, fitted on a sample of its entries and kept in a table: lists stay short as the table
+grows. A query walks a neighbour graph of the centroids in memory, opens the lists whose centroid is within a ratio of
+the nearest one's distance, within a split list the parts by the same rule, and is compared with all of their entries. Its nearest list comes
+first; from the others only entries at least as near as the last one found there come back. Queries and entries meet by list; a
+list with many of either is dealt into blocks. Inner products become distances by one more coordinate that evens out the norms.
 """
 
 from __future__ import annotations
@@ -21,16 +21,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import cut, table
+from .common import copied, cut, dealt, hot_keys, table
 
-#: Vectors that the centroids are fitted on (least hash first), entries that a list should have, and most lists.
+#: Vectors that the centroids are fitted on (least hash first), entries that a list should have, and most lists of the first level.
 SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 200, 4096
-#: An entry goes to lists within this ratio of its nearest distance; a query opens lists within that one.
-CLOSURE, OPEN = 1.02, 1.17
+#: A list of over SPLIT times its share of entries is split, by centroids fitted on about PART_SAMPLE of its entries.
+SPLIT, PART_SAMPLE = 3, 8192
+#: An entry goes to lists within this ratio of its nearest distance; a query opens lists within OPEN of its own, or further if
+#: the sample shows that it takes more to reach so many of the neighbours.
+CLOSURE, OPEN, TARGET = 1.02, 1.1, 0.96
 #: Neighbours of a centroid in the graph, and how many of its nodes a search expands at least.
 DEGREE, BEAM = 24, 32
-#: Lists are gathered in this many groups; entries, and queries, of one block of a group.
-GROUPS, ENTRIES, QUERIES = 16, 65_536, 4096
+#: Entries, and queries, of one block of a list.
+ENTRIES, QUERIES = 16_384, 2048
 NEAREST = 20
 
 
@@ -47,21 +50,42 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T))
 
 
-def fit_centroids(x: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
-    """k-means over the sample; an empty cluster takes the point farthest from its centroid."""
+def fit_centroids(x: np.ndarray, n: int, rounds: int = 12, most: float = 2.0) -> np.ndarray:
+    """Balanced k-means: an empty cluster, and the smallest ones as long as some cluster holds over ``most`` times its share, restart in the largest clusters."""
     rng = np.random.Generator(np.random.PCG64(11))
     c = x[rng.permutation(len(x))[:n]].copy()
-    for _ in range(rounds):
-        d = _distances(x, c)
-        near = d.argmin(1)
+    for t in range(rounds):
+        near = np.concatenate([_distances(x[lo : lo + 4096], c).argmin(1) for lo in range(0, len(x), 4096)])
         many = np.bincount(near, minlength=len(c))
         for k in range(x.shape[1]):
             c[:, k] = np.bincount(near, weights=x[:, k], minlength=len(c)) / np.maximum(1, many)
-        empty = np.flatnonzero(many == 0)
-        c[empty] = x[np.argsort(-d.min(1))[: len(empty)]]
+        full = np.argsort(-many, kind="stable")
+        full = full[many[full] > most * len(x) / len(c)][: len(c) // 4]
+        small = np.argsort(many, kind="stable")[: max(len(full), int((many == 0).sum()))]
+        if t + 2 < rounds or (many == 0).any():  # the last rounds settle
+            for i, k in enumerate(small if t + 2 < rounds else small[many[small] == 0]):
+                own = np.flatnonzero(near == (full[i % len(full)] if len(full) else many.argmax()))
+                c[k] = x[own[rng.integers(len(own))]]
     return c
 
 
+def fit_ratio(x: np.ndarray, c: np.ndarray, largest: float, n: int, k: int) -> float:
+    """The ratio of distances within which a query has to open lists to reach TARGET of its neighbours, as measured on a sample of lifted vectors.
+
+    Queries are some of the sample. Their neighbours in the sample stand for the k in a table of n rows: the nearest of these lie
+    closer than the sample shows, so the ratio is on the safe side.
+    """
+    q = _as_query(x[np.random.Generator(np.random.PCG64(12)).permutation(len(x))[:256], :-1], largest)
+    near = np.argsort(-(q @ x.T), 1, kind="stable")[:, 1 : 1 + max(1, -(-k * len(x) // n))]  # the first is the query itself
+    if not near.size:
+        return OPEN
+    to = _distances(x[near.reshape(-1)], c)
+    posted = to <= CLOSURE * to.min(1, keepdims=True) + 1e-12
+    own = np.repeat(_distances(q, c), near.shape[1], 0)
+    ratio = np.where(posted, own, np.inf).min(1) / np.maximum(own.min(1), 1e-12)
+    return max(OPEN, float(np.quantile(ratio, TARGET)))
+
+
 class CentroidGraph:
     """The centroids, each linked to its nearest others, searched best first from a few far apart."""
 
@@ -106,107 +130,188 @@ def _post(shared, width: int):
                 part = batch.slice(lo, 4096)
                 d = _distances(_lifted(_matrix(part.column(1), width), largest), graph.c)
                 rows, lists = np.nonzero(d <= CLOSURE * d.min(1, keepdims=True) + 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["list", "rep", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], names=["list", "rep", "vec"])
 
     return run
 
 
-def _probe(shared, width: int):
+def _probe(shared, width: int, ratio: float):
+    """(query, vec) -> a row for each list that the query opens; ``first`` marks the nearest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, largest = shared.value
         for batch in batches:
-            q = _matrix(batch.column(1), width)
-            q = q / np.maximum(1e-300, np.sqrt((q * q).sum(1)))[:, None] * np.sqrt(largest)
-            rows, groups, lists = [], [], []
-            for i, x in enumerate(q):
-                near = np.array(graph.near(np.append(x, 0.0), OPEN), np.int32)
-                for g in np.unique(near % GROUPS):
-                    rows.append(i)
-                    groups.append(g)
-                    lists.append(near[near % GROUPS == g])
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), batch.column(0).take(at), pa.array(lists, pa.list_(pa.int32())), batch.column(1).take(at)], names=["group", "query", "lists", "vec"])
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                rows, lists, first = [], [], []
+                for i, x in enumerate(_as_query(_matrix(part.column(1), width), largest)):
+                    near = graph.near(x, ratio)
+                    least = near[int(((graph.c[near] - x) ** 2).sum(1).argmin())]
+                    rows += [i] * len(near)
+                    lists += near
+                    first += [j == least for j in near]
+                at = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(first, pa.bool_()), part.column(0).take(at), part.column(1).take(at)], names=["list", "first", "query", "vec"])
+
+    return run
+
+
+def _as_query(q: np.ndarray, largest: float) -> np.ndarray:
+    """Queries with the largest norm of an entry and no share in the coordinate that evens norms out."""
+    return np.concatenate([q / np.maximum(1e-300, np.sqrt((q * q).sum(1)))[:, None] * np.sqrt(largest), np.zeros((len(q), 1))], 1)
+
+
+def _fit_parts(width: int, largest: float):
+    """A sample of one list's entries with the list's number of parts -> the centroids of its parts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = _lifted(_matrix(rows.column("vec").combine_chunks(), width), largest)
+        c = fit_centroids(x, min(len(x), rows.column("parts")[0].as_py()), rounds=8)
+        return pa.table({"list": [rows.column("list")[0]] * len(c), "part": list(range(len(c))), "centre": list(c)}, schema=pa.schema([("list", pa.int64()), ("part", pa.int32()), ("centre", pa.list_(pa.float64()))]))
+
+    return run
+
+
+def _into_parts(width: int, largest: float, ratio: float, query: bool):
+    """Rows of one list, or a block of them, and the list's centroids -> the same rows for each part within the ratio."""
+
+    def run(rows: pa.Table, centres: pa.Table) -> pa.Table:
+        names = [c for c in rows.column_names if c != "salt"]
+        if not rows.num_rows or not centres.num_rows:
+            return rows.select(names).slice(0, 0)
+        order = np.argsort(centres.column("part").to_numpy(), kind="stable")
+        c = _matrix(centres.column("centre").combine_chunks().take(pa.array(order)), width + 1)
+        out = []
+        for lo in range(0, rows.num_rows, 2048):
+            part = rows.slice(lo, 2048)
+            x = _matrix(part.column("vec").combine_chunks(), width)
+            d = _distances(_as_query(x, largest) if query else _lifted(x, largest), c)
+            least = d.min(1, keepdims=True)
+            at, parts = np.nonzero(d <= ratio * least + 1e-12)
+            taken = part.take(pa.array(at)).select(names)
+            taken = taken.set_column(names.index("list"), "list", pa.array((taken.column("list").to_numpy() << 32) + parts + 1, pa.int64()))
+            if query:
+                nearest = taken.column("first").to_numpy(zero_copy_only=False) & (parts == d.argmin(1)[at])
+                taken = taken.set_column(names.index("first"), "first", pa.array(nearest))
+            out.append(taken)
+        return pa.concat_tables(out)
 
     return run
 
 
 def _compare(width: int, keep: int):
+    """Entries and queries of one block of a list -> the ``keep`` best entries of each query that are no worse than its ``least``."""
+
     def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
         kind = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
         if not entries.num_rows or not queries.num_rows:
             return kind.empty_table()
-        ids, first, own = np.unique(entries.column("rep").to_numpy(), return_index=True, return_inverse=True)
-        x = _matrix(entries.column("vec").combine_chunks().take(pa.array(first)), width)
-        lists = entries.column("list").to_numpy()
-        order = np.argsort(lists, kind="stable")
-        names, begin = np.unique(lists[order], return_index=True)
-        held = dict(zip(names.tolist(), np.split(own[order], begin[1:]), strict=True))
-        y, qs = _matrix(queries.column("vec").combine_chunks(), width), queries.column("query").to_numpy()
+        ids = entries.column("rep").to_numpy()
+        x, y = (_matrix(t.column("vec").combine_chunks(), width) for t in (entries, queries))
+        least = queries.column("least").to_numpy()
         out_q, out_r, out_s = [], [], []
-        for i, opened in enumerate(queries.column("lists").to_pylist()):
-            parts = [held[k] for k in opened if k in held]
-            if not parts:
-                continue
-            at = np.unique(np.concatenate(parts))
-            rough = x[at] @ y[i]
-            if len(at) > keep:
-                at = at[rough >= np.partition(rough, -keep)[-keep] - 1e-9 * (1 + abs(rough).max())]
-            score = (x[at] * y[i]).sum(1)
-            top = np.lexsort((ids[at], -score))[:keep]
-            out_q.append(np.full(len(top), qs[i]))
-            out_r.append(ids[at][top])
-            out_s.append(score[top])
+        for lo in range(0, len(y), 256):
+            rough = y[lo : lo + 256] @ x.T
+            slack = 1e-9 * (1 + np.abs(rough).max(1))
+            floor = least[lo : lo + 256] - slack
+            if len(ids) > keep:
+                floor = np.maximum(floor, np.partition(rough, -keep, 1)[:, -keep] - slack)
+            for i, (row, f) in enumerate(zip(rough, floor, strict=True)):
+                at = np.flatnonzero(row >= f)
+                if not len(at):
+                    continue
+                score = (x[at] * y[lo + i]).sum(1)
+                top = np.lexsort((ids[at], -score))[:keep]
+                out_q.append(np.full(len(top), queries.column("query")[lo + i].as_py()))
+                out_r.append(ids[at][top])
+                out_s.append(score[top])
         return pa.table([np.concatenate(c) if c else [] for c in (out_q, out_r, out_s)], schema=kind)
 
     return run
 
 
+def _met(entries: DataFrame, queries: DataFrame, width: int, keep: int) -> DataFrame:
+    """``entries(list, rep, vec)`` and ``queries(list, query, least, vec)`` compared list by list, long ones in blocks."""
+    long_, asked = cut(hot_keys(entries, "list", ENTRIES), "long-lists"), cut(hot_keys(queries, "list", QUERIES), "asked-lists")
+    v = copied(dealt(entries, "list", long_, "rep").withColumnRenamed("salt", "block"), "list", asked)
+    q = copied(dealt(queries, "list", asked, "query").withColumnRenamed("salt", "other"), "list", long_).withColumnRenamed("salt", "block").withColumnRenamed("other", "salt")
+    keys = ["list", "block", "salt"]
+    return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_compare(width, keep), "query long, rep long, score double")
+
+
+def _balanced(posted: DataFrame, probes: DataFrame, width: int, largest: float, most: int, open_: float = OPEN) -> tuple[DataFrame, DataFrame]:
+    """Entries and probes with overfull lists split into parts; part p of list k is list k * 2**32 + p + 1."""
+    over = posted.groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT * most)
+    over = cut(over.select("list", "n", F.ceil(F.col("n") / most).cast("int").alias("parts")), "overfull")  # at most as many as the first level has lists
+    if over.isEmpty():
+        return posted, probes
+    few = posted.join(F.broadcast(over), "list").filter(F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col("n") / PART_SAMPLE)) == 0)
+    centres = cut(few.select("list", "parts", "vec").groupBy("list").applyInArrow(_fit_parts(width, largest), "list long, part int, centre array<double>"), "part-centres")
+    full = F.broadcast(over.select("list"))
+
+    def split(rows: DataFrame, by: str, size: int, ratio: float) -> DataFrame:
+        some = rows.join(full, "list", "left_semi")
+        hot = cut(hot_keys(some, "list", size), "split-lists")
+        keys = ["list", "salt"]
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        parts = dealt(some, "list", hot, by).select(*rows.columns, "salt").groupBy(*keys).cogroup(copied(centres, "list", hot).groupBy(*keys))
+        return rows.join(full, "list", "left_anti").union(parts.applyInArrow(_into_parts(width, largest, ratio, by == "query"), kind).select(*rows.columns))
+
+    return cut(split(posted, "rep", ENTRIES, CLOSURE), "split-entries"), cut(split(probes, "query", QUERIES, open_), "split-probes")
+
+
+def _numbers(vectors: DataFrame):
+    """The embedding as it is stored if that is an array of floats (half the bytes), else as doubles."""
+    return F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``(vec_id, vec)`` of the vectors that take part: of the commonest length, all components finite, not all zero."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).filter("vec_id is not null and size(vec) > 0")
-    rows = rows.filter("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _numbers(vectors).alias("vec")).filter("vec_id is not null and size(vec) > 0")
+    rows = rows.filter("forall(vec, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('Infinity')) and exists(vec, x -> x <> 0)")
     width = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.filter(F.size("vec") == (width["n"] if width else -1))
 
 
-def nearest(vectors: DataFrame, wanted, k: int = NEAREST) -> DataFrame:
+def nearest(vectors: DataFrame, wanted, k: int = NEAREST, size: int = LIST_SIZE) -> DataFrame:
     """``vectors(vec_id, embedding)`` -> ``(query_id, rank, vec_id, score)``: the k nearest found of each vector for which ``wanted`` holds.
 
     ``wanted`` is a condition on vec_id. Nearness is the inner product in double precision of the vectors as
     they are; equal scores go to the smaller vec_id; a query's own row is no candidate. Vectors that are null,
-    zero, hold null or non-finite components, or differ in length from the commonest take no part. A vec_id that repeats with equal vectors
-    counts once. No vectors, or no queries, give no rows; fewer candidates than k give all that were found.
+    zero, hold null or non-finite components, or differ in length from the commonest take no part; equal counts of lengths go to the shorter. A vec_id that repeats with equal vectors
+    counts once. No vectors, or no queries, give no rows; fewer candidates than k give all that were found. Columns other than
+    vec_id and embedding are ignored. ``size`` is the number of entries that a list should have.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = cut(usable(vectors).dropDuplicates(["vec_id", "vec"]), "vectors")
     first = rows.select("vec", "vec_id", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id")).alias("n")).filter(F.col("n") <= k + 1)
     reps = cut(first.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
-    reps = reps.withColumn("norm", F.expr("aggregate(vec, 0D, (a, x) -> a + x * x)"))
-    facts = reps.agg(F.count("*").alias("n"), F.max("norm").alias("largest"), F.max(F.size("vec")).alias("width")).first()
-    kind = "query_id long, rank int, vec_id long, score double"
+    norm = F.expr("aggregate(vec, 0D, (a, x) -> a + cast(x as double) * x)")
+    facts = reps.agg(F.count("*").alias("n"), F.max(norm).alias("largest"), F.max(F.size("vec")).alias("width")).first()
     if not facts["n"]:
-        return spark.createDataFrame([], kind)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, largest = facts["width"], facts["largest"]
     sample = reps.select("vec", "rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toArrow().column(0).combine_chunks()
     x = _lifted(_matrix(sample, width), largest)
-    lists = max(1, min(MAX_LISTS, len(x), -(-facts["n"] // LIST_SIZE)))
-    shared = spark.sparkContext.broadcast((CentroidGraph(fit_centroids(x, lists)), largest))
+    lists = max(1, min(MAX_LISTS, len(x), -(-facts["n"] // size)))
+    centroids = fit_centroids(x, lists)
+    open_ = fit_ratio(x, centroids, largest, facts["n"], k)
+    shared = spark.sparkContext.broadcast((CentroidGraph(centroids), largest))
+    kind = reps.schema["vec"].dataType.simpleString()
 
-    posted = cut(reps.select("rep", "vec").mapInArrow(_post(shared, width), "list int, rep long, vec array<double>"), "lists")
+    posted = cut(reps.select("rep", "vec").mapInArrow(_post(shared, width), f"list long, rep long, vec {kind}"), "lists")
     asked = cut(rows.filter(wanted).join(reps.select("vec", "rep"), "vec").select("vec_id", "rep", "vec"), "queries")
-    distinct = asked.groupBy("rep").agg(F.first("vec").alias("vec"))
-    probes = cut(distinct.mapInArrow(_probe(shared, width), "group int, query long, lists array<int>, vec array<double>"), "probes")
-    posted = posted.withColumn("group", F.col("list") % GROUPS)
-    sizes = lambda df, most, name: df.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    blocks = F.broadcast(sizes(posted, ENTRIES, "vn").join(sizes(probes, QUERIES, "qn"), "group"))  # GROUPS rows at most
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    v = posted.join(blocks, "group").select("group", dealt("rep", "vn").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb"), "list", "rep", "vec")
-    q = probes.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("vn") - 1)).alias("vb"), dealt("query", "qn").alias("qb"), "query", "lists", "vec")
-    keys = ["group", "vb", "qb"]
-    met = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_compare(width, k + 1), "query long, rep long, score double")
+    distinct = asked.groupBy(F.col("rep").alias("query")).agg(F.first("vec").alias("vec"))
+    probes = cut(distinct.mapInArrow(_probe(shared, width, open_), f"list long, first boolean, query long, vec {kind}"), "probes")
+    posted, probes = _balanced(posted, probes, width, largest, size, open_)
+
     order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    best = met.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n")
+    best_of = lambda met: met.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n")
+    near = cut(_met(posted, probes.filter("first").select("list", "query", F.lit(float("-inf")).alias("least"), "vec"), width, k + 1), "nearest-lists")
+    least = near.distinct().groupBy("query").agg(F.when(F.count("*") > k, F.element_at(F.sort_array(F.collect_list("score"), asc=False), k + 1)).otherwise(float("-inf")).alias("least"))
+    others = probes.filter("not first").join(least, "query", "left").select("list", "query", F.coalesce("least", F.lit(float("-inf"))).alias("least"), "vec")
+    best = best_of(near.union(_met(posted, others, width, k + 1)))
     wide = best.join(reps.select("rep", "ids"), "rep").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     # at most (k + 1) entries of k + 1 ids for each distinct query
     pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).join(wide, "query").select(

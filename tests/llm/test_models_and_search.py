@@ -1,8 +1,11 @@
 """Quality, vectors, URLs and the pipeline: held-out accuracy, recall and brute force."""
 
+import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +37,52 @@ def test_quality_edges(spark):
     assert op3_quality.quality(frame(spark, []), nothing, "doc_id").count() == 0
 
 
+def test_sample_keeps_its_bound(spark):
+    docs = spark.range(50_000).selectExpr("7L as doc_id", "concat('text ', id) as text").union(spark.range(100, 160).selectExpr("id", "concat('x ', id)"))
+    labels = docs.selectExpr("doc_id", "1 as quality")
+    good, some = op3_quality.sampled(docs, labels, 10)
+    assert len(good) == len(some) == 10
+    good, some = op3_quality.sampled(docs, labels, 100)
+    assert len(good) == len(some) == 61  # every id once
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_prior_of_a_known_mixture(share):
+    rng = np.random.default_rng(1)
+    draw = lambda good, n: rng.normal(1.5 if good else -1.5, 1, (n, 4))
+    mixed = np.concatenate([draw(True, int(4000 * share)), draw(False, int(4000 * (1 - share)))])
+    assert abs(op3_quality.class_prior(draw(True, 4000), rng.permutation(mixed)) - share) < 0.06
+
+
+def figures_by_force(text):
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), re.findall(r"[^\n\r]+", text)
+    if not words:
+        return [0.0] * 15
+    w, b = len(words), sum(len(x.encode()) for x in words)
+    marks, symbol = set(".,;:?'\"()-"), lambda c: "!" <= c <= "~" and not c.isalnum() and c not in ".,;:?'\"()-"
+    up, low = [sum("A" <= c <= "Z" for c in x) for x in words], [sum("a" <= c <= "z" for c in x) for x in words]
+    symbols = [sum(map(symbol, x)) for x in words]
+    assert not any(symbol(c) for c in marks)
+    return [
+        math.log1p(w), b / w / 10, sum(len(x.encode()) <= 2 for x in words) / w, len(set(words)) / w, sum(x == y for x, y in zip(words, words[1:], strict=False)) / w,
+        max(map(words.count, words)) / w, sum(symbols) / b, sum(n > 0 for n in symbols) / w, sum(up) / max(1, sum(up) + sum(low)), sum(u > 1 and not n for u, n in zip(up, low, strict=True)) / w,
+        sum(x.count("!") for x in words) / w, sum("0" <= c <= "9" for x in words for c in x) / b, math.log1p(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), sum(sum(c > 127 for c in x.encode()) for x in words) / b,
+    ]
+
+
+def test_scores_by_force(spark):
+    rng = random.Random(4)
+    texts = ["", " \n ", "Hello, World! HELLO hello hello\nline\nline\n\r", "é漢字 #1 $$ 2024 a b", *("".join(rng.choice("aB 1!.#é\n") for _ in range(rng.randrange(80))) for _ in range(60)), "word " * 30_000]
+    got = [x for _, part in op3_quality.features(pa.array(texts)) for x in part]
+    assert np.allclose(got, [figures_by_force(t) for t in texts])
+    n = len(op3_quality.FEATURES)
+    model = {"mean": np.linspace(0, 1, n), "scale": np.linspace(1, 2, n), "w": np.linspace(-1, 1, 2 * n + 1)}
+    for r in op3_quality.quality(frame(spark, enumerate([*texts, None])), model, "doc_id").collect():
+        x = (np.array(figures_by_force((texts + [""])[r["doc_id"]])) - model["mean"]) / model["scale"]
+        z = sum(a * b for a, b in zip([*x, *np.sqrt(abs(x)), 1], model["w"], strict=True))
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-9
+
+
 def test_risk_needs_no_negatives():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1.5, 1, (1500, 4)), rng.normal(-1.5, 1, (1500, 4))
@@ -73,6 +122,38 @@ def test_search_recall_and_ties(spark):
     assert all(scores[q, k] >= scores[q, k + 1] for q in queries for k in range(1, 20))
 
 
+def recall(got, want):
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    return np.mean([len(set(found[q]) & set(want[q])) / len(want[q]) for q in want])
+
+
+@pytest.mark.parametrize("n", [600, 1500, 4000])
+def test_recall_in_dense_regions(spark, n):
+    """Nine tenths of all vectors lie in one narrow cone."""
+    rng = np.random.default_rng(n)
+    dense = np.array([4.0] + [0.0] * 15) + rng.normal(size=(n * 9 // 10, 16)) * 0.3
+    x = np.concatenate([dense, rng.normal(size=(n - len(dense), 16)) * 3])
+    rows = [(i, [float(np.float32(c)) for c in v / np.sqrt((v * v).sum())]) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = op4_posting_lists.nearest(vectors, F.col("vec_id") % 20 == 0).collect()
+    assert recall(got, brute_nearest(rows, [i for i, _ in rows if i % 20 == 0], 20)) >= 0.9
+
+
+def test_overfull_lists_are_split(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 6))
+    posted = spark.createDataFrame([(i % 7 and 1, i, [float(v) for v in row]) for i, row in enumerate(x)], "list long, rep long, vec array<double>")
+    probes = spark.createDataFrame([(1, True, 5000, [float(v) for v in x[3]]), (0, False, 5000, [float(v) for v in x[3]])], "list long, first boolean, query long, vec array<double>")
+    entries, asked = op4_posting_lists._balanced(posted, probes, 6, float((x * x).sum(1).max()), 50)
+    sizes = {r["list"]: r["count"] for r in entries.groupBy("list").count().collect()}
+    assert sizes[0] == 129 and len(sizes) > 8 and max(sizes.values()) <= 200
+    assert {r["rep"] for r in entries.collect()} == set(range(900))
+    opened = asked.collect()
+    assert sum(r["first"] for r in opened) == 1 and {0, *(r["list"] for r in opened)} <= set(sizes)
+
+
 def test_search_edges(spark):
     kind = "vec_id long, embedding array<float>"
     assert op4_posting_lists.nearest(spark.createDataFrame([], kind), F.lit(True)).count() == 0

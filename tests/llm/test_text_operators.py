@@ -9,6 +9,7 @@ import public_tokenizers
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from costlens.llm import common, op1_minhash, op2_licenses, op5_sentencepiece, op6_language, op7_token_counts, op8_decontaminate, op9_substrings, words
 
@@ -289,15 +290,14 @@ def hits_by_force(text, items, width=13):
     return len(w), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [200_000, 7])
-def test_benchmark_hits_by_force(spark, monkeypatch, block):
-    monkeypatch.setattr(op8_decontaminate, "BLOCK_WINDOWS", block)
+@pytest.mark.parametrize("held", [op8_decontaminate.HELD, 0])
+def test_benchmark_hits_by_force(spark, held):
     rng = random.Random(8)
     items = [(1, words_text(rng, 30)), (2, "Short Item, here"), (3, None), (4, "..."), (5, words_text(rng, 13)), (5, words_text(rng, 13)), (None, "null id here")]
-    texts = ["", None, items[0][1].upper(), "x " + items[0][1][10:90] + " y", "a short item here. Short-item here", words_text(rng, 50), items[4][1] + " " + items[0][1], "zz " * 400 + items[4][1], "null id here"]
+    texts = ["", None, items[0][1].upper(), "x " + items[0][1][10:90] + " y", "a short item here. Short-item here", words_text(rng, 50), items[4][1] + " " + items[0][1], "zz " * 400 + items[4][1], "null id here", "long " * 120_000 + items[0][1]]
     docs = frame(spark, enumerate(texts)).withColumnRenamed("source", "hit").withColumnRenamed("lang", "items")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in op8_decontaminate._n_hit(op8_decontaminate.benchmark_hits(docs, bench, "doc_id")).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in op8_decontaminate._n_hit(op8_decontaminate.benchmark_hits(docs, bench, "doc_id", held=held)).collect()}
     want = {i: hits_by_force(t, [x for x in items if x[0] is not None]) for i, t in enumerate(texts)}
     assert got == want
     clean = op8_decontaminate.drop_contaminated(docs, bench)
@@ -305,6 +305,20 @@ def test_benchmark_hits_by_force(spark, monkeypatch, block):
     cut = {r["doc_id"]: r["text"] for r in op8_decontaminate.remove_spans(docs, bench, "doc_id").collect()}
     assert cut[5] == texts[5] and cut[1] is None and hits_by_force(cut[3], items[:1])[1] == 0
     assert op8_decontaminate.benchmark_hits(docs, bench.limit(0), "doc_id").filter("size(hit) > 0").count() == 0
+    twice = op8_decontaminate.benchmark_hits(docs.union(docs).withColumn("doc_id", F.lit(None)), bench, "doc_id", "n_chars")
+    assert twice.count() == 2 * len(texts) and twice.filter("size(hit) > 0").count() == 2 * sum(h > 0 for _, h, _ in want.values())
+
+
+def test_a_large_benchmark_is_a_bloom_filter():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2))
+    k = 21
+    bits = np.zeros(1 << k, bool)
+    for probe in range(op8_decontaminate.PROBES):
+        bits[op8_decontaminate._probe(keys, probe, k).astype(np.int64)] = True
+    packed = np.packbits(bits, bitorder="little").reshape(-1, op8_decontaminate.BLOCK_BYTES)
+    known = op8_decontaminate.KeySet([13], None, {i: x.tobytes() for i, x in enumerate(packed)}, k)
+    assert len(known.has(keys)) == len(keys) and len(known.has(keys + np.uint64(1))) < 20
 
 
 # ---- 9. repeated passages
