@@ -9,8 +9,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import config, render
-from .functions.text import slug_for
+from . import __version__, config, render
+from .functions.text import allowed_values, graded_fields, placeholders, slug_for
 from .operators import callsites as C
 from .operators import decide as D
 from .operators import evals as E
@@ -80,7 +80,9 @@ def command_check_evals(spark, a, s):
     sites = files.scan_file(spark, a.scan)
     cases, problems = files.eval_cases(spark, a.evals)
     found = E.coverage(cases.select("slug"), sites.select(slug_for("id").alias("slug"))).filter("state <> 'ok'").collect()
-    rows = problems.orderBy("slug", "line").collect()
+    named = sites.select("id", slug_for("id").alias("slug"))
+    prompts = E.prompt_problems(sites).join(named.withColumnRenamed("id", "site_id"), "site_id").join(cases.select("slug").distinct(), "slug", "left_semi")
+    rows = problems.unionByName(prompts.select("slug", F.lit(0).cast("bigint").alias("line"), "problem")).orderBy("slug", "line").collect()
     twice = E.duplicate_ids(cases.withColumnRenamed("slug", "site_id")).orderBy("site_id", "line").collect()
     few = E.few_cases(cases.withColumnRenamed("slug", "site_id")).collect()
     for r in rows:
@@ -95,24 +97,101 @@ def command_check_evals(spark, a, s):
     return int(errors or a.strict and bool(found or few))
 
 
-def command_run(spark, a, s, client=None):
-    """Calls the models on the cases without an ok row, and appends graded rows to the log."""
+def _clients(s: Settings, client, judge):
+    """Factories of the client and of the judge's, which has an endpoint and a key of its own if the settings name them, and waits out rate limits longer."""
     make = client or (lambda url=s.base_url, key=s.api_key_env: MC.ChatClient(url, key))
-    failed = MC.warm_up(s.models, make())
-    models = [m for m in s.models if m not in failed]
+    make_judge = judge or client or (lambda url=s.judge_url or s.base_url, key=s.judge_key_env or s.api_key_env: MC.ChatClient(url, key, retries=8))
+    return make, make_judge
+
+
+def _cases(spark, a, s: Settings) -> DataFrame:
+    """The eval cases of the asked call sites with their filled-in prompt; sites whose set has problems are named and left out."""
+    sites = files.scan_file(spark, a.scan)
+    if a.site:
+        sites = E.select_only(sites, "id", a.site)
+    sites = sites.filter(F.col("messages").isNotNull())
+    cases, problems = files.eval_cases(spark, a.evals)
+    known = sites.select(F.col("id").alias("site_id"), slug_for("id").alias("slug"))
+    has = cases.select("slug").distinct().withColumn("has_file", F.lit(True))
+    ready = E.ready_sites(known.join(has, "slug", "left").fillna(False, "has_file"), problems.join(F.broadcast(known), "slug").select("site_id", "problem"))
+    for r in ready.filter("skipped is not null").orderBy("site_id").toLocalIterator():
+        print(f"skipped: {r['site_id']}: {r['skipped']}", file=sys.stderr)
+    prompts = sites.select(F.col("id").alias("site_id"), F.col("messages").alias("prompt"), F.coalesce("temperature", F.lit(0.0)).alias("temperature"), "max_tokens", (F.col("output_format") == "json").alias("json_mode"), graded_fields("output_contract").alias("fields"))
+    spine = cases.join(F.broadcast(ready.filter("skipped is null").select("site_id", "slug")), "slug")
+    if a.limit is not None:
+        spine = R.first_cases(spine, int(a.limit))
+    filled = F.transform("prompt", lambda m: F.struct(m["role"].alias("role"), F.aggregate(F.map_keys("inputs"), m["content"], lambda t, k: F.replace(t, F.concat(F.lit("{"), k, F.lit("}")), F.col("inputs")[k])).alias("content")))
+    return spine.join(prompts, "site_id").withColumnRenamed("id", "case_id").withColumn("messages", filled)
+
+
+def _has_log(path: str) -> bool:
+    return os.path.isdir(path) and bool(os.listdir(path))
+
+
+def command_run(spark, a, s, client=None, judge=None):
+    """Calls the models on the cases without an ok row, and appends graded rows to the log."""
+    make, make_judge = _clients(s, client, judge)
+    asked = s.models if not a.model else a.model
+    if unknown := sorted(set(asked) - set(s.models)):
+        raise ValueError(f"unknown model: {', '.join(unknown)}")
+    failed = MC.warm_up(asked, make())
+    models = [m for m in asked if m not in failed]
     for m, why in failed.items():
         print(f"error: {m}: {why}", file=sys.stderr)
-    sites = files.scan_file(spark, a.scan).select(F.col("id").alias("site_id"), slug_for("id").alias("slug"), F.col("messages").alias("prompt"))
-    cases, _ = files.eval_cases(spark, a.evals)
-    joined = cases.join(F.broadcast(sites), "slug").withColumnRenamed("id", "case_id")
-    ask = F.transform("prompt", lambda m: F.struct(m["role"].alias("role"), F.aggregate(F.map_keys("inputs"), m["content"], lambda t, k: F.replace(t, F.concat(F.lit("{"), k, F.lit("}")), F.col("inputs")[k])).alias("content")))
-    rows = joined.filter(F.col("prompt").isNotNull()).withColumn("messages", ask)
-    todo = rows.crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in models], "model string")))
-    if os.path.isdir(a.results) and os.listdir(a.results):
+    cases = _cases(spark, a, s)
+    todo, number = cases.crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in models], "model string"))), 1
+    if _has_log(a.results):
         done = files.latest_results(spark, a.results).filter(R.is_ok()).select("slug", "model", "case_id")
-        todo = todo.join(done, ["slug", "model", "case_id"], "left_anti")
-    files.append_results(MC.run_cases(todo.select("site_id", "model", "case_id", "messages", "expected"), make), a.results)
-    return int(bool(failed))
+        todo, number = todo.join(done, ["slug", "model", "case_id"], "left_anti"), files.last_run(spark, a.results) + 1
+    columns = ["site_id", "model", "case_id", "messages", "expected", "grading", "fields", "json_mode", "temperature", "max_tokens"]
+    files.append_results(MC.run_cases(todo.select(*columns), make, s.judge, make_judge), a.results, number)
+    spine = cases.select("site_id", "case_id", "slug")
+    log = files.latest_results(spark, a.results).join(F.broadcast(spine.select("site_id", "slug").distinct()), "slug") if _has_log(a.results) else None
+    errors = 0
+    if log is not None:
+        table = R.summarize(spine.drop("slug"), D.model_dim(spark, s), log)
+        render.show(table.select("site_id", "model", render.passed_of("passed", "scored").alias("passed"), "errors", "cases").orderBy("site_id", "model"))
+        errors = table.agg(F.sum("errors")).first()[0] or 0
+    return int(bool(failed or errors))
+
+
+def command_rescore(spark, a, s, client=None, judge=None):
+    """Grades saved outputs of judge-graded cases anew with the settings' judge, and appends the rows."""
+    _, make_judge = _clients(s, client, judge)
+    cases = _cases(spark, a, s)
+    slugs = cases.select("site_id", "slug").distinct()
+    latest = files.latest_results(spark, a.results).join(F.broadcast(slugs), "slug")
+    if a.model:
+        latest = E.select_only(latest, "model", a.model)
+    spine = cases.filter("grading = 'judge'").select("site_id", "case_id")
+    number = files.last_run(spark, a.results) + 1
+    files.append_results(MC.rescore(latest, cases, s.judge, make_judge), a.results, number)
+    after = files.result_log(spark, a.results).filter(F.col("seq.run") == number).join(F.broadcast(slugs), "slug")
+    table = MC.before_and_after(spine, D.model_dim(spark, s), latest, R.last_wins(after, ["site_id", "model", "case_id"]))
+    render.show(table.select("site_id", "model", *(render.passed_of(f"{c}.passed", f"{c}.scored").alias(c) for c in ("before", "after"))).orderBy("site_id", "model"))
+    return int(not after.filter("error is not null").isEmpty())
+
+
+def command_evalgen(spark, a, s, client=None, judge=None):
+    """Has a model write eval cases for call sites that have none yet."""
+    make, _ = _clients(s, client, judge)
+    sites = files.scan_file(spark, a.scan)
+    if a.site:
+        sites = E.select_only(sites, "id", a.site)
+    skipped = E.generation_skips(sites)
+    for r in skipped.orderBy("site_id").toLocalIterator():
+        print(f"skipped: {r['site_id']}: {r['reason']}", file=sys.stderr)
+    names = placeholders(C.prompt_text())
+    rows = sites.join(skipped, sites["id"] == skipped["site_id"], "left_anti").withColumns({"labels": allowed_values("output_contract"), "fields": graded_fields("output_contract")})
+    rows = rows.select(F.col("id").alias("site_id"), F.element_at(F.split("function", r"\."), -1).alias("function"), "messages", names.alias("wanted"), E.grading_for().alias("grading"), "labels", "fields", "output_contract")
+    cases, problems = MC.generate(rows, a.model[0] if a.model else s.baseline, make, int(a.cases), f"{a.out}/_rounds")
+    for r in problems.orderBy("site_id").toLocalIterator():
+        print(f"error: {r['site_id']}: {r['problem']}", file=sys.stderr)
+    made = cases.join(rows.select("site_id", "grading"), "site_id").withColumn("line", F.col("ord"))
+    for r in rows.select("site_id", slug_for("site_id").alias("slug")).toLocalIterator():  # as many as call sites
+        files.write_eval_set(made.filter(F.col("site_id") == r["site_id"]), f"{a.out}/{r['slug']}.jsonl")
+    short = rows.join(cases.groupBy("site_id").count().filter(F.col("count") >= int(a.cases)), "site_id", "left_anti")
+    return int(not short.isEmpty())
 
 
 def command_report(spark, a, s):
@@ -147,6 +226,7 @@ def command_diff(spark, a, s):
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="costlens", description="Call-cost analytics on Spark")
     top.add_argument("--config")
+    top.add_argument("--version", action="version", version=f"costlens {__version__}")
     sub = top.add_subparsers(dest="command", required=True)
 
     def add(name: str, *positional: str, **options):
@@ -155,13 +235,19 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(x)
         for x, default in options.items():
             flag = f"--{x.replace('_', '-')}"
-            p.add_argument(flag, action="store_true") if default is False else p.add_argument(flag, default=default, type=float if x == "fail_above" else str)
+            if default is False:
+                p.add_argument(flag, action="store_true")
+            else:
+                p.add_argument(flag, default=default, type=float if x == "fail_above" else int if x in ("limit", "cases") else str, action="append" if x in ("site", "model") else "store")
 
     add("scan", "root", out="scan.json")
     add("validate", "scan", strict=False, generated_by="ast")
     add("compare", "before", "after")
     add("check-evals", "scan", "evals", strict=False)
-    add("run", "scan", "evals", "results")
+    chosen = {"site": None, "model": None, "limit": None}
+    add("run", "scan", "evals", "results", **chosen)
+    add("rescore", "scan", "evals", "results", **chosen)
+    add("evalgen", "scan", out="evals", cases=25, site=None, model=None)
     add("report", "scan", "evals", "results", out="report.md")
     add("export", "scan", "evals", "results", out="export")
     add("estimate", "before", "after", fail_above=None)

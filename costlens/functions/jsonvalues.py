@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,16 +15,18 @@ OUT_OF = r"(?i)(?<![\d.])([1-5])\s*(?:/|out of)\s*5(?!\d)"
 LONE = r"^\s*([1-5])\s*\.?\s*$"
 
 
+def let(value, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parse_json_object(c) -> Column:
     """The object that a model's output is, fences and prose around it allowed, as VARIANT; null for anything else.
 
     The text between the first and the last brace is tried only where the whole is no JSON. Repeated keys and NaN are no JSON here.
     """
-    body = strip_fences(c)
-    whole = F.try_parse_json(body)
-    inside = F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit("")))
-    found = F.coalesce(whole, inside)
-    return F.when(F.startswith(F.schema_of_variant(found), F.lit("OBJECT")), found)
+    found = let(strip_fences(c), lambda b: F.coalesce(F.try_parse_json(b), F.try_parse_json(F.nullif(F.regexp_extract(b, r"(?s)\{.*\}", 0), F.lit("")))))
+    return let(found, lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
 
 
 def norm_text(c) -> Column:
@@ -35,48 +35,65 @@ def norm_text(c) -> Column:
     return F.when(t.isin("null", "none"), "").otherwise(t)
 
 
-def canonical_json() -> Callable:
-    """A pandas UDF for nested values: sorted keys, lower case; the JVM has no such dump."""
+def canonical(c) -> Column:
+    """A JSON object or array as compact text with sorted keys, which is how a VARIANT prints; any other text as it is."""
+    c = col(c)
+    return F.when(c.rlike(r"^\s*[\[{]"), F.coalesce(F.to_json(F.try_parse_json(c)), c)).otherwise(c)
 
-    @F.pandas_udf("string")
-    def canonical(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True).lower())
 
-    return canonical
+def field_path(name: str) -> str:
+    """The path of a key, whatever characters it has."""
+    return '$["' + name.replace("\\", "\\\\").replace('"', '\\"') + '"]' if not name.isidentifier() else f"$.{name}"
 
 
 def norm_value(variant, path: str) -> Column:
-    """A field of a VARIANT as text for comparison; 14.0 is 14, booleans are true and false, null is empty."""
+    """A field of a VARIANT as text for comparison; 14.0 is 14, booleans are true and false, null is empty, nested values have sorted keys."""
     return norm_text(F.try_variant_get(col(variant), path, "string"))
 
 
 def has_key(variant, name: str) -> Column:
     """Is the key there, even with null?"""
-    return F.coalesce(F.array_contains(F.json_object_keys(F.to_json(col(variant))), name), F.lit(False))
+    return F.try_variant_get(col(variant), field_path(name), "variant").isNotNull()
 
 
 def field_scores(variant, expected: dict[str, Column], names: list[str]) -> Column:
-    """struct(value, passed, detail): the share of graded fields that match; a missing one is wrong."""
+    """struct(value, passed, detail): the share of graded fields that match; a missing one is wrong. Nested values are compared with sorted keys on both sides."""
     if not names:
         raise ValueError("json_fields grading needs at least one field")
-    wrong = F.array_compact(
-        F.array(
-            *(
-                F.when(~has_key(variant, n), F.lit(f"{n}: missing")).when(
-                    norm_value(variant, f"$.{n}") != norm_text(expected[n]),
-                    F.concat(F.lit(f"{n}: expected "), F.coalesce(expected[n], F.lit("null")), F.lit(", got "), F.coalesce(F.try_variant_get(col(variant), f"$.{n}", "string"), F.lit("null"))),
-                )
-                for n in names
-            )
+
+    def problem(v: Column, n: str) -> Column:
+        want = F.coalesce(canonical(expected[n]), F.lit("null"))
+        told = lambda got: F.when(norm_text(got) != norm_text(want), F.concat(F.lit(f"{n}: expected "), want, F.lit(", got "), F.coalesce(got, F.lit("null"))))
+        return F.when(~has_key(v, n), F.lit(f"{n}: missing")).otherwise(let(F.try_variant_get(v, field_path(n), "string"), told))
+
+    def score(wrong: Column) -> Column:
+        none = wrong.isNull()
+        return F.struct(
+            F.when(none, 0.0).otherwise((F.lit(len(names)) - F.size(wrong)) / len(names)).alias("value"),
+            (~none & (F.size(wrong) == 0)).alias("passed"),
+            F.when(none, "output is not a JSON object").when(F.size(wrong) == 0, "all fields match").otherwise(F.array_join(wrong, "; ")).alias("detail"),
         )
-    )
-    none = col(variant).isNull()
-    value = (F.lit(len(names)) - F.size(wrong)) / len(names)
-    return F.struct(
-        F.when(none, 0.0).otherwise(value).alias("value"),
-        (~none & (F.size(wrong) == 0)).alias("passed"),
-        F.when(none, "output is not a JSON object").when(F.size(wrong) == 0, "all fields match").otherwise(F.array_join(wrong, "; ")).alias("detail"),
-    )
+
+    wrong = let(col(variant), lambda v: F.when(v.isNotNull(), F.array_compact(F.array(*(problem(v, n) for n in names)))))
+    return let(wrong, score)
+
+
+def object_scores(output, expected, fields) -> Column:
+    """The same for columns of texts: ``expected`` is a JSON object, ``fields`` the array of graded names, or all keys of ``expected`` where it is null."""
+
+    def score(v: Column) -> Column:
+        names = F.coalesce(col(fields), F.json_object_keys(col(expected)))
+        got, want = v.cast("map<string,variant>"), F.try_parse_json(col(expected)).cast("map<string,variant>")
+        text = lambda m, n: F.coalesce(F.try_element_at(m, n).cast("string"), F.lit("null"))
+        wrong = F.transform(
+            F.filter(names, lambda n: ~F.map_contains_key(got, n) | (norm_text(text(got, n)) != norm_text(text(want, n)))),
+            lambda n: F.when(~F.map_contains_key(got, n), F.concat(n, F.lit(": missing"))).otherwise(F.concat(n, F.lit(": expected "), text(want, n), F.lit(", got "), text(got, n))),
+        )
+        return let(wrong, lambda w: F.struct((F.size(names) - F.size(w)).cast("double") / F.size(names), F.size(w) == 0, F.when(F.size(w) == 0, "all fields match").otherwise(F.array_join(w, "; "))))
+
+    kind = "struct<value:double,passed:boolean,detail:string>"
+    none = F.struct(F.lit(0.0), F.lit(False), F.lit("output is not a JSON object")).cast(kind)
+    return F.coalesce(let(parse_json_object(output), lambda v: F.when(v.isNotNull(), score(v).cast(kind))), none)
 
 
 def parse_judge_score(c) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import fnmatch
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,6 +76,29 @@ def placeholders(c) -> Column:
     return F.filter(braced(c), lambda x: x.rlike(IDENTIFIER))
 
 
+def is_expression(text: str) -> bool:
+    """Does a text in braces parse as a Python expression that is more than a constant?"""
+    try:
+        return not isinstance(ast.parse(text.strip(), mode="eval").body, ast.Constant)
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return False
+
+
+def template_fields(c) -> Column:
+    """Distinct expressions in braces, plain names among them, in order. Python parses what is no plain name; the JVM has no such parser."""
+
+    @F.pandas_udf("array<string>")
+    def parsed(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda xs: None if xs is None else [x for x in xs if is_expression(x)])
+
+    return parsed(braced(c))
+
+
+def expression_fields(c) -> Column:
+    """Those of :func:`template_fields` that are no plain name."""
+    return F.filter(template_fields(c), lambda x: ~x.rlike(IDENTIFIER))
+
+
 def braced(c) -> Column:
     """Distinct trimmed texts in braces, in order."""
     inner = F.transform(F.regexp_extract_all(col(c), F.lit(BRACED), F.lit(1)), lambda x: F.trim(x))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import IDENTIFIER, braced, word_count
+from ..functions.text import expression_fields, word_count
 from ..schemas import DAYS_PER_MONTH, DEFAULT_COMPLETION_TOKENS, ENRICHMENT, Settings
 from .money import volume_of
 
@@ -18,6 +18,11 @@ def prompt_resolved():
     return F.coalesce(F.forall("messages", lambda m: m["resolved"]), F.lit(False))
 
 
+def prompt_text(messages: str = "messages"):
+    """All messages of a prompt as one text, in their order; empty without messages."""
+    return F.coalesce(F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), "\n"), F.lit(""))
+
+
 def prompt_estimate():
     """struct(tokens, partial): words of the resolved messages; partial if some aren't, or there are none."""
     tokens = F.aggregate(F.filter("messages", lambda m: m["resolved"]), F.lit(0).cast("bigint"), lambda a, m: a + word_count(F.coalesce(m["content"], F.lit(""))))
@@ -92,7 +97,7 @@ def fails_above(totals: DataFrame, limit: float) -> bool:
 
 
 def enriched():
-    return F.lit(True) if not ENRICHMENT else F.array_size(F.array_compact(F.array(*ENRICHMENT))) == len(ENRICHMENT)
+    return F.array_size(F.array_compact(F.array(*ENRICHMENT))) == len(ENRICHMENT)
 
 
 def metrics(sites: DataFrame, auditor: str = "auditor") -> DataFrame:
@@ -139,7 +144,7 @@ def lint(sites: DataFrame, generated_by: str, auditor: str = "auditor") -> DataF
     notes = F.col("notes") if "notes" in sites.columns else F.array().cast("array<string>")
     audited = F.lit(generated_by == auditor)
     missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in ENRICHMENT)))
-    expressions = F.filter(F.flatten(F.transform(F.coalesce("messages", F.array().cast("array<struct<role:string,content:string,resolved:boolean>>")), lambda m: braced(m["content"]))), lambda x: ~x.rlike(IDENTIFIER) & ~x.rlike("^[\"'0-9]") & ~x.contains(":"))
+    expressions = expression_fields(prompt_text())
     warnings = F.array_compact(
         F.array(
             F.when((F.col("grading") == "json_fields") & (F.col("output_format") != "json"), F.concat(F.lit("grading is json_fields but output_format is "), F.col("output_format"))),
@@ -157,16 +162,24 @@ def lint(sites: DataFrame, generated_by: str, auditor: str = "auditor") -> DataF
 
 
 def number_sites(found: DataFrame) -> DataFrame:
-    """``found(file, function, ord)`` with ids: ``file::function``, and ``#n`` for the nth call of one function."""
-    n = F.row_number().over(Window.partitionBy("file", "function").orderBy("ord"))
+    """``found(file, function, ord)``, with ``repo`` if there are several, with ids: ``file::function``, and ``#n`` for the nth call of one function."""
+    n = F.row_number().over(Window.partitionBy(*_repo(found), "file", "function").orderBy("ord"))
     name = F.concat("file", F.lit("::"), "function")
     return found.withColumn("id", F.when(n > 1, F.concat(name, F.lit("#"), n.cast("string"))).otherwise(name))
 
 
+def _repo(df: DataFrame) -> list[str]:
+    return ["repo"] if "repo" in df.columns else []
+
+
 def attach_callers(sites: DataFrame, calls: DataFrame) -> DataFrame:
-    """``sites(id, file, function)`` with ``callers``: sorted distinct callers of the function's last name; itself and module-level sites get none."""
+    """``sites(id, file, function)`` with ``callers``: sorted distinct callers of the function's last name; itself and module-level sites get none.
+
+    With a column ``repo`` on both sides only calls of the same repository count.
+    """
+    repo = _repo(sites)
     own = F.concat("file", F.lit("::"), "function")
     named = sites.withColumn("callee", F.element_at(F.split("function", "\\."), -1)).withColumn("own", own)
-    met = named.filter(F.col("function") != "<module>").join(calls.select("caller", "callee").distinct(), "callee").filter("caller <> own")
-    callers = met.groupBy("id").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
-    return sites.join(callers, "id", "left").withColumn("callers", F.coalesce("callers", F.array().cast("array<string>")))
+    met = named.filter(F.col("function") != "<module>").join(calls.select(*repo, "caller", "callee").distinct(), [*repo, "callee"]).filter("caller <> own")
+    callers = met.groupBy(*repo, "id").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
+    return sites.join(callers, [*repo, "id"], "left").withColumn("callers", F.coalesce("callers", F.array().cast("array<string>")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clip, normalize_text, strip_fences
+from ..functions.text import IDENTIFIER, clip, expression_fields, normalize_text, strip_fences
 from ..schemas import MIN_CASES
+from .callsites import prompt_resolved, prompt_text
 
 
 def duplicate_ids(cases: DataFrame) -> DataFrame:
@@ -31,6 +32,31 @@ def expected_problem():
     )
 
 
+def field_problem():
+    """What ``expected`` lacks of, or has beyond, the contract's graded ``fields`` under json_fields grading; null if they agree or none are named."""
+    keys = F.coalesce(F.json_object_keys("expected"), F.array().cast("array<string>"))
+    lacking, beyond = (F.array_sort(F.array_except(a, b)) for a, b in (("fields", keys), (keys, F.col("fields"))))
+    parts = F.array_compact(F.array(F.when(F.size(lacking) > 0, F.concat(F.lit("expected lacks graded fields "), F.array_join(lacking, ", "))), F.when(F.size(beyond) > 0, F.concat(F.lit("expected has fields that are not graded: "), F.array_join(beyond, ", ")))))
+    return F.when((F.col("grading") == "json_fields") & F.col("fields").isNotNull() & (F.size(parts) > 0), F.array_join(parts, "; "))
+
+
+def prompt_problems(sites: DataFrame) -> DataFrame:
+    """(site_id, problem) of ``sites(id, messages)`` whose prompt is not known whole, or has expressions where eval inputs need plain names."""
+    odd = sites.select(F.col("id").alias("site_id"), prompt_resolved().alias("resolved"), expression_fields(prompt_text()).alias("expressions"))
+    found = F.array_compact(F.array(F.when(~F.col("resolved"), "prompt is unresolved"), F.when(F.size("expressions") > 0, F.concat(F.lit("prompt has expressions: "), F.array_join("expressions", ", ")))))
+    return odd.select("site_id", F.explode(found).alias("problem"))
+
+
+def generation_skips(sites: DataFrame) -> DataFrame:
+    """(site_id, reason): the sites that no cases can be generated for, with the first reason."""
+    return prompt_problems(sites).groupBy("site_id").agg(F.max("problem").alias("reason"))  # "prompt is" sorts after "prompt has"
+
+
+def shared_inputs(shared, names):
+    """Of a map of shared inputs, those that the prompt names."""
+    return F.map_filter(shared, lambda k, v: F.array_contains(names, k))
+
+
 def problems(cases: DataFrame) -> DataFrame:
     """(site_id, line, problem) of ``cases(site_id, line, id, grading, site_grading, wanted, given, labels, expected)``."""
     n = F.row_number().over(Window.partitionBy("site_id", "id").orderBy("line"))
@@ -42,6 +68,7 @@ def problems(cases: DataFrame) -> DataFrame:
             F.when(F.size("missing") > 0, F.concat(F.lit("inputs missing "), F.array_join("missing", ", "))),
             F.when(F.size("extra") > 0, F.concat(F.lit("inputs not in the prompt: "), F.array_join("extra", ", "))),
             expected_problem(),
+            *([field_problem()] if "fields" in cases.columns else []),
         )
     )
     return rows.select("site_id", "line", F.explode(found).alias("problem"))
@@ -83,16 +110,39 @@ def score_exact(output: str, expected: str):
     return F.struct(same.cast("double").alias("value"), same.alias("passed"), F.when(same, "match").otherwise(F.concat(F.lit("expected '"), want, F.lit("', got '"), clip(got), F.lit("'"))).alias("detail"))
 
 
-def parse_generated(replies: DataFrame, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
+def grading_for():
+    """How the cases of a call site are graded where nobody said so: by fields for JSON, exactly for a set of labels, else by a judge."""
+    return F.coalesce("grading", F.when(F.col("output_format") == "json", "json_fields").when(F.col("labels").isNotNull(), "exact").otherwise("judge"))
+
+
+def generation_messages():
+    """The request for ``missing`` cases of ``rows(messages, wanted, grading, labels, fields, output_contract, missing)``: the prompt, its inputs, and what ``expected`` has to be."""
+    rule = (
+        F.when(F.col("grading") == "json_fields", F.concat(F.lit("an object"), F.coalesce(F.concat(F.lit(" with the keys "), F.array_join("fields", ", ")), F.lit(""))))
+        .when((F.col("grading") == "exact") & F.col("labels").isNotNull(), F.concat(F.lit("one of: "), F.array_join("labels", ", ")))
+        .when(F.col("grading") == "exact", "the exact answer as a string")
+        .otherwise("a rubric or reference answer as a string")
+    )
+    user = F.concat(
+        F.lit("Prompt of the call:\n"), prompt_text(), F.lit("\n\nContract of its output: "), F.coalesce("output_contract", F.lit("none")), F.lit("\nInputs: "), F.array_join("wanted", ", "),
+        F.lit("\nExpected: "), rule, F.lit("\nWrite "), F.col("missing").cast("string"), F.lit(' different cases as a JSON array of {"inputs": {...}, "expected": ...}.'),
+    )
+    one = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.array(one("system", F.lit("You write test cases for calls to language models. Answer with JSON alone.")), one("user", user))
+
+
+def parse_generated(replies: DataFrame, wanted: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(cases, problems) of ``replies(site_id, function, text)``: a JSON array of ``{inputs, expected}``, fences around it allowed.
 
-    A case needs exactly the inputs ``wanted`` and an expected value; of equal inputs the first counts; ids are numbered anew.
+    A case needs exactly the inputs ``wanted`` (else those of the column ``wanted``) and an expected value, text or JSON; of equal inputs the first counts; ids are numbered anew.
     """
-    parsed = replies.withColumn("items", F.from_json(strip_fences("text"), "array<struct<inputs:map<string,string>,expected:string>>"))
-    rows = parsed.select("site_id", "function", F.posexplode("items").alias("ord", "case"))
-    need = F.array(*map(F.lit, wanted)).cast("array<string>")
-    whole = F.col("case.inputs").isNotNull() & (F.size(F.array_except(need, F.map_keys("case.inputs"))) == 0) & (F.size(F.array_except(F.map_keys("case.inputs"), need)) == 0) & F.col("case.expected").isNotNull()
-    good = rows.filter(F.coalesce(whole, F.lit(False))).select("site_id", "function", "ord", F.col("case.inputs").alias("inputs"), F.col("case.expected").alias("expected"))
+    rows = replies if wanted is None else replies.withColumn("wanted", F.array(*map(F.lit, wanted)).cast("array<string>"))
+    array = F.try_parse_json(strip_fences("text")).try_cast("array<variant>")
+    parsed = rows.withColumn("items", array)
+    rows = parsed.select("site_id", "function", "wanted", F.posexplode("items").alias("ord", "v"))
+    rows = rows.select("site_id", "function", "wanted", "ord", F.try_variant_get("v", "$.inputs", "map<string,string>").alias("inputs"), F.try_variant_get("v", "$.expected", "string").alias("expected"))
+    whole = F.col("inputs").isNotNull() & (F.size(F.array_except("wanted", F.map_keys("inputs"))) == 0) & (F.size(F.array_except(F.map_keys("inputs"), "wanted")) == 0) & F.col("expected").isNotNull()
+    good = rows.filter(F.coalesce(whole, F.lit(False))).select("site_id", "function", "ord", "inputs", "expected")
     cases = renumber(first_of_equal(good.withColumn("key", canonical()), "key"))
     bad = rows.filter(~F.coalesce(whole, F.lit(False))).select("site_id", F.concat(F.lit("case "), (F.col("ord") + 1).cast("string"), F.lit(" has the wrong inputs or no expected value")).alias("problem"))
     none = parsed.filter(F.col("items").isNull()).select("site_id", F.lit("the reply is no JSON array").alias("problem"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -13,11 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonvalues import judge_value, parse_judge_score
+from ..functions.jsonvalues import judge_value, object_scores, parse_json_object, parse_judge_score
 from ..functions.text import clip
 from ..session import ship
-from .evals import score_exact
-from .results import is_ok, to_rescore
+from .evals import first_of_equal, generation_messages, parse_generated, renumber, score_exact
+from .results import first_cases, is_ok, summarize, to_rescore
+
+#: Most tokens of a judge's reply.
+JUDGE_TOKENS = 200
 
 CALLED = "text string, prompt_tokens bigint, completion_tokens bigint, latency_s double, error string"
 
@@ -28,25 +32,36 @@ class ModelError(RuntimeError):
 
 @dataclass(frozen=True)
 class ChatClient:
-    """One chat completion over an OpenAI-compatible endpoint; the key is read in the task, so no plan holds it."""
+    """One chat completion over an OpenAI-compatible endpoint; the key is read in the task, so no plan holds it.
+
+    A reply of 429 or over 499 is asked for again up to ``retries`` times, after a pause that doubles.
+    """
 
     base_url: str
     api_key_env: str | None = None
     timeout_s: float = 120.0
+    retries: int = 2
+    pause_s: float = 0.5
 
-    def complete(self, model: str, messages: list[dict], json_mode: bool = False) -> tuple[str, int, int]:
-        body = {"model": model, "messages": messages, "temperature": 0.0} | ({"response_format": {"type": "json_object"}} if json_mode else {})
+    def complete(self, model: str, messages: list[dict], json_mode: bool = False, temperature: float = 0.0, max_tokens: int | None = None) -> tuple[str, int, int]:
+        body = {"model": model, "messages": messages, "temperature": temperature} | ({"response_format": {"type": "json_object"}} if json_mode else {}) | ({"max_tokens": max_tokens} if max_tokens else {})
         headers = {"Content-Type": "application/json"}
         if self.api_key_env and os.environ.get(self.api_key_env):
             headers["Authorization"] = f"Bearer {os.environ[self.api_key_env]}"
-        try:
-            request = urllib.request.Request(f"{self.base_url}/chat/completions", json.dumps(body).encode(), headers)
-            with urllib.request.urlopen(request, timeout=self.timeout_s) as reply:
-                data = json.load(reply)
-            use = data.get("usage") or {}
-            return data["choices"][0]["message"]["content"] or "", use.get("prompt_tokens", 0), use.get("completion_tokens", 0)
-        except Exception as problem:
-            raise ModelError(str(problem)) from problem
+        for attempt in range(self.retries + 1):
+            try:
+                request = urllib.request.Request(f"{self.base_url}/chat/completions", json.dumps(body).encode(), headers)
+                with urllib.request.urlopen(request, timeout=self.timeout_s) as reply:
+                    data = json.load(reply)
+                use = data.get("usage") or {}
+                return data["choices"][0]["message"]["content"] or "", use.get("prompt_tokens", 0), use.get("completion_tokens", 0)
+            except urllib.error.HTTPError as problem:
+                if attempt == self.retries or not (problem.code == 429 or problem.code > 499):
+                    raise ModelError(str(problem)) from problem
+                time.sleep(self.pause_s * 2**attempt)
+            except Exception as problem:
+                raise ModelError(str(problem)) from problem
+        raise ModelError("no attempt was made")
 
 
 @dataclass(frozen=True)
@@ -55,34 +70,47 @@ class FixedClient:
 
     reply: str | dict[str, str] | Callable[[str, list[dict]], str]
 
-    def complete(self, model: str, messages: list[dict], json_mode: bool = False) -> tuple[str, int, int]:
+    def complete(self, model: str, messages: list[dict], json_mode: bool = False, temperature: float = 0.0, max_tokens: int | None = None) -> tuple[str, int, int]:
         text = self.reply(model, messages) if callable(self.reply) else self.reply[model] if isinstance(self.reply, dict) else self.reply
         return text, sum(len(m["content"].split()) for m in messages), len(text.split())
 
 
-def call_models(rows: DataFrame, make_client: Callable[[], object], json_mode: bool = False) -> DataFrame:
-    """``rows(model, messages, ...)`` with the reply's text, tokens, latency and error added.
+OPTIONS = {"json_mode": bool, "temperature": float, "max_tokens": int}
+
 
-    A failed call is a row with ``error``. Tasks may run twice, so results belong into the append-only log,
+def call_models(rows: DataFrame, make_client: Callable[[], object], prefix: str = "") -> DataFrame:
+    """``rows(model, messages, ...)`` with the reply's text, tokens, latency and error added, names after ``prefix``.
+
+    Columns json_mode, temperature and max_tokens are options of the call where they are there and not null. Rows without messages aren't called and have
+    nulls. A failed call is a row with ``error``. Tasks may run twice, so results belong into the append-only log,
     where the last row of a case wins; rows to leave out must be gone before this stage.
     """
     ship(rows.sparkSession)
-    columns = rows.columns
+    columns, asked = rows.columns, [f"{prefix}{c}" for c in ("model", "messages")]
+    options = {o: f"{prefix}{o}" for o in OPTIONS if f"{prefix}{o}" in rows.columns}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for part in parts:
             out = []
-            for model, messages in zip(part["model"], part["messages"], strict=True):
+            for at, (model, messages) in enumerate(zip(*(part[c] for c in asked), strict=True)):
+                if messages is None:
+                    out.append((None, None, None, None, None))
+                    continue
+                given = {o: OPTIONS[o](part[c].iloc[at]) for o, c in options.items() if not pd.isna(part[c].iloc[at])}
                 began = time.perf_counter()
                 try:
-                    text, tin, tout = client.complete(model, [{"role": m["role"], "content": m["content"]} for m in messages], json_mode)
+                    text, tin, tout = client.complete(model, [{"role": m["role"], "content": m["content"]} for m in messages], **given)
                     out.append((text, tin, tout, time.perf_counter() - began, None))
                 except ModelError as problem:
                     out.append((None, 0, 0, time.perf_counter() - began, str(problem)))
-            yield pd.concat([part[columns].reset_index(drop=True), pd.DataFrame(out, columns=["text", "prompt_tokens", "completion_tokens", "latency_s", "error"])], axis=1)
+            told = pd.DataFrame(out, columns=[f"{prefix}{c}" for c in ("text", "prompt_tokens", "completion_tokens", "latency_s", "error")])
+            for c in told.columns[1:3]:
+                told[c] = told[c].astype("Int64")
+            yield pd.concat([part[columns].reset_index(drop=True), told], axis=1)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + CALLED
+    called = ", ".join(f"{prefix}{f}" for f in CALLED.split(", "))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + called
     return rows.mapInPandas(run, schema)
 
 
@@ -95,32 +123,49 @@ def judge_messages(messages="messages", output="output", rubric="rubric"):
     return F.array(one("system", system), one("user", user))
 
 
+def judged(rows: DataFrame, model: str | None, make_client: Callable[[], object] | None, pass_at: int = 4) -> DataFrame:
+    """``rows(messages, output, rubric, asked, ...)`` with ``judgement``: struct(score, passed, judge_score, detail, error), null where ``asked`` is false.
+
+    Blank outputs fail without a call. The judge answers in JSON, with temperature 0 and JUDGE_TOKENS at most.
+    """
+    blank = F.coalesce(F.trim("output") == "", F.lit(True))
+    call = F.col("asked") & ~blank if model and make_client else F.lit(False)
+    ready = rows.withColumns({"judge_messages": F.when(call, judge_messages()), "judge_model": F.lit(model), "judge_json_mode": F.lit(True), "judge_max_tokens": F.lit(JUDGE_TOKENS)})
+    called = call_models(ready, make_client or (lambda: None), "judge_")
+    reason = F.try_variant_get(parse_json_object("judge_text"), "$.reason", "string")
+    rows_ = called.withColumn("judge_score", parse_judge_score("judge_text")).withColumn("v", judge_value("judge_score", pass_at))
+    kind = "struct<score:double,passed:boolean,judge_score:int,detail:string,error:string>"
+    none = F.struct(F.lit(0.0), F.lit(False), F.lit(None).cast("int"), F.lit("empty output"), F.lit(None).cast("string")).cast(kind)
+    failed = lambda why: F.struct(F.lit(None).cast("double"), F.lit(None).cast("boolean"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.concat(F.lit("scoring failed: "), why)).cast(kind)
+    detail = F.when(F.col("judge_score").isNull(), F.concat(F.lit("judge reply unparseable: "), clip("judge_text"))).otherwise(F.concat(F.lit("judge "), F.col("judge_score").cast("string"), F.lit("/5"), F.coalesce(F.concat(F.lit(": "), clip(reason)), F.lit(""))))
+    told = F.struct("v.value", "v.passed", "judge_score", detail, F.lit(None).cast("string")).cast(kind)
+    given = F.when(~F.col("asked"), None).when(blank, none).when(F.lit(not (model and make_client)), failed(F.lit("no judge is set"))).when(F.col("judge_error").isNotNull(), failed(F.col("judge_error"))).otherwise(told)
+    return rows_.select(*rows.columns, given.alias("judgement"))
+
+
 def judge(rows: DataFrame, model: str, make_client: Callable[[], object], pass_at: int = 4) -> DataFrame:
     """``rows(messages, output, rubric, ...)`` with score, passed, judge_score, detail and error; blank outputs fail without a call."""
-    columns = rows.columns
-    blank = F.coalesce(F.trim("output") == "", F.lit(True))
-    asked = rows.filter(~blank).withColumns({"_messages": judge_messages(), "model_": F.lit(model)})
-    called = call_models(asked.select(*[F.col(c).alias(f"_{c}_") for c in columns], F.col("model_").alias("model"), F.col("_messages").alias("messages")), make_client, json_mode=True)
-    score = parse_judge_score("text")
-    graded = called.withColumns({"judge_score": score}).withColumn("v", judge_value("judge_score", pass_at))
-    graded = graded.select(
-        *[F.col(f"_{c}_").alias(c) for c in columns],
-        F.when(F.col("error").isNull(), F.col("v.value")).alias("score"),
-        F.when(F.col("error").isNull(), F.col("v.passed")).alias("passed"),
-        "judge_score",
-        F.when(F.col("judge_score").isNull(), F.concat(F.lit("judge reply unparseable: "), clip("text"))).otherwise(F.concat(F.lit("judge "), F.col("judge_score").cast("string"), F.lit("/5"))).alias("detail"),
-        F.concat(F.lit("scoring failed: "), F.col("error")).alias("error"),
-    )
-    empty = rows.filter(blank).select(*columns, F.lit(0.0).alias("score"), F.lit(False).alias("passed"), F.lit(None).cast("int").alias("judge_score"), F.lit("empty output").alias("detail"), F.lit(None).cast("string").alias("error"))
-    return graded.unionByName(empty)
-
-
-def run_cases(todo: DataFrame, make_client: Callable[[], object]) -> DataFrame:
-    """``todo(site_id, model, case_id, messages, expected)`` called and graded by exact match: rows for the log."""
-    called = call_models(todo, make_client)
-    s = score_exact("text", "expected")
-    done = F.col("error").isNull()
-    return called.select("site_id", "model", "case_id", F.col("text").alias("output"), "prompt_tokens", "completion_tokens", "latency_s", F.when(done, s["value"]).alias("score"), F.when(done, s["passed"]).alias("passed"), F.when(done, s["detail"]).alias("detail"), "error")
+    told = judged(rows.withColumn("asked", F.lit(True)), model, make_client, pass_at)
+    return told.select(*rows.columns, "judgement.*")
+
+
+def run_cases(todo: DataFrame, make_client: Callable[[], object], judge_model: str | None = None, make_judge: Callable[[], object] | None = None, pass_at: int = 4) -> DataFrame:
+    """``todo(site_id, model, case_id, messages, expected, ...)`` called and graded: rows for the log.
+
+    A column ``grading`` tells how (exact, json_fields or judge; exact without it), ``fields`` the graded fields (all of ``expected`` where null), and
+    json_mode, temperature and max_tokens are options of the call. Both calls of a judged case are in one chain of stages, so none is made
+    twice. A failed call or judgement is a row with ``error``.
+    """
+    rows = todo if "grading" in todo.columns else todo.withColumn("grading", F.lit("exact"))
+    rows = rows if "fields" in todo.columns else rows.withColumn("fields", F.lit(None).cast("array<string>"))
+    called = call_models(rows, make_client).withColumnsRenamed({"text": "output"}).withColumns({"rubric": F.col("expected"), "asked": (F.col("grading") == "judge") & F.col("error").isNull()})
+    kind = "struct<score:double,passed:boolean,judge_score:int,detail:string,error:string>"
+    told = judged(called, judge_model, make_judge, pass_at)
+    plain = lambda s: F.struct(s["value"], s["passed"], F.lit(None).cast("int"), s["detail"], F.lit(None).cast("string")).cast(kind)
+    other = F.struct(F.lit(None).cast("double"), F.lit(None).cast("boolean"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.concat(F.lit("scoring failed: unknown grading "), F.coalesce("grading", F.lit("null")))).cast(kind)
+    s = F.when(F.col("grading") == "exact", plain(score_exact("output", "expected"))).when(F.col("grading") == "json_fields", plain(object_scores("output", "expected", "fields"))).when(F.col("asked"), F.col("judgement")).otherwise(other)
+    graded = told.withColumn("s", F.when(F.col("error").isNull(), s))
+    return graded.select("site_id", "model", "case_id", "output", "prompt_tokens", "completion_tokens", "latency_s", "s.score", "s.passed", "s.detail", "s.judge_score", F.coalesce("error", "s.error").alias("error"), F.when(F.col("asked"), F.lit(judge_model)).alias("judge_model"))
 
 
 def rescore(latest: DataFrame, cases: DataFrame, model: str, make_client: Callable[[], object], pass_at: int = 4) -> DataFrame:
@@ -134,6 +179,15 @@ def rescore(latest: DataFrame, cases: DataFrame, model: str, make_client: Callab
     return graded.drop("messages", "rubric").withColumn("judge_model", F.lit(model))
 
 
+def before_and_after(spine: DataFrame, models: DataFrame, latest: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(site_id, model, cases, before, after, ...): pass rates of a log before and after new rows, where any case was graded anew."""
+    keys = ["site_id", "model", "case_id"]
+    common = [c for c in latest.columns if c in fresh.columns]
+    after = latest.join(fresh.select(*keys), keys, "left_anti").select(*common).unionByName(fresh.select(*common))
+    short = lambda log, name: summarize(spine, models, log).select("site_id", "model", "cases", F.struct("scored", "passed", "pass_rate").alias(name))
+    return short(latest, "before").join(short(after, "after").drop("cases"), ["site_id", "model"]).join(fresh.select("site_id", "model").distinct(), ["site_id", "model"], "left_semi")
+
+
 def warm_up(models: list[str], client) -> dict[str, str]:
     """One call of each model on the driver before a run; the models that fail, with why."""
     failed = {}
@@ -145,16 +199,29 @@ def warm_up(models: list[str], client) -> dict[str, str]:
     return failed
 
 
-def generate(ask: Callable[[int], DataFrame], wanted: int, tries: int = 3) -> DataFrame | None:
-    """Collects cases from ``ask(missing)`` until ``wanted`` distinct ones are there, ``tries`` times at most; repeats by ``key`` are dropped."""
-    have = None
-    for _ in range(tries):
-        n = 0 if have is None else have.count()
-        if n >= wanted:
+def generate(sites: DataFrame, model: str, make_client: Callable[[], object], wanted: int, folder: str, tries: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(cases, problems) for ``sites(site_id, function, messages, wanted, grading, labels, fields, output_contract)``: asks for what is missing until each site has
+    ``wanted`` cases of different inputs, ``tries`` times at most.
+
+    Each round's replies are written below ``folder`` before they are read, so no call is made twice.
+    """
+    spark, have, found = sites.sparkSession, None, None
+    for number in range(1, tries + 1):
+        n = sites.select("site_id") if have is None else None
+        counts = n.withColumn("n", F.lit(0)) if n is not None else sites.select("site_id").join(have.groupBy("site_id").agg(F.count("*").alias("n")), "site_id", "left").fillna(0, "n")
+        open_ = sites.join(counts.filter(F.col("n") < wanted), "site_id").withColumn("missing", F.lit(wanted) - F.col("n"))
+        asked = open_.withColumns({"messages": generation_messages(), "model": F.lit(model), "json_mode": F.lit(False)})
+        call_models(asked.select("site_id", "function", "wanted", "model", "messages"), make_client).write.mode("overwrite").parquet(f"{folder}/round={number}")
+        replies = spark.read.parquet(f"{folder}/round={number}")
+        cases, problems = parse_generated(replies.filter("error is null"))
+        failed = replies.filter("error is not null").select("site_id", F.col("error").alias("problem"))
+        problems = problems.unionByName(failed)
+        cases = cases.withColumn("round", F.lit(number))
+        have = cases if have is None else first_of_equal(have.unionByName(cases).withColumn("ord", F.col("round") * 1_000_000 + F.col("ord")), "key")
+        found = problems if found is None else found.unionByName(problems)
+        if sites.join(have.groupBy("site_id").agg(F.count("*").alias("n")).filter(F.col("n") >= wanted), "site_id", "left_anti").isEmpty():
             break
-        fresh = ask(wanted - n)
-        have = (fresh if have is None else have.unionByName(fresh)).dropDuplicates(["key"])
-    return have
+    return renumber(first_cases(have.withColumn("line", F.col("ord")), wanted)).drop("line"), found
 
 
-__all__ = ["ChatClient", "FixedClient", "ModelError", "call_models", "generate", "is_ok", "judge", "judge_messages", "rescore", "run_cases", "warm_up"]
+__all__ = ["ChatClient", "FixedClient", "ModelError", "call_models", "generate", "before_and_after", "is_ok", "judge", "judge_messages", "judged", "rescore", "run_cases", "warm_up"]

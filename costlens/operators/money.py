@@ -19,6 +19,8 @@ def volume_of(site: str, settings: Settings):
 
 def site_costs(decisions: DataFrame, rated: DataFrame, settings: Settings, days: int = DAYS_PER_MONTH) -> DataFrame:
     """Cost of each site before and after its decision; either model is priced with its own tokens. Unknown stays null."""
+    if days <= 0 or settings.default_volume < 0 or min(settings.volumes.values(), default=0) < 0:
+        raise ValueError("days must be over 0 and volumes not negative")
     before = rated.filter(F.col("model") == settings.baseline).select("site_id", F.col("cost_per_call").alias("before_call"))
     after = rated.select("site_id", "model", F.col("cost_per_call").alias("after_call"))
     rows = decisions.select("site_id", "action", "model").join(before, "site_id", "left").join(after, ["site_id", "model"], "left").withColumn("per_day", volume_of("site_id", settings))
@@ -100,18 +102,25 @@ def mean_quality(decisions: DataFrame, rated: DataFrame) -> DataFrame:
 
 
 def hosting(rows: DataFrame) -> DataFrame:
-    """``rows(gpu_hour, tokens_per_s, utilization, tokens_per_call, api_per_call, calls_per_day)`` with the monthly price of one GPU, its capacity, the calls a day from which it pays, and the GPUs needed."""
+    """``rows(gpu_hour, tokens_per_s, utilization, tokens_per_call, api_per_call, calls_per_day)`` with the monthly price of one GPU, its capacity, the calls a day from which it pays, whether it can, and the GPUs needed.
+
+    ``can_win``: one GPU can serve the calls from which it pays. Prices and rates must not be negative, speed, utilization (1 at most) and
+    tokens of a call must be over 0; other rows are an error.
+    """
+    bad = (F.col("gpu_hour") < 0) | (F.col("tokens_per_s") <= 0) | (F.col("utilization") <= 0) | (F.col("utilization") > 1) | (F.col("tokens_per_call") <= 0) | (F.col("api_per_call") < 0) | (F.col("calls_per_day") < 0)
+    rows = rows.withColumn("gpu_hour", F.when(bad, F.raise_error(F.lit("hosting figures out of range")).cast("double")).otherwise(F.col("gpu_hour")))
     month = F.col("gpu_hour") * HOURS_PER_MONTH
     tokens = F.col("tokens_per_s") * F.col("utilization") * HOURS_PER_MONTH * 3600
     need = F.ceil(F.col("calls_per_day") * DAYS_PER_MONTH * F.col("tokens_per_call") / tokens)
     return rows.withColumns(
         {
             "gpu_month": month,
+            "capacity_per_day": tokens / F.col("tokens_per_call") / DAYS_PER_MONTH,
             "tokens_per_month": tokens,
             "break_even_per_day": F.when(F.col("api_per_call") > 0, F.try_divide(month, F.col("api_per_call") * DAYS_PER_MONTH)).otherwise(F.lit(float("inf"))),
             "gpus": F.greatest(F.lit(1).cast("bigint"), need.cast("bigint")),
         }
-    )
+    ).withColumn("can_win", F.col("break_even_per_day") <= F.col("capacity_per_day"))
 
 
 def sort_by_savings(costs: DataFrame) -> DataFrame:

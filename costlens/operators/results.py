@@ -11,11 +11,11 @@ KEY = ["site_id", "model", "case_id"]
 def last_wins(log: DataFrame, keys: list[str] = KEY, order: str = "seq") -> DataFrame:
     """The row of largest ``order`` for each key; of rows equal in that too, one.
 
-    A hash aggregate finds each key's last position with a partial sum before the shuffle,
-    and a join on key and position fetches the row: a key with a third of the log is one row by then.
+    One scan and one shuffle: each task keeps the last row of a key before the shuffle, so a key with a third of the log is a row a task by then.
     """
-    last = log.groupBy(*keys).agg(F.max(order).alias(order))
-    return log.join(last, [*keys, order], "left_semi").dropDuplicates(keys)
+    rest = [c for c in log.columns if c not in keys]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return last.select(*(c if c in keys else F.col("_last")[c].alias(c) for c in log.columns))
 
 
 def is_ok():
@@ -71,6 +71,21 @@ def pass_grid(latest: DataFrame, models: list[str]) -> DataFrame:
     return shown.groupBy("site_id", "case_id").pivot("model", models).agg(F.max("passed"))
 
 
+def grid_totals(grid: DataFrame, models: list[str]) -> DataFrame:
+    """For each site of a pass grid, the passes of each model over its cases."""
+    return grid.groupBy("site_id").agg(*(F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(m) for m in models))
+
+
+def judge_models(latest: DataFrame) -> DataFrame:
+    """One row: the sorted distinct names of the judges in a log."""
+    return latest.agg(F.array_sort(F.collect_set(F.nullif("judge_model", F.lit("")))).alias("judges"))
+
+
+def sum_cases(spine: DataFrame) -> DataFrame:
+    """One row: eval sets and cases of all sites."""
+    return spine.groupBy("site_id").count().agg(F.count("*").alias("sets"), F.coalesce(F.sum("count"), F.lit(0)).alias("cases"))
+
+
 def examples(spine: DataFrame, latest: DataFrame, n: int) -> DataFrame:
     """The first n cases of each site with a map from model to its last output row."""
     entry = F.struct("model", F.struct("score", "passed", "error").alias("row"))

@@ -67,9 +67,9 @@ latest as (select * from results qualify row_number() over (partition by site_id
 """
 
 
-def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spine(spark: SparkSession, sf_dir: str, sites_: int = SITES) -> DataFrame:
     """(site_id, case_id, line): the eval cases of every site the log knows, whether run or not."""
-    sites = results(spark, sf_dir).select("site_id").distinct()
+    sites = results(spark, sf_dir, sites_).select("site_id").distinct()
     return sites.select("site_id", F.explode(F.sequence(F.lit(0), F.lit(CASES - 1))).alias("line")).select("site_id", F.concat(F.lit("c"), F.col("line").cast("string")).alias("case_id"), F.col("line").cast("bigint").alias("line"))
 
 

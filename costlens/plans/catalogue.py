@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -251,3 +252,67 @@ def export_sites(spark, d):
     docs = site_payload(r, decisions, M.site_costs(decisions, r, SETTINGS))
     get = lambda p: F.get_json_object("doc", p)
     return docs.select("site_id", "slug", get("$.decision.action").alias("action"), get("$.decision.model").alias("model"), F.json_array_length(get("$.models")).cast("bigint").alias("n_models"), F.round(get("$.cost.before_month").cast("double"), 4).alias("before_month"))
+
+
+# ---- many sites: incomplete baselines, unknown costs
+
+WIDE = 512
+
+
+def wide(select: str) -> str:
+    return domain(select).replace("user_id % 8", f"user_id % {WIDE}")
+
+
+def rated_wide(spark: SparkSession, d: str) -> DataFrame:
+    return D.with_cost(R.summarize(spine(spark, d, WIDE), dims(spark), R.last_wins(results(spark, d, WIDE))))
+
+
+@query(wide("select site_id, errors, scored, cases from rated where model = 'm_big' and not complete"))
+def missing_data_wide(spark, d):
+    return D.missing_data(rated_wide(spark, d), SETTINGS).select("site_id", "errors", "scored", "cases")
+
+
+@query(wide("select site_id from rated where model = 'm_big' and cost_per_call is null"))
+def cost_unknown_wide(spark, d):
+    r = rated_wide(spark, d)
+    return M.site_costs(D.decide(r, SETTINGS), r, SETTINGS).filter("before_month is null").select("site_id")
+
+
+#: With a threshold of 1 some candidates are just under it.
+STRICT = replace(SETTINGS, threshold=1.0, floor=0.0)
+
+
+@query(domain("select site_id, model, round(ratio, 6) as ratio from checks0 where complete and ratio >= 1.0 - 0.05 and ratio < 1.0"))
+def near_misses_strict(spark, d):
+    return D.near_misses(D.check_candidates(rated(spark, d), STRICT), STRICT).filter("complete").select("site_id", "model", F.round("ratio", 6).alias("ratio"))
+
+
+# ---- small results
+
+
+@query(domain("select string_agg(distinct judge_model, ',' order by judge_model) as judges from latest"))
+def judge_models(spark, d):
+    return R.judge_models(latest(spark, d)).select(F.array_join("judges", ",").alias("judges"))
+
+
+@query(domain("select count(distinct site_id) as sets, count(*) as cases from spine"))
+def sum_cases(spark, d):
+    return R.sum_cases(spine(spark, d))
+
+
+@query(domain("select site_id, " + ", ".join(f"count(*) filter (model = '{m}' and passed and error is null and score is not null) as {m}" for m in SETTINGS.models) + " from latest where error is null and score is not null group by site_id"))
+def grid_totals(spark, d):
+    return R.grid_totals(R.pass_grid(latest(spark, d), SETTINGS.models), SETTINGS.models)
+
+
+@query(domain("select d.site_id, r.model, r.scored, round(r.pass_rate, 6) as pass_rate from decisions d join rated r on r.site_id = d.site_id and r.model = d.model"))
+def chosen_entry(spark, d):
+    """The chosen model's entry of each site's array of models."""
+    r = rated(spark, d)
+    both = D.model_entries(r).join(D.decide(r, SETTINGS).select("site_id", F.col("model").alias("chosen")), "site_id").withColumn("e", D.entry_of("models", F.col("chosen")))
+    return both.select("site_id", "e.model", "e.scored", "e.pass_rate")
+
+
+@query(f"{HOSTS_SQL} select p_partkey, round(tps * 0.5 * 730 * 3600 / per_call / 30, 4) as capacity_per_day, case when api > 0 then gpu_hour * 730 / (api * 30) else cast('Infinity' as double) end <= tps * 0.5 * 730 * 3600 / per_call / 30 as can_win from h")
+def hosting_capacity(spark, d):
+    return M.hosting(hosts(spark, d)).select("p_partkey", F.round("capacity_per_day", 4).alias("capacity_per_day"), "can_win")

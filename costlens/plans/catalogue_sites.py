@@ -131,9 +131,9 @@ def audit_lint_every(spark, d):
     return C.lint(call_sites(spark, d, True, every=True), "auditor")
 
 
-@query("select l_orderkey, l_linenumber, 'f' || (l_suppkey % 7) || '::fn_' || (l_orderkey % 5000) || case when row_number() over (partition by l_suppkey % 7, l_orderkey % 5000 order by l_orderkey, l_linenumber, l_partkey, l_quantity) > 1 then '#' || row_number() over (partition by l_suppkey % 7, l_orderkey % 5000 order by l_orderkey, l_linenumber, l_partkey, l_quantity) else '' end as id from lineitem where l_linenumber <= 3")
+@query("select l_orderkey, l_linenumber, 'f' || (l_suppkey % 7) || '::fn_' || (l_orderkey % 5000) || case when row_number() over (partition by l_suppkey % 7, l_orderkey % 5000 order by l_orderkey, l_linenumber, l_partkey, l_quantity) > 1 then '#' || row_number() over (partition by l_suppkey % 7, l_orderkey % 5000 order by l_orderkey, l_linenumber, l_partkey, l_quantity) else '' end as id from lineitem")
 def site_numbering(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_linenumber <= 3").select(
+    rows = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.concat(F.lit("f"), (F.col("l_suppkey") % 7).cast("string")).alias("file"), F.concat(F.lit("fn_"), (F.col("l_orderkey") % 5000).cast("string")).alias("function"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("ord")
     )
     return C.number_sites(rows).select("l_orderkey", "l_linenumber", "id")
@@ -233,9 +233,9 @@ def dedupe_inputs(spark, d):
     return E.first_of_equal(keyed, "key").select("site_id", "ord", "event_type", "k")
 
 
-@query(f"with g as (select * from ({GENERATED_SQL}) where k % 10 = 0) select ord, 'fn_' || site_id || '-' || lpad(cast(row_number() over (partition by site_id order by ord) as varchar), cast(greatest(2, len(cast(row_number() over (partition by site_id order by ord) as varchar))) as integer), '0') as id from g")
+@query(f"with g as (select * from ({GENERATED_SQL})) select ord, 'fn_' || site_id || '-' || lpad(cast(row_number() over (partition by site_id order by ord) as varchar), cast(greatest(2, len(cast(row_number() over (partition by site_id order by ord) as varchar))) as integer), '0') as id from g")
 def renumber_cases(spark, d):
-    e = table(spark, d, "events").select((F.col("user_id") % 40).alias("site_id"), F.col("event_id").alias("ord"), F.get_json_object("props", "$.k").cast("int").alias("k")).filter("k % 10 = 0")
+    e = table(spark, d, "events").select((F.col("user_id") % 40).alias("site_id"), F.col("event_id").alias("ord"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     return E.renumber(e.withColumn("function", F.concat(F.lit("fn_"), F.col("site_id").cast("string")))).select("ord", "id")
 
 
@@ -251,3 +251,61 @@ def quality_grid(spark, d):
     """Labels as passes of a (site, model) grid."""
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("site_id"), F.col("lang").alias("model"))
     return docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", "site_id", "model", (F.col("quality") == 1).alias("passed"))
+
+
+# ---- several repositories, generation, grading
+
+REPOS_SQL = "r as (select l_orderkey, l_linenumber, 'repo_' || (l_partkey % 3) as repo, 'f' || (l_suppkey % 7) as file, 'fn_' || (l_orderkey % 5000) as function, l_partkey, l_quantity from lineitem)"
+
+
+@query(f"with {REPOS_SQL}, n as (select *, row_number() over (partition by repo, file, function order by l_orderkey, l_linenumber, l_partkey, l_quantity) as n from r) select l_orderkey, l_linenumber, repo, file || '::' || function || case when n > 1 then '#' || n else '' end as id from n")
+def site_numbering_repos(spark, d):
+    """Every line is a call of one of three repositories."""
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text("repo_", F.col("l_partkey") % 3).alias("repo"), text("f", F.col("l_suppkey") % 7).alias("file"), text("fn_", F.col("l_orderkey") % 5000).alias("function"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("ord"))
+    return C.number_sites(rows).select("l_orderkey", "l_linenumber", "repo", "id")
+
+
+SKIPS_SQL = """select id as site_id, case when not prompt_resolved then 'prompt is unresolved' else 'prompt has expressions: x + ' || (conv_id % 3) end as reason from base where not prompt_resolved or conv_id % 5 = 1"""
+
+
+@query(f"with {EVERY_SQL} {SKIPS_SQL}")
+def generation_skips(spark, d):
+    """Conversations as prompts; every fifth has an expression to fill in."""
+    number = F.regexp_extract("id", "fn_([0-9]+)$", 1).cast("bigint")
+    sites = call_sites(spark, d, False, every=True)
+    plain = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.translate(F.coalesce(m["content"], F.lit("")), "{}", "()").alias("content"), m["resolved"].alias("resolved")))
+    odd = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("Add {x + "), (number % 3).cast("string"), F.lit("} and {name}")).alias("content"), F.lit(True).alias("resolved")))
+    return E.generation_skips(sites.withColumn("messages", F.when(number % 5 == 1, F.concat(plain, odd)).otherwise(plain)))
+
+
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then 'expected has fields that are not graded: extra' else 'expected lacks graded fields status; expected has fields that are not graded: extra' end as problem from orders where o_orderkey % 4 <> 3
+  union all select o_orderkey, null from orders where o_orderkey % 4 = 3""")
+def eval_field_rules(spark, d):
+    """The contract's graded fields against the keys of ``expected``; null where nothing is wrong or the case is not graded by fields."""
+    key = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        "o_orderkey",
+        F.when(key % 4 == 3, "exact").otherwise("json_fields").alias("grading"),
+        F.array(F.lit("status"), F.lit("total")).alias("fields"),
+        F.when(key % 3 == 0, '{"total": 1, "status": "x"}').when(key % 3 == 1, '{"total": 1, "status": null, "extra": 2}').otherwise('{"extra": {}, "total": 0}').alias("expected"),
+    )
+    return rows.select("o_orderkey", E.field_problem().alias("problem"))
+
+
+@query("""with e as (select event_id, event_type, user_id % 16 as site, cast(json_extract_string(props, '$.k') as integer) as k, event_id % 5 as g from events)
+select 'site_' || site as site_id, 'c' || event_id as case_id, case when g = 4 then null when g in (0, 1) then cast(k % 3 <> 0 as double) when g = 2 then case when k % 3 <> 0 then 1.0 else 0.5 end else k % 5 / 4.0 end as score,
+  case when g = 4 then null when g = 3 then k % 5 >= 3 else k % 3 <> 0 end as passed, case when g = 3 then 'j_a' end as judge_model, case when g = 4 then 'scoring failed: unknown grading none' end as error from e""")
+def run_graded(spark, d):
+    """Every event is a case, called with a client that echoes its prompt and graded as its kind says: exactly, by fields, by a judge, or not at all."""
+    from ..operators import model_calls as MC
+
+    e = table(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 16).alias("site"), F.get_json_object("props", "$.k").cast("int").alias("k"), (F.col("event_id") % 5).alias("g"))
+    right, k, g = F.col("k") % 3 != 0, F.col("k").cast("string"), F.col("g")
+    said = F.when(g <= 1, F.concat(F.lit('"'), F.upper("event_type"), F.lit('".'))).when(g == 2, F.concat(F.lit('Sure: {"type": "'), F.col("event_type"), F.lit('", "at": {"b": [1], "a": '), k, F.lit(".0}}"))).otherwise(F.concat(F.lit("answer "), k))
+    want = F.when(g <= 1, F.when(right, F.col("event_type")).otherwise("something else")).when(g == 2, F.concat(F.lit('{"at": {"a": '), k, F.lit('.0, "b": [1]}, "type": "'), F.when(right, F.col("event_type")).otherwise("no"), F.lit('"}'))).otherwise(F.concat(F.lit("rubric "), (F.col("k") % 5 + 1).cast("string")))
+    kind = F.when(g <= 1, "exact").when(g == 2, "json_fields").when(g == 3, "judge").otherwise("none")
+    todo = e.select(F.concat(F.lit("site_"), F.col("site").cast("string")).alias("site_id"), F.lit("m_big").alias("model"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("case_id"), F.array(F.struct(F.lit("user").alias("role"), said.alias("content"))).alias("messages"), want.alias("expected"), kind.alias("grading"))
+    echo = lambda: MC.FixedClient(lambda model, messages: messages[0]["content"])
+    judge = lambda: MC.FixedClient(lambda model, messages: '{"score": %s}' % messages[1]["content"].split("rubric ")[1][0])
+    return MC.run_cases(todo, echo, "j_a", judge).select("site_id", "case_id", "score", "passed", "judge_model", "error")

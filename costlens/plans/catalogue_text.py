@@ -197,3 +197,26 @@ def score_judge_scale(spark, d):
 def money_labels(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.floor(F.col("l_extendedprice") * 4) / 4 - 30000).alias("x"))
     return x.select("l_orderkey", "l_linenumber", T.money("x").alias("shown"), T.signed_money("x").alias("signed_"))
+
+
+@query(f"""with {PROMPTS_SQL} select event_id, case when k % 2 = 0 then 'subject=S' else '' end as held from pr""")
+def shared_inputs(spark, d):
+    """Of shared inputs, those that the prompt names."""
+    rows = prompts(spark, d).withColumn("names", T.placeholders("template"))
+    shared = F.create_map(F.when(F.col("k") % 2 == 0, "subject").otherwise("topic"), F.lit("S"), F.lit("unused"), F.lit("U"))
+    return rows.select("event_id", F.array_join(F.transform(F.map_entries(E.shared_inputs(shared, F.col("names"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("held"))
+
+
+@query(f"with {PROMPTS_SQL} select event_id, 'subject,' || event_type || ',a + ' || (event_id % 3) as fields, 'a + ' || (event_id % 3) as expressions from pr")
+def template_fields(spark, d):
+    """Everything that a template fills in, and what of it is no plain name; JSON in it is neither."""
+    return prompts(spark, d).select("event_id", F.array_join(T.template_fields("template"), ",").alias("fields"), F.array_join(T.expression_fields("template"), ",").alias("expressions"))
+
+
+@query(f"""with {OUTPUTS_SQL} select event_id, not broken and not differs as passed, case when broken then 0.0::double when differs then cast(2 as double) / 3 else 1.0::double end as value from o""")
+def score_json_objects(spark, d):
+    """Expected objects as JSON, graded on three of their keys; most rows pass."""
+    k = F.col("k")
+    want = F.concat(F.lit('{"flag": true, "type": "'), F.col("event_type"), F.lit('", "k": '), F.when(F.col("event_id") % 4 == 0, k + 1).otherwise(k).cast("string"), F.lit(', "more": [1]}'))
+    rows = outputs(spark, d).withColumns({"want": want, "fields": F.array(F.lit("type"), F.lit("k"), F.lit("flag"))})
+    return rows.select("event_id", J.object_scores("output", "want", "fields").alias("s")).select("event_id", "s.passed", "s.value")

@@ -28,6 +28,12 @@ def table(head: list[str], rows: Iterable[list]) -> Iterator[str]:
     yield from map(line, rows)
 
 
+def passed_of(passed: str, scored: str):
+    """``passed/scored (per cent)``, or - without a scored row."""
+    p, n = F.col(passed), F.col(scored)
+    return F.when(n > 0, F.concat(p.cast("string"), F.lit("/"), n.cast("string"), F.lit(" ("), D.percent(F.try_divide(p, n)), F.lit(")"))).otherwise("-")
+
+
 def show(rows: DataFrame) -> None:
     """Prints every row."""
     for line in table(rows.columns, rows.toLocalIterator()):

@@ -14,7 +14,7 @@ CALL_SITE = (
 SCAN_FILE = f"schema_version int, tool string, tool_version string, generated_by string, root string, warnings array<string>, call_sites array<struct<{CALL_SITE.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' boolean', ':boolean').replace(' array', ':array').replace(' struct', ':struct')}>>"
 RESULT_ROW = (
     "case_id string, model string, output string, prompt_tokens bigint, completion_tokens bigint, latency_s double, score double, "
-    "passed boolean, detail string, judge_score int, error string, judge_model string"
+    "passed boolean, detail string, judge_score int, error string, judge_model string, run bigint, pos bigint"
 )
 #: Columns of an audited call site that a scanner can't fill. Fixed names.
 ENRICHMENT = ["purpose", "output_contract", "difficulty", "grading"]
@@ -22,6 +22,7 @@ ENRICHMENT = ["purpose", "output_contract", "difficulty", "grading"]
 OUTPUT_FORMATS = ["text", "json"]
 DIFFICULTIES = ["easy", "medium", "hard"]
 GRADINGS = ["exact", "json_fields", "judge"]
+PRODUCERS = ["ast", "auditor", "manual"]
 HOURS_PER_MONTH, DAYS_PER_MONTH = 730, 30
 DEFAULT_COMPLETION_TOKENS = 256
 JUDGE_EXTRA_PROMPT_TOKENS, JUDGE_COMPLETION_TOKENS = 150, 200
@@ -44,6 +45,8 @@ class Settings:
     judge: str | None = None
     base_url: str = "http://localhost:11434/v1"
     api_key_env: str | None = None
+    judge_url: str | None = None
+    judge_key_env: str | None = None
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
 

@@ -66,7 +66,9 @@ def test_field_values(spark):
 
 def test_canonical_json(spark):
     df = spark.createDataFrame([('{"b": {"D": 1, "c": [2]}, "a": "X"}',), (None,)], "j string")
-    assert [r[0] for r in df.select(J.canonical_json()("j")).collect()] == ['{"a": "x", "b": {"d": 1, "c": [2]}}', None]
+    assert [r[0] for r in df.select(J.canonical("j")).collect()] == ['{"a":"X","b":{"D":1,"c":[2]}}', None]
+    got = spark.createDataFrame([('{"x": {"b": [2], "a": 1}, "y.z": "Q"}', '{"y.z": "q", "x": {"a": 1, "b": [2]}}')], "o string, e string").select(J.object_scores("o", "e", F.lit(None).cast("array<string>")).alias("s"), J.field_scores(J.parse_json_object("o"), {"x": F.get_json_object("e", "$.x"), "y.z": F.lit("Q")}, ["x", "y.z"]).alias("t")).first()
+    assert got["s"]["passed"] and got["t"]["passed"]
 
 
 @pytest.mark.parametrize(

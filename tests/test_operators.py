@@ -162,7 +162,7 @@ def test_scan_of_a_small_repository(spark):
     assert ask["is_async"] and ask["output_format"] == "json" and ask["temperature"] == 0.2
     assert [(m["role"], m["content"], m["resolved"]) for m in ask["messages"]] == [("system", "Be kind", True), ("user", "Say {text}", True)]
     assert sites["app/main.py::twice"]["messages"] is None and sites["app/main.py::twice"]["callers"] == ["app/main.py::run"]
-    assert sites["app/main.py::twice#5"]["max_tokens"] == 5 and not sites["app/main.py::twice#5"]["messages"][0]["resolved"]
+    assert sites["app/main.py::twice#5"]["max_tokens"] == 5 and sites["app/main.py::twice#5"]["messages"][0]["content"] == "{q}"
 
 
 def test_scan_of_a_src_layout_and_of_long_chains(spark):
@@ -184,6 +184,40 @@ def test_scan_of_a_src_layout_and_of_long_chains(spark):
     assert found["e"]["messages"] is None and found["a"]["model"]["defined_in"] == "src/app/conf.py"
 
 
+def test_prompts_are_found_where_they_are_defined(spark):
+    call = "client.chat.completions.create(model='m', messages={})"
+    user = "[{'role': 'user', 'content': %s}]"
+    head = "from openai import OpenAI\nfrom lib.prompts import ASK, LIST, FORMED, HOP\nimport lib.prompts as P\nclient = OpenAI()\nMSGS = [{'role': 'user', 'content': 'top ' + name}]\nASK2 = f'in {x}'\nmodel = 'wrong'\nfrom lib.prompts import LOST\nLOST = 'here'\n"
+    bodies = {
+        "param": ("text", call.format(user % "text")), "concat": ("value", call.format(user % "'Sum: ' + value")), "top": ("", call.format("MSGS")), "imported": ("", call.format(user % "ASK")), "formed": ("", call.format(user % "FORMED")),
+        "listed": ("", call.format("LIST")), "dotted": ("", call.format(user % "P.ASK")), "hops": ("", call.format(user % "HOP")), "local": ("", "q = ASK2\n    " + call.format(user % "q")), "opaque": ("", call.format(user % "build()")),
+        "grown": ("", "m = []\n    m += [1]\n    " + call.format("m")), "no_role": ("role", call.format("[{'role': role, 'content': 'x'}]")), "plain_text": ("", call.format("'hello'")), "system": ("", "client.responses.create(model='m', instructions='Be kind')"),
+        "answer": ("q", "client.responses.create(model='m', instructions='Be kind', input='Say ' + q)"), "no_default": ("model", "client.chat.completions.create(model=model, messages=[])"), "assigned": ("", "client.chat.completions.create(model=LOST, messages=[])"),
+    }
+    tree = {
+        "src/app.py": head + "".join(f"def {k}({a}):\n    {b}\n" for k, (a, b) in bodies.items()),
+        "src/lib/prompts.py": "ASK = 'Ask well'\nWHO = 'you'\nFORMED = f'Tell {who}' + ' now'\nLIST = [{'role': 'system', 'content': 'Be'}, {'role': 'user', 'content': FORMED}]\nfrom lib.more import HOP\nLOST = 'there'\n",
+        "src/lib/more.py": "HOP = 'far'\n",
+    }
+    given = spark.createDataFrame([("r", k, v.encode()) for k, v in tree.items()], "repo string, rel string, content binary")
+    sites = {r["function"]: r for r in S.scan(given).collect()}
+    told = {k: None if r["messages"] is None else [(m["role"], m["content"], m["resolved"]) for m in r["messages"]] for k, r in sites.items()}
+    one = lambda text, ok=True: [("user", text, ok)]
+    assert told == {
+        "param": one("{text}"), "concat": one("Sum: {value}"), "top": one("top {name}"), "imported": one("Ask well"), "formed": one("Tell {who} now"), "listed": [("system", "Be", True), ("user", "Tell {who} now", True)],
+        "dotted": one("Ask well"), "hops": one("far"), "local": one("in {x}"), "opaque": one("{build()}", False), "grown": None, "no_role": None, "plain_text": None, "system": [("system", "Be kind", True)],
+        "answer": [("system", "Be kind", True), ("user", "Say {q}", True)], "no_default": [], "assigned": [],
+    }
+    assert (sites["no_default"]["model"]["value"], sites["no_default"]["model"]["source"]) == (None, "dynamic") and sites["assigned"]["model"]["value"] == "here"
+
+
+def test_repositories_are_apart(spark):
+    text = "from openai import OpenAI\nclient = OpenAI()\ndef helper():\n    client.chat.completions.create(model='m', messages=[])\n"
+    rows = [("r1", "app/a.py", text.encode()), ("r2", "app/a.py", text.encode()), ("r2", "app/b.py", b"def run():\n    helper()\n")]
+    got = {r["repo"]: (r["id"], r["callers"]) for r in S.scan(spark.createDataFrame(rows, "repo string, rel string, content binary")).collect()}
+    assert got == {"r1": ("app/a.py::helper", []), "r2": ("app/a.py::helper", ["app/b.py::run"])}
+
+
 def test_git_source(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", tmp_path, "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
     run("init", "-q")
@@ -219,14 +253,38 @@ def test_model_calls_and_judging(spark):
     assert MC.warm_up(["m", "bad"], client()) == {"bad": "refused"}
 
 
-def test_generation_asks_for_what_is_missing(spark):
-    asked = []
+def test_generation_asks_for_what_is_missing(spark, tmp_path):
+    sites = spark.createDataFrame([("a.py::f", "f", [("user", "Label {q}", True)], ["q"], "exact", ["x", "y"], None, "one of two")], "site_id string, function string, messages array<struct<role:string,content:string,resolved:boolean>>, wanted array<string>, grading string, labels array<string>, fields array<string>, output_contract string")
 
-    def ask(n):
-        asked.append(n)
-        return spark.createDataFrame([(f"k{len(asked)}",), ("same",)], "key string")
+    def client():
+        def reply(model, messages):
+            n = int(messages[1]["content"].split("Write ")[1].split()[0])
+            return json.dumps([{"inputs": {"q": f"t{i % 3 + (n < 4) * 10}"}, "expected": "x"} for i in range(n)])
+
+        return MC.FixedClient(reply)
+
+    cases, problems = MC.generate(sites, "m", client, 4, str(tmp_path))
+    got = cases.orderBy("ord").collect()
+    assert [r["id"] for r in got] == ["f-01", "f-02", "f-03", "f-04"] and len({r["inputs"]["q"] for r in got}) == 4 and problems.count() == 0
+
+
+def test_grading_follows_the_case(spark):
+    rows = [("c1", "exact", "say hi", "Hi!"), ("c2", "json_fields", '{"a": [1], "b": 2}', '{"b": 2.0, "a": [1]}'), ("c3", "json_fields", "no", '{"a": 1}'), ("c4", "judge", "good", "be good"), ("c5", "judge", " ", "be good"), ("c6", "other", "x", "x"), ("c7", "judge", "boom", "x")]
+    todo = spark.createDataFrame([("s", "m", c, [("user", say)], want, g) for c, g, say, want in rows], "site_id string, model string, case_id string, messages array<struct<role:string,content:string>>, expected string, grading string")
+
+    def judge():
+        def reply(model, messages):
+            if "boom" in messages[1]["content"]:
+                raise MC.ModelError("busy")
+            return '{"score": 5, "reason": "fine"}'
+
+        return MC.FixedClient(reply)
 
-    assert MC.generate(ask, 4, tries=3).count() == 4 and asked == [4, 2, 1]
+    echo = lambda: MC.FixedClient(lambda model, messages: messages[0]["content"].removeprefix("say "))
+    got = {r["case_id"]: r for r in MC.run_cases(todo, echo, "j", judge).collect()}
+    assert [got[c]["passed"] for c, *_ in rows] == [True, True, False, True, False, None, None]
+    assert got["c4"]["detail"] == "judge 5/5: fine" and got["c4"]["judge_model"] == "j" and got["c5"]["detail"] == "empty output"
+    assert got["c6"]["error"].startswith("scoring failed: unknown grading") and got["c7"]["error"] == "scoring failed: busy" and got["c7"]["output"] == "boom"
 
 
 def test_resume_and_rescore(spark):
