@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -22,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what follows neither works it out twice nor loses it with an executor."""
+    path = f"{shared_dir(df.sparkSession)}/costlens-{df.sparkSession.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Adds this package to the session's Python files, once for each application."""
     sc = spark.sparkContext
