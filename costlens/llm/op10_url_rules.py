@@ -13,13 +13,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import copied, cut, dealt, hot_keys, table
 
 #: (verdict, host, path) of the contract's rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 SUPPORT, CONFIDENCE = 0.01, 0.8
 #: Verdict of a URL that neither a given nor a mined rule fits.
 DEFAULT = "allow"
+#: Rows of one URL that one task handles.
+MOST = 4096
 _MARK = "verdict="
 
 
@@ -78,7 +80,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sup
 
     Null URLs and URLs without ``://`` have an empty host and path, no rule and the default verdict. Of mined
     rules that fit, the highest confidence decides, then support, then fewer tokens, then ``block``. If no URL
-    is labelled nothing is mined. Repeated rows come back repeated; other columns are ignored.
+    is labelled nothing is mined. Repeated rows come back repeated; other columns are ignored, whatever their names.
     """
     host, path = host_and_path()
     told = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path")).withColumn("given", given_rule(rules))
@@ -92,7 +94,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sup
         posted = mine(labelled, support, confidence)
         hits = open_.select("url", "tokens", F.explode("tokens").alias("key")).join(posted, "key").filter(F.size(F.array_except("left", "tokens")) == 0)
         found = hits.groupBy("url").agg(F.max_by("verdict", F.struct("confidence", "support", -F.size("left"), "verdict")).alias("mined"))
-    out = told.withColumn("mined", F.lit(None).cast("string")) if found is None else told.join(found, "url", "left")
+    none = F.lit(None).cast("string").alias("mined")
+    if found is None:
+        out = told.withColumn("mined", none)
+    else:  # only URLs that are open are looked up, and one of many pages in several tasks
+        open_pages = F.col("given").isNull() & (F.col("host") != "")
+        asked = told.filter(open_pages)
+        hot = hot_keys(asked, "url", MOST)
+        met = dealt(asked, "url", hot, "page_id").join(copied(found, "url", hot), ["url", "salt"], "left")
+        out = told.filter(~open_pages).select("*", none).select("page_id", "host", "path", "given", "mined").union(met.select("page_id", "host", "path", "given", "mined"))
     return out.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.coalesce("given.verdict", "mined", F.lit(DEFAULT)).alias("verdict"))
 
 

@@ -1,12 +1,16 @@
 """Quality, vectors, URLs and the pipeline: held-out accuracy, recall and brute force."""
 
+import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -189,6 +193,97 @@ def test_mined_rules_decide_the_rest(spark):
     assert mined == {(("b",), "block"): (1.0, "b"), (("c",), "block"): (1.0, "c")}
 
 
+def rules_by_force(rows, support, confidence):
+    """All rules of the labelled token sets, as the docstring of the module has them."""
+    n, found = len(rows), {}
+    tokens = sorted({t for ts, _ in rows for t in ts})
+    for size in range(1, len(tokens) + 1):
+        for left in itertools.combinations(tokens, size):
+            own = [v for ts, v in rows if set(left) <= set(ts)]
+            for v in set(own):
+                if own.count(v) / n >= support and own.count(v) / len(own) >= confidence:
+                    found[left, v] = (own.count(v) / len(own), own.count(v) / n)
+    worse = lambda left, v: any(found.get((tuple(t for t in left if t != x), v), (0, 0))[0] >= found[left, v][0] for x in left)
+    return {k: f for k, f in found.items() if not worse(*k)}
+
+
+def test_rules_and_verdicts_by_force(spark):
+    rng = random.Random(31)
+    parts = ["pills", "news", "win", "a", "b"]
+    url = lambda end: f"http://{rng.choice(['s', 't'])}{end}/" + "/".join(rng.choice(parts) for _ in range(rng.randrange(1, 3)))
+    urls = [url(".net") for _ in range(60)] + [url(".org") for _ in range(20)] + [f"http://{rng.choice('st')}.org/fr/{rng.choice(parts)}" for _ in range(40)] + [url(".com") for _ in range(60)] + [None, "x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    host, path = op10_url_rules.host_and_path()
+    told = pages.select("page_id", "url", host.alias("host"), path.alias("path")).select("*", op10_url_rules.url_tokens().alias("tokens"), op10_url_rules.given_rule(op10_url_rules.RULES).alias("g")).collect()
+    labelled = [(r["tokens"], r["g"]["verdict"]) for r in told if r["g"]]
+    rules = rules_by_force(labelled, 0.05, 0.8)
+    frame_ = spark.createDataFrame(labelled, "tokens array<string>, verdict string")
+    got = {(tuple(r["left"]), r["verdict"]): (r["confidence"], r["support"]) for r in op10_url_rules.mine(frame_, 0.05, 0.8).collect()}
+    assert got.keys() == rules.keys() and all(np.allclose(got[k], rules[k]) for k in got)
+
+    def verdict(r):
+        if r["g"]:
+            return r["g"]["verdict"]
+        fits = [(f[0], f[1], -len(left), v) for (left, v), f in rules.items() if set(left) <= set(r["tokens"])]
+        return max(fits)[3] if fits else "allow"
+
+    assert {r["page_id"]: r["verdict"] for r in op10_url_rules.filter_urls(pages, support=0.05).collect()} == {r["page_id"]: verdict(r) for r in told}
+
+
+# ---- 6. languages, whole
+
+
+def languages_by_force(train, texts):
+    """The docstring's method, a word and a byte at a time."""
+    words = lambda t: [w.encode() for w in re.findall(r"[^\x00-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))]
+    script = lambda w: op6_language.RANGES[max(i for i, (x, _) in enumerate(op6_language.RANGES) if x <= ord(w.decode()[0]))][1]
+    grams = lambda w: [(((a << 16 | b << 8 | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 16 for a, b, c in zip(b" " + w, w, w[1:] + b" ", strict=False)]
+    langs = sorted({lang for _, lang in train})
+    count, writes = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for t, lang in train:
+        for w in words(t):
+            count[lang].update(grams(w))
+            writes[lang][script(w)] += 1
+    total = {x: sum(count[x].values()) for x in langs}
+    log = lambda x, g: float(np.float32(math.log((count[x][g] + 0.5) / (total[x] + 0.5 * 65536))))
+    out = []
+    for t in texts:
+        ws = words(t)
+        scores = []
+        for w in ws:
+            own = {x: sum(log(x, g) for g in grams(w)) for x in langs}
+            ok = {x for x in langs if writes[x][script(w)] >= 0.002 * max(1, sum(writes[x].values()))} or set(langs)
+            least = min(own.values()) - 50
+            scores.append([own[x] if x in ok or not any(writes[y][script(w)] for y in langs) else least for x in langs])
+        best, back = list(scores[0]) if scores else [], []
+        for row in scores[1:]:
+            top = max(range(len(langs)), key=lambda k: best[k])
+            back.append([k if best[k] >= best[top] - op6_language.SWITCH else top for k in range(len(langs))])
+            best = [max(best[k], best[top] - op6_language.SWITCH) + row[k] for k in range(len(langs))]
+        if not scores:
+            out.append(("und", 0.0))
+            continue
+        at = max(range(len(langs)), key=lambda k: best[k])
+        labels = [at]
+        for row in reversed(back):
+            labels.append(row[labels[-1]])
+        share = [sum(len(w) for w, k in zip(ws, reversed(labels), strict=True) if k == x) for x in range(len(langs))]
+        out.append((langs[share.index(max(share))], max(share) / sum(share)))
+    return out
+
+
+def test_languages_by_force(spark):
+    rng = random.Random(41)
+    letters = {"aa": "abcde fg", "bb": "bcdxyz é", "cc": "жзик лм"}
+    text = lambda lang, n: "".join(rng.choice(letters[lang]) for _ in range(n))
+    train = [(text(lang, 200), lang) for lang in letters for _ in range(6)]
+    texts = [text(rng.choice("a b c".split()) * 2, 60) + " " + text(rng.choice("a b c".split()) * 2, 60) for _ in range(40)] + ["", "12 34", "Ω"]
+    docs = spark.createDataFrame([(t, lang) for t, lang in train], "text string, lang string")
+    got = {r["i"]: (r["lang_pred"], r["score"]) for r in op6_language.languages(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), op6_language.learn(docs), "i").collect()}
+    want = languages_by_force(train, texts)
+    assert sum(got[i][0] == w[0] and abs(got[i][1] - w[1]) < 1e-9 for i, w in enumerate(want)) == len(texts)
+
+
 # ---- the pipeline
 
 
@@ -215,8 +310,14 @@ def test_pipeline_by_force(spark, tmp_path):
         n, hit, _ = hits_by_force(t, [(1, bench)])
         if not (hit and 20 * hit >= n):
             want[i] = t
+    after = stages["near_dedup"](spark, stages["language_id"](spark, docs, str(tmp_path)), str(tmp_path))
+    cut = {r["doc_id"]: " ".join(r["text"].split()) for r in stages["substring_dedup"](spark, after, str(tmp_path)).collect()}
+    assert cut == dict(left)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} == set(want) and all(r["round_trip"] for r in got)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    kept = {r["doc_id"]: r["text"] for r in stages["substring_dedup"](spark, after, str(tmp_path)).collect()}
+    assert {r["doc_id"]: r["n_pieces"] for r in got} == {i: len(library.encode(kept[i])) for i in want}
 
 
 def test_stages_keep_the_documents_columns(spark, tmp_path):
