@@ -6,7 +6,7 @@ nearest centroid and, near a border, to those of all others at nearly that dista
 that is overfull is split by centroids of its own, fitted on a sample of its entries and kept in a table: lists stay short as the table
 grows. A query walks a neighbour graph of the centroids in memory, opens the lists whose centroid is within a ratio of
 the nearest one's distance, within a split list the parts by the same rule, and is compared with all of their entries. Its nearest list comes
-first; from the others only entries at least as near as the last one found there come back. Queries and entries meet by list; a
+first, then three times as many, then twelve, and so on; each time only entries at least as near as the last one found before come back. Queries and entries meet by list; a
 list with many of either is dealt into blocks. Inner products become distances by one more coordinate that evens out the norms.
 """
 
@@ -32,6 +32,8 @@ SPLIT, PART_SAMPLE = 3, 8192
 CLOSURE, OPEN, TARGET = 1.02, 1.1, 0.96
 #: Neighbours of a centroid in the graph, and how many of its nodes a search expands at least.
 DEGREE, BEAM = 24, 32
+#: Lists are compared in turns, the nearest first; each turn has so many times the lists of all before it.
+GROWTH = 4
 #: Entries, and queries, of one block of a list.
 ENTRIES, QUERIES = 16_384, 2048
 NEAREST = 20
@@ -143,15 +145,16 @@ def _probe(shared, width: int, ratio: float):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                rows, lists, first = [], [], []
+                rows, lists, first, turn = [], [], [], []
                 for i, x in enumerate(_as_query(_matrix(part.column(1), width), largest)):
                     near = graph.near(x, ratio)
-                    least = near[int(((graph.c[near] - x) ** 2).sum(1).argmin())]
+                    place = np.argsort(np.argsort(((graph.c[near] - x) ** 2).sum(1), kind="stable"), kind="stable")
                     rows += [i] * len(near)
                     lists += near
-                    first += [j == least for j in near]
+                    first += (place == 0).tolist()
+                    turn += np.where(place < 1, 0, 1 + np.floor(np.log(np.maximum(1, place)) / np.log(GROWTH) + 1e-9)).astype(int).tolist()
                 at = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(first, pa.bool_()), part.column(0).take(at), part.column(1).take(at)], names=["list", "first", "query", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(first, pa.bool_()), pa.array(turn, pa.int32()), part.column(0).take(at), part.column(1).take(at)], names=["list", "first", "turn", "query", "vec"])
 
     return run
 
@@ -303,15 +306,21 @@ def nearest(vectors: DataFrame, wanted, k: int = NEAREST, size: int = LIST_SIZE)
     posted = cut(reps.select("rep", "vec").mapInArrow(_post(shared, width), f"list long, rep long, vec {kind}"), "lists")
     asked = cut(rows.filter(wanted).join(reps.select("vec", "rep"), "vec").select("vec_id", "rep", "vec"), "queries")
     distinct = asked.groupBy(F.col("rep").alias("query")).agg(F.first("vec").alias("vec"))
-    probes = cut(distinct.mapInArrow(_probe(shared, width, open_), f"list long, first boolean, query long, vec {kind}"), "probes")
+    probes = cut(distinct.mapInArrow(_probe(shared, width, open_), f"list long, first boolean, turn int, query long, vec {kind}"), "probes")
     posted, probes = _balanced(posted, probes, width, largest, size, open_)
 
     order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     best_of = lambda met: met.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n")
     near = cut(_met(posted, probes.filter("first").select("list", "query", F.lit(float("-inf")).alias("least"), "vec"), width, k + 1), "nearest-lists")
-    least = near.distinct().groupBy("query").agg(F.when(F.count("*") > k, F.element_at(F.sort_array(F.collect_list("score"), asc=False), k + 1)).otherwise(float("-inf")).alias("least"))
-    others = probes.filter("not first").join(least, "query", "left").select("list", "query", F.coalesce("least", F.lit(float("-inf"))).alias("least"), "vec")
-    best = best_of(near.union(_met(posted, others, width, k + 1)))
+    for turn in range((probes.agg(F.max("turn")).first()[0] or 0) + 1):  # what was found so far bounds what a list may add
+        some = f"not first and turn = {turn}"
+        if probes.filter(some).isEmpty():
+            continue
+        near = best_of(near)
+        least = near.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("least"))
+        others = probes.filter(some).join(least, "query", "left").select("list", "query", F.coalesce("least", F.lit(float("-inf"))).alias("least"), "vec")
+        near = cut(near.union(_met(posted, others, width, k + 1)), "nearer-lists")
+    best = best_of(near)
     wide = best.join(reps.select("rep", "ids"), "rep").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     # at most (k + 1) entries of k + 1 ids for each distinct query
     pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).join(wide, "query").select(
