@@ -58,6 +58,58 @@ def scan_resolve(spark, d):
     return found.select("id", F.col("model.value").alias("model"), F.col("model.source").alias("source"))
 
 
+#: Three modules below ``src`` for each supplier, in two repositories of the same layout: the call's model and prompt are this module's or another's.
+LAYOUT = {
+    "src/lib_@id@/base.py": 'DEEP = "deep_@k@_@repo@"\n',
+    "src/lib_@id@/conf.py": 'from lib_@id@.base import DEEP\n\nMODEL = "conf_@k@_@repo@"\nASK = "Ask well"\nLIST = [{"role": "user", "content": f"Tell {who}"}]\n',
+    "src/app_@id@/main.py": """from openai import OpenAI
+from lib_@id@.conf import ASK, DEEP, LIST, MODEL
+
+client = OpenAI()
+
+
+def ask_@id@(text, model="given_@k@_@repo@"):
+    m = [{"role": "user", "content": "Sum: " + text}]
+    @step@
+    return client.chat.completions.create(model=@model@, messages=@messages@)
+""",
+}
+#: (statement before the call, model, messages): a constant and a local list, names two modules away, a parameter and another module's list, a list that is changed, neither known.
+LAYOUT_CALLS = [
+    ("pass", "MODEL", "m"),
+    ("pass", "DEEP", '[{"role": "user", "content": ASK}]'),
+    ("pass", "model", "LIST"),
+    ('m.append({"role": "user", "content": text})', '"literal_@k@_@repo@"', "m"),
+    ("pass", "pick(text)", '[{"role": "user", "content": text}]'),
+]
+
+
+def layout_sources(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.array(F.lit("r0"), F.lit("r1"))).alias("repo"))
+    calls = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("step", "model", "messages"), c, strict=True))) for c in LAYOUT_CALLS))
+    files = F.array(*(F.struct(F.lit(rel).alias("rel"), F.lit(text).alias("text")) for rel, text in LAYOUT.items()))
+    rows = s.withColumn("call", F.get(calls, F.col("s_suppkey") % len(LAYOUT_CALLS))).withColumn("f", F.explode(files))
+    rel, text = F.col("f.rel"), F.col("f.text")
+    for name in ("step", "model", "messages"):
+        text = F.replace(text, F.lit(f"@{name}@"), F.col(f"call.{name}"))
+    for name, value in {"@id@": F.col("s_suppkey").cast("string"), "@k@": F.col("s_nationkey").cast("string"), "@repo@": F.col("repo")}.items():
+        rel, text = F.replace(rel, F.lit(name), value), F.replace(text, F.lit(name), value)
+    return rows.select("repo", rel.alias("rel"), text.cast("binary").alias("content"))
+
+
+@query("""select repo, 'src/app_' || s_suppkey || '/main.py::ask_' || s_suppkey as id,
+  case s_suppkey % 5 when 0 then 'conf' when 1 then 'deep' when 2 then 'given' when 3 then 'literal' end || '_' || s_nationkey || '_' || repo as model,
+  case s_suppkey % 5 when 0 then 'constant' when 1 then 'constant' when 2 then 'parameter_default' when 3 then 'literal' else 'dynamic' end as source,
+  case s_suppkey % 5 when 0 then 'Sum: {text}' when 1 then 'Ask well' when 2 then 'Tell {who}' when 4 then '{text}' end as prompt,
+  case when s_suppkey % 5 <> 3 then true end as resolved
+  from supplier cross join (values ('r0'), ('r1')) v(repo)""")
+def scan_layouts(spark, d):
+    """Models and prompts over imports, ``src`` folders, parameters, joined texts and changed lists, in two repositories apart."""
+    found = S.scan(S.python_files(layout_sources(spark, d)))
+    first = F.get("messages", 0)
+    return found.select("repo", "id", F.col("model.value").alias("model"), F.col("model.source").alias("source"), first["content"].alias("prompt"), first["resolved"].alias("resolved"))
+
+
 @query(domain("select site_id, model, case_id, seq, error, passed from latest"))
 def stream_last_wins(spark, d):
     """The log followed as a stream into a table of last rows in the shared folder; nothing passes through the driver."""
