@@ -195,17 +195,22 @@ def command_evalgen(spark, a, s, client=None, judge=None):
 
 
 def command_report(spark, a, s):
-    rated, log = logged(spark, files.scan_file(spark, a.scan), a.evals, a.results, s)
+    sites = files.scan_file(spark, a.scan)
+    rated, log = logged(spark, sites, a.evals, a.results, s)
+    without = E.missing_evals(sites.select(F.col("id").alias("site_id"), slug_for("id").alias("slug")), files.eval_cases(spark, a.evals)[0])
     with open(a.out, "w", encoding="utf-8") as file:
-        file.writelines(line + "\n" for line in render.report_lines(rated, log, s))
+        file.writelines(line + "\n" for line in render.report_lines(rated, log, s, without))
     return 0
 
 
 def command_export(spark, a, s):
-    rated, log = logged(spark, files.scan_file(spark, a.scan), a.evals, a.results, s)
+    sites = files.scan_file(spark, a.scan)
+    rated, log = logged(spark, sites, a.evals, a.results, s)
+    known = files.eval_cases(spark, a.evals)[0].withColumnRenamed("id", "case_id").join(F.broadcast(sites.select(F.col("id").alias("site_id"), slug_for("id").alias("slug"))), "slug")
     decisions = D.decide(rated, s)
     render.write_payloads(render.site_payload(rated, decisions, M.site_costs(decisions, rated, s)), os.path.join(a.out, "callsites"))
     render.write_payloads(render.grid_payload(R.pass_grid(log, s.models), s.models), os.path.join(a.out, "evals"))
+    render.write_payloads(render.summary_payload(rated, log, known, s), os.path.join(a.out, "summary"))
     return 0
 
 

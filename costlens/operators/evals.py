@@ -86,6 +86,11 @@ def coverage(files: DataFrame, sites: DataFrame) -> DataFrame:
     return both.select("slug", F.when(F.col("site").isNull(), "error").when(F.col("file").isNull(), "warning").otherwise("ok").alias("state"))
 
 
+def missing_evals(sites: DataFrame, cases: DataFrame) -> DataFrame:
+    """(site_id) of ``sites(site_id, slug)`` that no case of ``cases(slug)`` belongs to."""
+    return sites.join(cases.select("slug").distinct(), "slug", "left_anti").select("site_id")
+
+
 def canonical(inputs: str = "inputs"):
     """A flat map as JSON with sorted keys."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(inputs))))

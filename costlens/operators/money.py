@@ -41,6 +41,17 @@ def summary(costs: DataFrame, before: str = "before_month", after: str = "after_
     return out.withColumn("savings_pct", F.try_divide("savings", F.when(F.col("before") != 0, F.col("before"))) * 100)
 
 
+def project_summary(decisions: DataFrame, costs: DataFrame, cases: DataFrame, latest: DataFrame) -> DataFrame:
+    """One row of a project's figures: call sites and those that change, eval sets and cases, judges, monthly cost before and after. Each part is an aggregate of one row."""
+    from .results import judge_models, sum_cases
+
+    n = decisions.agg(F.count("*").alias("call_sites"), F.count_if(F.col("action") == "downgrade").alias("downgrades"))
+    parts = [sum_cases(cases), judge_models(latest), summary(costs)]
+    for part in parts:
+        n = n.crossJoin(F.broadcast(part))
+    return n
+
+
 def dominant_judge(latest: DataFrame) -> DataFrame:
     """One row: the judge of most rows without an error, the first by name of equals; null if there is none."""
     counts = latest.filter(F.col("error").isNull() & F.col("judge_model").isNotNull()).groupBy("judge_model").count()

@@ -317,3 +317,13 @@ def chosen_entry(spark, d):
 @query(f"{HOSTS_SQL} select p_partkey, round(tps * 0.5 * 730 * 3600 / per_call / 30, 4) as capacity_per_day, case when api > 0 then gpu_hour * 730 / (api * 30) else cast('Infinity' as double) end <= tps * 0.5 * 730 * 3600 / per_call / 30 as can_win from h")
 def hosting_capacity(spark, d):
     return M.hosting(hosts(spark, d)).select("p_partkey", F.round("capacity_per_day", 4).alias("capacity_per_day"), "can_win")
+
+
+@query(domain("""select (select count(*) from decisions) as call_sites, (select count(*) from decisions where action = 'downgrade') as downgrades, (select count(distinct site_id) from spine) as sets, (select count(*) from spine) as cases,
+  (select string_agg(distinct judge_model, ',' order by judge_model) from latest) as judges, round(coalesce(sum(before_month), 0), 6) as before, round(coalesce(sum(after_month), 0), 6) as after from costs where before_month is not null and after_month is not null"""))
+def project_summary(spark, d):
+    """The project's figures in one row."""
+    r = rated(spark, d)
+    decisions = D.decide(r, SETTINGS)
+    out = M.project_summary(decisions, M.site_costs(decisions, r, SETTINGS), spine(spark, d), latest(spark, d))
+    return out.select("call_sites", "downgrades", "sets", "cases", F.array_join("judges", ",").alias("judges"), F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))

@@ -223,6 +223,20 @@ def eval_dir_coverage(spark, d):
     return E.coverage(files, sites)
 
 
+@query("""with f as (select distinct 'mod.' || (o_custkey % 300) as slug from orders) select c_custkey as site_id from customer anti join f on f.slug = 'mod.' || (c_custkey % 450)""")
+def missing_evals(spark, d):
+    """Customers as call sites, of which some share a slug; orders as cases."""
+    slug = lambda c, n: F.concat(F.lit("mod."), (F.col(c) % n).cast("string")).alias("slug")
+    return E.missing_evals(table(spark, d, "customer").select(F.col("c_custkey").alias("site_id"), slug("c_custkey", 450)), table(spark, d, "orders").select(slug("o_custkey", 300)))
+
+
+@query(f"with {CASES_SQL} select line, array_to_string(list_sort(list_filter(['plan', 'subject', 'tone'], lambda x: list_contains(wanted, x))), ',') as kept from cases")
+def shared_inputs_kept(spark, d):
+    """Of three shared inputs, those that the case's prompt names."""
+    shared = F.create_map(*(F.lit(x) for k in ("subject", "tone", "plan") for x in (k, k[0])))
+    return cases(spark, d).select("line", F.array_join(F.array_sort(F.map_keys(E.shared_inputs(shared, F.col("wanted")))), ",").alias("kept"))
+
+
 GENERATED_SQL = "select user_id % 40 as site_id, event_id as ord, event_type, cast(json_extract_string(props, '$.k') as integer) as k from events"
 
 

@@ -44,8 +44,8 @@ def report(rated: DataFrame, latest: DataFrame, settings: Settings) -> str:
     return "\n".join(report_lines(rated, latest, settings)) + "\n"
 
 
-def report_lines(rated: DataFrame, latest: DataFrame, settings: Settings) -> Iterator[str]:
-    """The Markdown report of a log: what changes, what it saves, what the analysis cost, what needs a look.
+def report_lines(rated: DataFrame, latest: DataFrame, settings: Settings, without: DataFrame | None = None) -> Iterator[str]:
+    """The Markdown report of a log: what changes, what it saves, what the analysis cost, what needs a look, with the call sites ``without(site_id)`` eval cases.
 
     Counts come from aggregates; the driver takes one partition of the rows at a time.
     """
@@ -75,6 +75,9 @@ def report_lines(rated: DataFrame, latest: DataFrame, settings: Settings) -> Ite
     for r in D.missing_data(rated, settings).orderBy("site_id").toLocalIterator():
         some = True
         yield f"- {r['site_id']}: the baseline has {r['scored']} of {r['cases']} cases scored"
+    for r in without.orderBy("site_id").toLocalIterator() if without is not None else ():
+        some = True
+        yield f"- {r['site_id']}: no eval cases"
     if not some:
         yield "Nothing."
 
@@ -100,6 +103,16 @@ def site_payload(rated: DataFrame, decisions: DataFrame, costs: DataFrame) -> Da
     return rows.select("site_id", slug_for("site_id").alias("slug"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc"))
 
 
+def summary_payload(rated: DataFrame, latest: DataFrame, cases: DataFrame, settings: Settings) -> DataFrame:
+    """``(doc)``: one JSON document of the whole project, with its settings and what the analysis cost."""
+    decisions = D.decide(rated, settings)
+    figures = M.project_summary(decisions, M.site_costs(decisions, rated, settings), cases, latest)
+    spent = M.analysis_cost(latest, settings).select(F.struct("model_calls", "model_cost", "judge_calls", "judge_cost", "judge_model", "total").alias("analysis"))
+    chosen = F.struct(F.lit(settings.baseline).alias("baseline"), F.array(*map(F.lit, settings.candidates)).cast("array<string>").alias("candidates"), F.lit(settings.threshold).alias("quality_threshold"), F.lit(settings.floor).alias("min_pass_rate"))
+    rows = figures.crossJoin(F.broadcast(spent))  # one row each
+    return rows.select(F.to_json(F.struct(chosen.alias("settings"), *figures.columns, "analysis"), {"ignoreNullFields": "false"}).alias("doc"))
+
+
 def grid_payload(grid: DataFrame, models: list[str]) -> DataFrame:
     """``(site_id, doc)``: the passes of every case and model, cases in order."""
     row = F.struct("case_id", F.struct(*models).alias("passed"))

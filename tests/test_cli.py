@@ -42,6 +42,9 @@ def test_commands_from_scan_to_report(spark, project):
     text = (project / "report.md").read_text()
     assert "| main.py::label | downgrade | mid |" in text and "| model calls | 40 |" in text
     assert run("export", *where, "--out", f"{project}/export") == 0 and (project / "export" / "callsites").is_dir()
+    summary = json.loads(next((project / "export" / "summary").glob("*.json")).read_text())
+    summary = json.loads(summary["doc"])
+    assert (summary["call_sites"], summary["downgrades"], summary["sets"], summary["cases"], summary["analysis"]["model_calls"]) == (1, 1, 1, 20, 40)
     assert run("compare", f"{project}/scan.json", f"{project}/scan.json") == 0
     assert run("estimate", f"{project}/scan.json", f"{project}/scan.json", "--fail-above", "0") == 0
 
@@ -57,3 +60,13 @@ def test_bad_input_is_2(spark, project):
     assert cli.main(["--config", f"{project}/bad.json", "validate", "x"], spark) == 2
     with pytest.raises(config.ConfigError, match="unknown field extra.*baseline.*candidates"):
         config.load(f"{project}/bad.json")
+
+
+def test_a_report_names_sites_without_cases(spark, project):
+    run = lambda *a, **more: cli.main(["--config", f"{project}/c.json", *a], spark, **more)
+    (project / "app" / "other.py").write_text(APP.replace("def label", "def other"))
+    run("scan", f"{project}/app", "--out", f"{project}/scan.json")
+    where = (f"{project}/scan.json", f"{project}/evals", f"{project}/results")
+    run("run", *where, client=lambda: FixedClient("yes."))
+    run("report", *where, "--out", f"{project}/report.md")
+    assert "- other.py::other: no eval cases" in (project / "report.md").read_text()
