@@ -211,6 +211,16 @@ def test_prompts_are_found_where_they_are_defined(spark):
     assert (sites["no_default"]["model"]["value"], sites["no_default"]["model"]["source"]) == (None, "dynamic") and sites["assigned"]["model"]["value"] == "here"
 
 
+def test_a_lists_texts_may_be_a_third_modules(spark):
+    tree = {
+        "src/app.py": "from openai import OpenAI\nfrom lib.p import LIST\nclient = OpenAI()\ndef a():\n    client.chat.completions.create(model='m', messages=LIST)\n",
+        "src/lib/p.py": "from lib.more import ASK\nLIST = [{'role': 'user', 'content': ASK}]\n",
+        "src/lib/more.py": "ASK = 'far'\n",
+    }
+    site = S.scan(spark.createDataFrame([("r", k, v.encode()) for k, v in tree.items()], "repo string, rel string, content binary")).first()
+    assert [(m["role"], m["content"], m["resolved"]) for m in site["messages"]] == [("user", "far", True)]
+
+
 def test_repositories_are_apart(spark):
     text = "from openai import OpenAI\nclient = OpenAI()\ndef helper():\n    client.chat.completions.create(model='m', messages=[])\n"
     rows = [("r1", "app/a.py", text.encode()), ("r2", "app/a.py", text.encode()), ("r2", "app/b.py", b"def run():\n    helper()\n")]
