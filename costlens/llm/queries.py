@@ -8,6 +8,9 @@ from importlib import import_module
 MODULES = {
     "op1_minhash": "op1_minhash",
     "op10_url_rules": "op10_url_rules",
+    "op11_packing": "op11_packing",
+    "op12_divergence": "op12_divergence",
+    "op13_fill_middle": "op13_fill_middle",
     "op2_licenses": "op2_licenses",
     "op3_quality": "op3_quality",
     "op4_posting_lists": "op4_posting_lists",
