@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -31,82 +32,125 @@ from . import words as W
 from .common import cut, table, text_of
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
-#: Words whose ids a worker keeps, and the longest that is kept; bytes of a text that are cut into words at once.
-KEPT_WORDS, KEPT_LENGTH, CUT_BYTES = 500_000, 64, 1 << 20
+#: Parts of words whose ids a worker keeps (some 200 MB), and the longest that is kept; bytes of text whose distinct parts are looked up together; parts that the library is asked for at once.
+KEPT_PARTS, KEPT_LENGTH, TOGETHER_BYTES, ASKED_PARTS = 1_000_000, 64, 1 << 22, 20_000
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
-#: What special strings begin with, marks that end words, and the digit that stands between words that are asked for together.
-_SPECIAL, _MARKS, _BETWEEN, _DIGIT = b"<|", b"!#$%&()*+,-./:;<=>?@[]^_`{|}~", "0", b"0"
-
-
-class WordIds:
-    """Ids of texts, as little-endian 32-bit numbers, from those of their words.
-
-    The vocabulary's pre-tokens, normalisation and special strings never reach over ASCII white space, so the ids of a text
-    are those of its words, one after the other. A pre-token also ends between an ASCII letter and the marks at a word's end, and
-    ASCII letters are lower-cased anyway, so forms of one word share its ids. The library is asked for new words only, for many in one call.
+#: What special strings begin with, and the digit that stands between parts that are asked for together.
+_SPECIAL, _BETWEEN, _DIGIT = b"<|", "0", b"0"
+#: Kinds of bytes between which a pre-token always ends: letters, marks (without the apostrophe), digits; 0 are all others.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[b for b in range(0x21, 0x7F) if b != 0x27]] = 2
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KINDS[0x30:0x3A] = 3
+
+
+class PartIds:
+    """Ids of texts, as little-endian 32-bit numbers, from those of their parts.
+
+    The vocabulary's pre-tokens, normalisation and special strings never reach over ASCII white space, and a pre-token ends wherever an
+    ASCII letter, digit or mark stands beside one of another kind, or two digits beside each other. So the ids of a text are those of its parts
+    between such places, one after the other. ASCII letters are lower-cased in any case, so parts of ASCII alone are looked up in lower case. Each distinct part of some
+    megabytes is looked up once; the library is asked for new ones only, for many in one call. Texts with what may be a special string go to the library as they are.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.ids: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.between = self._of(_BETWEEN)
 
     def _of(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def _ask(self, words: list[bytes]) -> None:
-        """Words without the digit and without special strings are asked for in one text, with the digit between them: no other word gives its id."""
-        joined = [w for w in words if _DIGIT not in w and _SPECIAL not in w] if len(self.between) == 1 else []
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _ask(self, parts: list[bytes]) -> None:
+        """Parts of lower-case letters are pre-tokens as they are, which the library's model takes. Of the others, those without the digit are asked for in one text, with the digit between them: no other part gives its id."""
+        letters = [p for p in parts if p.isalpha() and p.islower()]
+        found = [[t.id for t in self.library.model.tokenize(p.decode("ascii"))] for p in letters]
+        raw, ends = np.fromiter(chain.from_iterable(found), "<u4").tobytes(), list(accumulate(map(len, found)))
+        self.known |= {p: raw[4 * a : 4 * b] for p, a, b in zip(letters, [0, *ends[:-1]], ends, strict=True)} if letters else {}
+        others = [p for p in parts if p not in self.known]
+        joined = [p for p in others if _DIGIT not in p] if len(self.between) == 1 else []
         if joined:
-            ids = np.array(self._of(f" {_BETWEEN} ".join(w.decode("utf-8") for w in joined)), "<u4")
+            ids = np.array(self._of(f" {_BETWEEN} ".join(p.decode("utf-8") for p in joined)), "<u4")
             ends = np.flatnonzero(ids == self.between[0]).tolist()
             if len(ends) != len(joined) - 1:
-                raise ValueError("the vocabulary's words are not told apart by a digit")
+                raise ValueError("the vocabulary's parts are not told apart by a digit")
             raw = ids.tobytes()
-            self.ids |= {w: raw[4 * a : 4 * b] for w, a, b in zip(joined, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)}
-        for w in words:
-            if w not in self.ids:
-                self.ids[w] = np.array(self._of(w.decode("utf-8")), "<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        parts = {}
-        for w in words:
-            if _SPECIAL in w:
-                parts[w] = (w,)
-                continue
-            low = w.lower() if w.isascii() else w
-            stem = low.rstrip(_MARKS)
-            parts[w] = (stem, low[len(stem) :]) if stem and len(stem) < len(low) and stem[-1:].isalpha() else (low,)
-        self._ask(list({p for both in parts.values() for p in both}.difference(self.ids)))
-        self.ids |= {w: b"".join(map(self.ids.__getitem__, both)) for w, both in parts.items()}
+            self.known |= {p: raw[4 * a : 4 * b] for p, a, b in zip(joined, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)}
+        for p in others:
+            if p not in self.known:
+                self.known[p] = np.array(self._of(p.decode("utf-8")), "<u4").tobytes()
+
+    def _together(self, data: np.ndarray, edges: np.ndarray) -> list[bytes]:
+        """Ids of the texts between ``edges`` of ``data``, none with a special string."""
+        if not len(data):
+            return [b""] * (len(edges) - 1)
+        inside, kind = W.SPACED[data], _KINDS[data]
+        starts = np.empty(len(data) + 1, bool)
+        starts[0] = starts[-1] = True
+        before, after = kind[:-1], kind[1:]
+        starts[1:-1] = ~inside[:-1] | (before != after) & (before > 0) & (after > 0) | (before == 3) & (after == 3)
+        starts[edges[1:-1]] = True
+        starts[:-1] &= inside
+        ends = np.flatnonzero(inside & (starts[1:] | np.append(~inside[1:], True))) + 1
+        starts = np.flatnonzero(starts[:-1])
+        lower = W._LOWER[data]
+        wide = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(data >= 0x80, out=wide[1:])
+        plain = wide[ends] == wide[starts]
+        first = np.searchsorted(starts, edges)
+        cut_up = W.Piece(0, len(edges) - 1, data, starts, ends, first)
+        hashes = np.where(plain, W.Piece(0, len(edges) - 1, lower, starts, ends, first).hashes(), cut_up.hashes())
+        _, at, own = np.unique(hashes, return_index=True, return_inverse=True)
+        texts = (data.tobytes(), lower.tobytes())
+        parts = [texts[p][s:e] for p, s, e in zip(plain[at].tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if len(self.known) > KEPT_PARTS:
+            self.known.clear()
+        new = list({p for p in parts if p not in self.known})
+        for i in range(0, len(new), ASKED_PARTS):
+            self._ask(new[i : i + ASKED_PARTS])
+        found = [self.known[p] for p in parts]
+        for p in [p for p in new if len(p) > KEPT_LENGTH]:
+            del self.known[p]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        places = np.cumsum(sizes) - sizes
+        each = sizes[own]
+        total = np.zeros(len(each) + 1, np.int64)
+        np.cumsum(each, out=total[1:])
+        whole = ids[np.repeat(places[own] - total[:-1], each) + np.arange(total[-1])].tobytes()
+        at = (4 * total[first]).tolist()
+        return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, text: bytes) -> bytes:
+        """Ids of one text of any length."""
+        if _SPECIAL in text:
+            return np.array(self._of(text.decode("utf-8")), "<u4").tobytes()
         out, at = [], 0
         while at < len(text):
-            space = _SPACE.search(text, at + CUT_BYTES)
+            space = _SPACE.search(text, at + TOGETHER_BYTES)
             end = space.start() if space else len(text)
-            words = text[at:end].split()
-            if len(self.ids) > KEPT_WORDS:
-                self.ids.clear()
-            new = set(words).difference(self.ids)
-            if new:
-                self._learn(new)
-            out += map(self.ids.__getitem__, words)
-            for w in new:
-                if len(w) > KEPT_LENGTH:
-                    for long in (w, w.lower(), w.lower().rstrip(_MARKS), w.rstrip(_MARKS)):
-                        self.ids.pop(long, None)
+            out += self._together(np.frombuffer(text, np.uint8)[at:end], np.array([0, end - at]))
             at = end
         return b"".join(out)
 
+    def encode_all(self, column: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a column."""
+        raw, offsets = W.text_buffers(column)
+        for lo, hi in W.spans(offsets, TOGETHER_BYTES):
+            data, edges = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            if len(data) > TOGETHER_BYTES or _SPECIAL in data.tobytes():
+                yield from (self.encode(data[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True))
+            else:
+                yield from self._together(data, edges)
+
 
 def pieces(docs: DataFrame, path: str, *keep: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``docs(text, keep...)`` -> ``(keep..., piece, start, length, ids, part, nth)``: each row's ids and ``end_id``, cut into pieces where there are more than ``capacity``.
 
     ``ids`` are little-endian 32-bit numbers; ``nth`` numbers the pieces of one length in the task ``part``. Null texts count as empty: ``end_id`` alone.
-    Repeated rows are documents of their own; null ids stay null; columns not in ``keep`` aren't read. A text's ids are held whole, its words only 1 MB at a time.
+    Repeated rows are documents of their own; null ids stay null; columns not in ``keep`` aren't read. A text's ids are held whole, what they are made from only some megabytes at a time.
     """
     with open(path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -118,11 +162,11 @@ def pieces(docs: DataFrame, path: str, *keep: str, capacity: int = CAPACITY, end
     last = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, met, part = W.held(key, lambda: WordIds(shared.value)), Counter(), TaskContext.get().partitionId()
+        known, met, part = W.held(key, lambda: PartIds(shared.value)), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
-            for at, text in enumerate(batch.column(k)):
-                ids = words.encode((text.as_py() or "").encode("utf-8")) + last
+            for at, ids in enumerate(known.encode_all(batch.column(k))):
+                ids += last
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + capacity)]
                     n = len(own) // 4
