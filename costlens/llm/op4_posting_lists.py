@@ -281,13 +281,13 @@ def nearest(vectors: DataFrame, wanted, k: int = NEAREST, size: int = LIST_SIZE)
 
     ``wanted`` is a condition on vec_id. Nearness is the inner product in double precision of the vectors as
     they are; equal scores go to the smaller vec_id; a query's own row is no candidate. Vectors that are null,
-    zero, hold null or non-finite components, or differ in length from the commonest take no part; equal counts of lengths go to the shorter. A vec_id that repeats with equal vectors
-    counts once. No vectors, or no queries, give no rows; fewer candidates than k give all that were found. Columns other than
+    zero, hold null or non-finite components, or differ in length from the commonest take no part; equal counts of lengths go to the shorter. A vec_id that repeats
+    counts once, with the least of its usable vectors; a null vec_id takes no part. No vectors, or no queries, give no rows; fewer candidates than k give all that were found. Columns other than
     vec_id and embedding are ignored. ``size`` is the number of entries that a list should have.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = cut(usable(vectors).dropDuplicates(["vec_id", "vec"]), "vectors")
+    rows = cut(usable(vectors).groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
     first = rows.select("vec", "vec_id", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id")).alias("n")).filter(F.col("n") <= k + 1)
     reps = cut(first.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     norm = F.expr("aggregate(vec, 0D, (a, x) -> a + cast(x as double) * x)")

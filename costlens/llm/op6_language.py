@@ -100,22 +100,25 @@ def learn(docs: DataFrame) -> dict:
 
 
 def _viterbi(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The best label of each step, for sequences of ``counts`` steps one after another in ``scores``."""
+    """The best label of each step, for sequences of ``counts`` steps one after another in ``scores``.
+
+    Sums are doubles over the best of their step, which is taken off: they stay small however long a sequence is.
+    """
     first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
     order = np.argsort(-counts, kind="stable")
     first, counts = first[order], counts[order]
     lasts = np.searchsorted(-counts, -np.arange(1, (counts[0] if len(counts) else 0) + 1), side="right")  # sequences with a t-th step
     best, stay = np.zeros(len(scores), np.int16), np.zeros(scores.shape, bool)
-    v = np.zeros((len(counts), scores.shape[1]), np.float32)
+    v = np.zeros((len(counts), scores.shape[1]), np.float64)
     for t, k in enumerate(lasts):
         now = v[:k]
         top = now.argmax(1)
-        switched = now[np.arange(k), top] - SWITCH
+        now -= now[np.arange(k), top][:, None]
         at = first[:k] + t
         best[at] = top
-        same = now >= switched[:, None]
+        same = now >= -SWITCH
         stay[at] = same
-        v[:k] = np.where(same, now, switched[:, None]) + scores[at] if t else scores[at]
+        v[:k] = np.where(same, now, -SWITCH) + scores[at] if t else scores[at]
     label = v.argmax(1).astype(np.int16)
     out = np.zeros(len(scores), np.int16)
     for t in range(len(lasts) - 1, -1, -1):

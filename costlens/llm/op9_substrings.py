@@ -33,7 +33,7 @@ from .components import components
 
 WINDOW, ANCHOR = 35, 18
 #: Bits of a coordinate: words of one slot (a longer text takes several), and slots of one task of the first stage.
-SLOT_BITS, TASK_BITS = 20, 23
+SLOT_BITS, TASK_BITS = 14, 26
 #: Coordinates of one block when runs meet the stretches that they overlap; rows of one key that one task handles.
 BLOCK_BITS, MOST = 6, 4096
 _LOW = np.uint64((1 << 24) - 1)

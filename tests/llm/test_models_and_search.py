@@ -166,6 +166,24 @@ def test_search_edges(spark):
     assert op4_posting_lists.nearest(few.limit(1), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_a_repeated_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    rows += [(20, (rng.normal(size=8) - 9).tolist()), (20, (rng.normal(size=8) + 9).tolist()), (40, rows[40][1]), (None, [1.0] * 8)]
+    kind = "vec_id long, embedding array<float>"
+    got = op4_posting_lists.nearest(spark.createDataFrame(rows, kind), F.col("vec_id") % 20 == 0).toPandas()
+    assert got.groupby("query_id").size().to_dict() == dict.fromkeys(range(0, 200, 20), 20) and not got.duplicated(["query_id", "rank"]).any()
+    least = {}
+    for i, v in rows[:-1]:
+        v = tuple(np.float32(v).astype(float))
+        least[i] = min(v, least.get(i, v))
+    x = np.array([least[i] for i in range(200)])
+    for q in range(0, 200, 20):
+        want = sorted((-float(x[q] @ x[i]), i) for i in range(200) if i != q)[:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert len(set(mine.vec_id) & {i for _, i in want}) >= 18 and np.allclose([x[q] @ x[i] for i in mine.vec_id], mine.score)
+
+
 # ---- 10. URLs
 
 

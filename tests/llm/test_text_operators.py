@@ -439,3 +439,42 @@ def test_keys_are_dealt_and_copied(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_language_labels_of_very_long_texts():
+    rng, langs, switch = np.random.default_rng(8), 4, op6_language.SWITCH
+    counts = np.array([200_000, 3, 1, 40_000])
+    total = int(counts.sum())
+    scores = rng.normal(-54, 2, (total, langs)).astype(np.float32)
+    scores[np.arange(total), np.arange(total) // 40 % langs] += 3  # the true language changes every forty words
+    got, at = op6_language._viterbi(scores, counts), 0
+    for n in counts:
+        s = scores[at : at + n].astype(float)
+        v, back = s[0].copy(), np.zeros((n, langs), int)
+        for t in range(1, n):
+            top = v.argmax()
+            stays = v >= v[top] - switch
+            back[t] = np.where(stays, np.arange(langs), top)
+            v = np.where(stays, v, v[top] - switch) + s[t]
+        path = np.zeros(n, int)
+        path[-1] = v.argmax()
+        for t in range(n - 1, 0, -1):
+            path[t - 1] = back[t][path[t]]
+        assert (got[at : at + n] == path).all()
+        at += n
+
+
+def test_language_of_a_long_text_of_two(spark):
+    en, de = "the house is green and the garden is wide", "das haus ist grün und der garten ist weit"
+    model = op6_language.learn(spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate([(en, "en"), (de, "de"), ("la casa es verde y el jardín", "es")] * 5)], SCHEMA))
+    long = " ".join([" ".join([en] * 3000), " ".join([de] * 3001), " ".join([en] * 3000)])
+    rows = op6_language.languages(frame(spark, [(1, long), (1, long), (None, long)]), model, "doc_id").collect()
+    assert [r["lang_pred"] for r in rows] == ["en"] * 3 and all([s["lang"] for s in r["spans"]] == ["en", "de", "en"] for r in rows)
+
+
+def test_substrings_of_a_text_over_several_slots(spark, tmp_path):
+    long = " ".join(f"w{i % 50_021}" for i in range(5 << op9_substrings.SLOT_BITS))
+    texts = [long, "x " + long[: len(long) // 2], "short " * 20, None, "short " * 20]
+    frame(spark, enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in op9_substrings.query(spark, str(tmp_path)).collect()}
+    assert got == {i: n for i, (_, n, _) in enumerate(repeats_by_force(texts, 35))}
