@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import scan as S
+from ..operators.asof import last_before
 from ..session import shared_dir
 from ..streaming import log
 from .bindings import results_of, table
@@ -110,6 +111,78 @@ def scan_layouts(spark, d):
     return found.select("repo", "id", F.col("model.value").alias("model"), F.col("model.source").alias("source"), first["content"].alias("prompt"), first["resolved"].alias("resolved"))
 
 
+#: A module for each supplier whose call's model and prompt hang on the last assignment above it, or on a dictionary behind other names.
+DEFINITIONS = {
+    "far_@id@.py": 'TABLE = {"far": "far_@k@", "near": "near_@k@"}\n',
+    "app_@id@.py": """from openai import OpenAI
+from far_@id@ import TABLE as HELD
+
+ROUTES = {"fast": "fast_@k@", "slow": "slow_@k@"}
+client = OpenAI()
+
+
+def ask_@id@(text, other, cfg=ROUTES, model="par_@k@"):
+    p = "never"
+    p = "Say " + text
+    @step@
+    return client.@call@
+    p = m = "after"
+""",
+}
+_CHAT = 'chat.completions.create(model=@model@, messages=[{"role": "user", "content": p}])'
+#: (statements before the call, the call, its model as SQL over the nation's key, the model's source, the prompt).
+DEFINITION_CASES = [
+    ('m = "start"\n    if text:\n        m = "inner"\n    m = "last_@k@"', _CHAT.replace("@model@", "m"), "'last_' || k", "constant", "'Say {text}'"),
+    ('if text:\n        for x in text:\n            m = "deep_@k@"', _CHAT.replace("@model@", "m"), "'deep_' || k", "constant", "'Say {text}'"),
+    ("routes = ROUTES", _CHAT.replace("@model@", 'routes["fast"]'), "'fast_' || k", "dict_lookup", "'Say {text}'"),
+    ("pass", _CHAT.replace("@model@", 'cfg["slow"]'), "'slow_' || k", "dict_lookup", "'Say {text}'"),
+    ("t = HELD\n    u = t", _CHAT.replace("@model@", 'u["far"]'), "'far_' || k", "dict_lookup", "'Say {text}'"),
+    ('a = "one"\n    b = a\n    a = "two_@k@"', _CHAT.replace("@model@", "b"), "'two_' || k", "constant", "'Say {text}'"),
+    ('d = {"x": "old"}\n    d = {"x": "new", "y": ROUTES["fast"]}', _CHAT.replace("@model@", 'd["y"]'), "'fast_' || k", "dict_lookup", "'Say {text}'"),
+    ('if text:\n        model = "set_@k@"', _CHAT.replace("@model@", "model"), "'set_' || k", "constant", "'Say {text}'"),
+    ("p = other", _CHAT.replace("@model@", "model"), "'par_' || k", "parameter_default", "'{other}'"),
+    ("pass", _CHAT.replace("@model@", 'other["fast"]'), "null", "dynamic", "'Say {text}'"),
+    ("pass", 'responses.create(model="given_@k@", input=text)', "'given_' || k", "literal", "null"),
+    ('w = "no"\n    w = f"Ask {other}"', 'responses.create(model=HELD["near"], input=w)', "'near_' || k", "dict_lookup", "'Ask {other}'"),
+]
+
+
+def definition_sources(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    cases = F.array(*(F.struct(F.lit(step).alias("step"), F.lit(call).alias("call")) for step, call, *_ in DEFINITION_CASES))
+    files = F.array(*(F.struct(F.lit(rel).alias("rel"), F.lit(text).alias("text")) for rel, text in DEFINITIONS.items()))
+    rows = s.withColumn("case", F.get(cases, (F.col("s_suppkey") % len(DEFINITION_CASES)).cast("int"))).withColumn("f", F.explode(files))
+    rel, text = F.col("f.rel"), F.replace(F.replace(F.col("f.text"), F.lit("@step@"), F.col("case.step")), F.lit("@call@"), F.col("case.call"))
+    for name, value in {"@id@": F.col("s_suppkey").cast("string"), "@k@": F.col("s_nationkey").cast("string")}.items():
+        rel, text = F.replace(rel, F.lit(name), value), F.replace(text, F.lit(name), value)
+    return rows.select(F.lit("repo").alias("repo"), rel.alias("rel"), text.cast("binary").alias("content"))
+
+
+_CASE_SQL = [" ".join(f"when {i} then {x}" for i, x in enumerate(column)) for column in ([c[2] for c in DEFINITION_CASES], [f"'{c[3]}'" for c in DEFINITION_CASES], [c[4] for c in DEFINITION_CASES])]
+
+
+@query(f"""select 'app_' || s_suppkey || '.py::ask_' || s_suppkey as id, case s_suppkey % {len(DEFINITION_CASES)} {_CASE_SQL[0]} end as model, case s_suppkey % {len(DEFINITION_CASES)} {_CASE_SQL[1]} end as source,
+  case s_suppkey % {len(DEFINITION_CASES)} {_CASE_SQL[2]} end as prompt from (select s_suppkey, s_nationkey as k from supplier)""")
+def scan_definitions(spark, d):
+    """Models and prompts by the last assignment above the call, in branches and repeated, and by dictionaries behind aliases, parameters' defaults and imports."""
+    found = S.scan(S.python_files(definition_sources(spark, d)))
+    return found.select("id", F.col("model.value").alias("model"), F.col("model.source").alias("source"), F.get("messages", 0)["content"].alias("prompt"))
+
+
+#: Statuses as a price list would know them: an order's status holds from its date on.
+@query("""select l.l_orderkey, l.l_linenumber, l.l_shipdate as at, (select max(o.o_orderkey) from orders o where o.o_custkey = c.o_custkey and o.o_orderdate =
+    (select max(o2.o_orderdate) from orders o2 where o2.o_custkey = c.o_custkey and o2.o_orderdate < l.l_shipdate)) as last_order
+  from lineitem l join orders c on l.l_orderkey = c.o_orderkey""")
+def last_order_before(spark, d):
+    """Each line with its customer's last order before the day that it was shipped."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at"))
+    rows = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    events = orders.select("o_custkey", F.col("o_orderdate").alias("at"), "o_orderkey", (-F.col("o_orderkey")).alias("first"))
+    met = last_before(rows, events, ["o_custkey"], "at", "first")
+    return met.select("l_orderkey", "l_linenumber", "at", F.col("event.o_orderkey").alias("last_order"))
+
+
 @query(domain("select site_id, model, case_id, seq, error, passed from latest"))
 def stream_last_wins(spark, d):
     """The log followed as a stream into a table of last rows in the shared folder; nothing passes through the driver."""
