@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import expression_fields, word_count
 from ..schemas import DAYS_PER_MONTH, DEFAULT_COMPLETION_TOKENS, ENRICHMENT, Settings
 from .money import volume_of
+from .numbering import numbered
 
 #: Order of a comparison's rows.
 STATUSES = ["added", "changed", "removed", "unchanged"]
@@ -161,11 +162,15 @@ def lint(sites: DataFrame, generated_by: str, auditor: str = "auditor") -> DataF
     return out.unionByName(none)
 
 
-def number_sites(found: DataFrame) -> DataFrame:
-    """``found(file, function, ord)``, with ``repo`` if there are several, with ids: ``file::function``, and ``#n`` for the nth call of one function."""
-    n = F.row_number().over(Window.partitionBy(*_repo(found), "file", "function").orderBy("ord"))
+def number_sites(found: DataFrame, parsed: bool = False) -> DataFrame:
+    """``found(file, function, ord)``, with ``repo`` if there are several, with ids: ``file::function``, and ``#n`` for the nth call of one function.
+
+    ``parsed`` says that the calls of a function came out of one task, as those of a parsed file do: then one task can number them.
+    """
+    keys = [*_repo(found), "file", "function"]
+    rows = found.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))) if parsed else numbered(found, keys, ["ord"])
     name = F.concat("file", F.lit("::"), "function")
-    return found.withColumn("id", F.when(n > 1, F.concat(name, F.lit("#"), n.cast("string"))).otherwise(name))
+    return rows.withColumn("id", F.when(F.col("n") > 1, F.concat(name, F.lit("#"), F.col("n").cast("string"))).otherwise(name)).drop("n")
 
 
 def _repo(df: DataFrame) -> list[str]:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import IDENTIFIER, clip, expression_fields, normalize_text, strip_fences
 from ..schemas import MIN_CASES
 from .callsites import prompt_resolved, prompt_text
+from .numbering import numbered
 
 
 def duplicate_ids(cases: DataFrame) -> DataFrame:
     """Second and later cases of one id in a set."""
-    n = F.row_number().over(Window.partitionBy("site_id", "id").orderBy("line"))
-    return cases.withColumn("n", n).filter("n > 1").drop("n")
+    return numbered(cases, ["site_id", "id"], ["line"]).filter("n > 1").drop("n")
 
 
 def input_diff(cases: DataFrame) -> DataFrame:
@@ -104,8 +104,9 @@ def first_of_equal(generated: DataFrame, key: str) -> DataFrame:
 
 def renumber(cases: DataFrame) -> DataFrame:
     """New ids ``function-NN`` in the order of ``ord``."""
-    n = F.row_number().over(Window.partitionBy("site_id").orderBy("ord"))
-    return cases.withColumn("id", F.concat("function", F.lit("-"), F.lpad(n.cast("string"), F.greatest(F.lit(2), F.length(n.cast("string"))), F.lit("0"))))
+    n = F.col("n").cast("string")
+    named = F.concat("function", F.lit("-"), F.lpad(n, F.greatest(F.lit(2), F.length(n)), F.lit("0")))
+    return numbered(cases, ["site_id"], ["ord"]).withColumn("id", named).drop("n")
 
 
 def score_exact(output: str, expected: str):

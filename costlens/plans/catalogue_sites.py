@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import callsites as C
 from ..operators import evals as E
+from ..operators.numbering import numbered
 from .bindings import SETTINGS, SIDES_SQL, call_sites, side_sql, table
 from .catalogue import query
 
@@ -323,3 +324,10 @@ def run_graded(spark, d):
     echo = lambda: MC.FixedClient(lambda model, messages: messages[0]["content"])
     judge = lambda: MC.FixedClient(lambda model, messages: '{"score": %s}' % messages[1]["content"].split("rubric ")[1][0])
     return MC.run_cases(todo, echo, "j_a", judge).select("site_id", "case_id", "score", "passed", "judge_model", "error")
+
+
+@query("select l_orderkey, l_linenumber, l_returnflag as flag, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) as n from lineitem")
+def number_heavy_groups(spark, d):
+    """Every line's number among those of its return flag: three groups hold the whole table, and each is numbered by several tasks."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"))
+    return numbered(rows, ["flag"], ["l_orderkey", "l_linenumber"])
