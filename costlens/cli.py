@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import __version__, config, render
 from .functions.text import allowed_values, graded_fields, placeholders, slug_for
+from .functions.text import render as fill
 from .operators import callsites as C
 from .operators import decide as D
 from .operators import evals as E
@@ -19,6 +20,7 @@ from .operators import money as M
 from .operators import results as R
 from .operators import scan as S
 from .schemas import CALL_SITE, Settings
+from .session import kept
 from .sources import files, gitref
 
 FIELDS = [f.split()[0] for f in CALL_SITE.replace("array<struct<role:string,content:string,resolved:boolean>>", "x").replace("struct<value:string,source:string,expression:string,env_var:string,defined_in:string>", "x").split(", ")]
@@ -77,24 +79,14 @@ def command_compare(spark, a, s):
 
 
 def command_check_evals(spark, a, s):
-    sites = files.scan_file(spark, a.scan)
+    """Prints what is wrong with the eval sets, errors first, and the totals; rows come to the driver one partition at a time."""
     cases, problems = files.eval_cases(spark, a.evals)
-    found = E.coverage(cases.select("slug"), sites.select(slug_for("id").alias("slug"))).filter("state <> 'ok'").collect()
-    named = sites.select("id", slug_for("id").alias("slug"))
-    prompts = E.prompt_problems(sites).join(named.withColumnRenamed("id", "site_id"), "site_id").join(cases.select("slug").distinct(), "slug", "left_semi")
-    rows = problems.unionByName(prompts.select("slug", F.lit(0).cast("bigint").alias("line"), "problem")).orderBy("slug", "line").collect()
-    twice = E.duplicate_ids(cases.withColumnRenamed("slug", "site_id")).orderBy("site_id", "line").collect()
-    few = E.few_cases(cases.withColumnRenamed("slug", "site_id")).collect()
-    for r in rows:
-        print(f"error: {r['slug']} line {r['line']}: {r['problem']}")
-    for r in twice:
-        print(f"error: {r['site_id']} line {r['line']}: duplicate id {r['id']}")
-    for r in found:
-        print(f"{r['state']}: {r['slug']}: {'no call site' if r['state'] == 'error' else 'no eval file'}")
-    for r in few:
-        print(f"warning: {r['site_id']}: {r['warning']}")
-    errors = bool(rows or twice or any(r["state"] == "error" for r in found))
-    return int(errors or a.strict and bool(found or few))
+    report = kept(E.set_report(cases, files.scan_file(spark, a.scan), problems), "set-report")
+    for r in report.orderBy("severity", "slug", F.col("line").asc_nulls_first(), "problem").toLocalIterator():
+        print(f"{r['severity']}: {r['slug']}{'' if r['line'] is None else ' line ' + str(r['line'])}: {r['problem']}")
+    n = E.set_totals(report, cases).first()
+    print(f"{n['sets']} sets, {n['cases']} cases, {n['errors']} errors, {n['warnings']} warnings")
+    return int(bool(n["errors"] or a.strict and n["warnings"]))
 
 
 def _clients(s: Settings, client, judge):
@@ -109,19 +101,19 @@ def _cases(spark, a, s: Settings) -> DataFrame:
     sites = files.scan_file(spark, a.scan)
     if a.site:
         sites = E.select_only(sites, "id", a.site)
-    sites = sites.filter(F.col("messages").isNotNull())
     cases, problems = files.eval_cases(spark, a.evals)
     known = sites.select(F.col("id").alias("site_id"), slug_for("id").alias("slug"))
-    has = cases.select("slug").distinct().withColumn("has_file", F.lit(True))
-    ready = E.ready_sites(known.join(has, "slug", "left").fillna(False, "has_file"), problems.join(F.broadcast(known), "slug").select("site_id", "problem"))
+    has = cases.select("slug").unionByName(problems.select("slug")).distinct().withColumn("has_file", F.lit(True))
+    errors = E.set_report(cases, sites, problems).filter("severity = 'error' and site_id is not null").select("site_id", "problem")
+    ready = kept(E.ready_sites(known.join(has, "slug", "left").fillna(False, "has_file"), errors), "ready-sites")
     for r in ready.filter("skipped is not null").orderBy("site_id").toLocalIterator():
         print(f"skipped: {r['site_id']}: {r['skipped']}", file=sys.stderr)
-    prompts = sites.select(F.col("id").alias("site_id"), F.col("messages").alias("prompt"), F.coalesce("temperature", F.lit(0.0)).alias("temperature"), "max_tokens", (F.col("output_format") == "json").alias("json_mode"), graded_fields("output_contract").alias("fields"))
-    spine = cases.join(F.broadcast(ready.filter("skipped is null").select("site_id", "slug")), "slug")
+    prompts = sites.select(F.col("id").alias("site_id"), F.col("messages").alias("prompt"), F.coalesce("temperature", F.lit(0.0)).alias("temperature"), "max_tokens", (F.col("output_format") == "json").alias("json_mode"), graded_fields("output_contract").alias("fields"), placeholders(C.prompt_text()).alias("names"))
+    spine = cases.join(ready.filter("skipped is null").select("site_id", "slug"), "slug")
     if a.limit is not None:
         spine = R.first_cases(spine, int(a.limit))
-    filled = F.transform("prompt", lambda m: F.struct(m["role"].alias("role"), F.aggregate(F.map_keys("inputs"), m["content"], lambda t, k: F.replace(t, F.concat(F.lit("{"), k, F.lit("}")), F.col("inputs")[k])).alias("content")))
-    return spine.join(prompts, "site_id").withColumnRenamed("id", "case_id").withColumn("messages", filled)
+    filled = F.transform("prompt", lambda m: F.struct(m["role"].alias("role"), fill(m["content"], "names", "inputs").alias("content")))
+    return spine.join(prompts, "site_id").withColumnRenamed("id", "case_id").withColumn("messages", filled).drop("names")
 
 
 def _has_log(path: str) -> bool:

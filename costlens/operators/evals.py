@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import IDENTIFIER, clip, expression_fields, normalize_text, strip_fences
+from ..functions.text import allowed_values, clip, expression_fields, graded_fields, normalize_text, placeholders, slug_for, strip_fences
 from ..schemas import MIN_CASES
 from .callsites import prompt_resolved, prompt_text
 from .numbering import numbered
@@ -21,13 +21,14 @@ def input_diff(cases: DataFrame) -> DataFrame:
     return cases.withColumns({"missing": F.array_sort(F.array_except("wanted", "given")), "extra": F.array_sort(F.array_except("given", "wanted"))})
 
 
-def expected_problem():
-    """What is wrong with ``expected`` under ``grading``, by the labels and fields of the contract; null if nothing is."""
-    blank = F.coalesce(F.trim("expected") == "", F.lit(True))
+def expected_problem(typed: bool = False):
+    """What is wrong with ``expected`` under ``grading``, by the labels and fields of the contract; null if nothing is. ``typed`` says that ``expected_kind`` tells its JSON type, so that a number is no text."""
+    is_a = lambda kind: F.coalesce(F.startswith("expected_kind", F.lit(kind)), F.lit(False)) if typed else F.lit(True)
+    blank = F.coalesce(F.trim("expected") == "", F.lit(True)) | ~is_a("STRING")
     return (
         F.when((F.col("grading") == "exact") & blank, "exact grading needs expected to be a non-empty string")
         .when((F.col("grading") == "exact") & F.col("labels").isNotNull() & ~F.array_contains("labels", F.col("expected")), F.concat(F.lit("expected "), F.col("expected"), F.lit(" is not one of "), F.array_join("labels", ", ")))
-        .when((F.col("grading") == "json_fields") & (F.coalesce(F.size(F.json_object_keys("expected")), F.lit(0)) <= 0), "json_fields grading needs expected to be a non-empty object")
+        .when((F.col("grading") == "json_fields") & ((F.coalesce(F.size(F.json_object_keys("expected")), F.lit(0)) <= 0) | ~is_a("OBJECT")), "json_fields grading needs expected to be a non-empty object")
         .when((F.col("grading") == "judge") & blank, "judge grading needs expected to be a reference answer or rubric string")
     )
 
@@ -58,7 +59,7 @@ def shared_inputs(shared, names):
 
 
 def problems(cases: DataFrame) -> DataFrame:
-    """(site_id, line, problem) of ``cases(site_id, line, id, grading, site_grading, wanted, given, labels, expected)``."""
+    """(site_id, line, problem) of ``cases(site_id, line, id, grading, site_grading, wanted, given, labels, expected)``; ``fields`` and ``expected_kind`` count where they are there."""
     n = F.row_number().over(Window.partitionBy("site_id", "id").orderBy("line"))
     rows = input_diff(cases.withColumn("n", n))
     found = F.array_compact(
@@ -67,7 +68,7 @@ def problems(cases: DataFrame) -> DataFrame:
             F.when(F.col("grading") != F.col("site_grading"), F.concat(F.lit("grading "), F.col("grading"), F.lit(" does not match call site grading "), F.col("site_grading"))),
             F.when(F.size("missing") > 0, F.concat(F.lit("inputs missing "), F.array_join("missing", ", "))),
             F.when(F.size("extra") > 0, F.concat(F.lit("inputs not in the prompt: "), F.array_join("extra", ", "))),
-            expected_problem(),
+            expected_problem("expected_kind" in cases.columns),
             *([field_problem()] if "fields" in cases.columns else []),
         )
     )
@@ -86,6 +87,41 @@ def coverage(files: DataFrame, sites: DataFrame) -> DataFrame:
     return both.select("slug", F.when(F.col("site").isNull(), "error").when(F.col("file").isNull(), "warning").otherwise("ok").alias("state"))
 
 
+def set_report(cases: DataFrame, sites: DataFrame, file_problems: DataFrame) -> DataFrame:
+    """All that is wrong or doubtful with eval sets as one relation ``(slug, site_id, line, severity, problem)``; severity is error or warning, ``line`` null where a whole set is meant.
+
+    ``cases(slug, line, id, inputs, expected, expected_kind, grading)`` meet ``sites(id, messages, output_contract, grading)`` by slug. ``file_problems(slug, line, problem)`` are what
+    reading the files found. Inputs aren't compared with a prompt that has expressions, as those are reported themselves. Nothing is collected: a set may have any number of cases.
+    """
+    text = prompt_text()
+    known = sites.select(
+        F.col("id").alias("site_id"), slug_for("id").alias("slug"), F.col("grading").alias("site_grading"), graded_fields("output_contract").alias("fields"), allowed_values("output_contract").alias("labels"),
+        F.coalesce(placeholders(text), F.array().cast("array<string>")).alias("named"), F.coalesce(F.size(expression_fields(text)) > 0, F.lit(False)).alias("odd"),
+    )
+    ids = known.select("slug", "site_id")
+    given = F.map_keys("inputs")
+    rows = cases.join(known, "slug").withColumns({"given": given, "wanted": F.when(F.col("odd"), given).otherwise(F.col("named"))})
+    held = cases.select("slug").unionByName(file_problems.select("slug")).distinct()
+    of_set = lambda found: found.withColumn("line", F.lit(None).cast("bigint"))
+    sited = lambda found: found.join(ids, "slug", "left")
+    errors = problems(rows).join(ids, "site_id").unionByName(sited(file_problems.select("slug", F.col("line").cast("bigint").alias("line"), "problem")))
+    errors = errors.unionByName(of_set(prompt_problems(sites).join(ids, "site_id").join(held, "slug", "left_semi")))
+    states = coverage(held, ids.select("slug"))
+    errors = errors.unionByName(of_set(sited(states.filter("state = 'error'").select("slug", F.lit("no call site").alias("problem")))))
+    few = few_cases(cases.withColumnRenamed("slug", "site_id")).select(F.col("site_id").alias("slug"), F.col("warning").alias("problem"))
+    no_fields = known.filter("site_grading = 'json_fields' and fields is null").join(held, "slug", "left_semi").select("slug", F.lit("output_contract names no graded fields").alias("problem"))
+    none = states.filter("state = 'warning'").select("slug", F.lit("no eval file").alias("problem"))
+    warnings = of_set(sited(few.unionByName(no_fields).unionByName(none)))
+    tagged = lambda found, severity: found.select("slug", "site_id", "line", F.lit(severity).alias("severity"), "problem")
+    return tagged(errors, "error").unionByName(tagged(warnings, "warning"))
+
+
+def set_totals(report: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row ``(sets, cases, errors, warnings)``."""
+    found = report.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    return cases.agg(F.count_distinct("slug").alias("sets"), F.count("*").alias("cases")).join(found)
+
+
 def missing_evals(sites: DataFrame, cases: DataFrame) -> DataFrame:
     """(site_id) of ``sites(site_id, slug)`` that no case of ``cases(slug)`` belongs to."""
     return sites.join(cases.select("slug").distinct(), "slug", "left_anti").select("site_id")

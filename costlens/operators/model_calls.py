@@ -20,6 +20,8 @@ from ..session import ship
 from .evals import first_of_equal, generation_messages, parse_generated, renumber, score_exact
 from .results import first_cases, is_ok, summarize, to_rescore
 
+#: Numbers of a round of generated cases; more than a reply can have cases.
+ROUND = 1 << 32
 #: Most tokens of a judge's reply.
 JUDGE_TOKENS = 200
 
@@ -216,8 +218,11 @@ def generate(sites: DataFrame, model: str, make_client: Callable[[], object], wa
         cases, problems = parse_generated(replies.filter("error is null"))
         failed = replies.filter("error is not null").select("site_id", F.col("error").alias("problem"))
         problems = problems.unionByName(failed)
-        cases = cases.withColumn("round", F.lit(number))
-        have = cases if have is None else first_of_equal(have.unionByName(cases).withColumn("ord", F.col("round") * 1_000_000 + F.col("ord")), "key")
+        cases = cases.withColumn("ord", F.lit(number).cast("bigint") * ROUND + F.col("ord"))  # once for each case: rounds stay in their order
+        every = cases if have is None else have.unionByName(cases)
+        have = first_of_equal(every, "key")
+        again = cases.join(have.select("site_id", "ord"), ["site_id", "ord"], "left_anti").select("site_id", F.lit("a case has the inputs of an earlier one").alias("problem"))
+        problems = problems.unionByName(again)
         found = problems if found is None else found.unionByName(problems)
         if sites.join(have.groupBy("site_id").agg(F.count("*").alias("n")).filter(F.col("n") >= wanted), "site_id", "left_anti").isEmpty():
             break

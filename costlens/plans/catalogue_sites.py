@@ -331,3 +331,56 @@ def number_heavy_groups(spark, d):
     """Every line's number among those of its return flag: three groups hold the whole table, and each is numbered by several tasks."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"))
     return numbered(rows, ["flag"], ["l_orderkey", "l_linenumber"])
+
+
+REPORT_SQL = """with sites as (select 'm' || c_custkey || '.py::f' as site_id, 'm' || c_custkey || '__f' as slug, c_custkey % 5 = 0 as unknown, c_custkey % 5 = 1 as odd,
+    case c_custkey % 4 when 1 then 'exact' when 2 then 'json_fields' when 3 then 'judge' end as site_grading, c_custkey % 3 = 0 as labelled, c_custkey % 3 = 1 as fielded from customer),
+cases as (select case when o_orderkey % 97 = 0 then 'x' else 'm' end || o_custkey || '__f' as slug, o_orderkey as line, o_orderkey % 7 as id, case o_orderkey % 6 when 0 then 'judge' when 1 then 'json_fields' else 'exact' end as grading,
+    o_orderkey % 4 as inputs, o_orderkey % 5 as kind, ['F', '7', '{"a":1}', ' ', '{"a":1,"c":2}'][1 + o_orderkey % 5] as expected from orders),
+met as (select c.*, s.* exclude slug, row_number() over (partition by site_id, id order by line) as n from cases c join sites s using (slug)),
+rows_ as (select slug, site_id, line, 'error' as severity, unnest(list_filter([case when n > 1 then 'duplicate id' end,
+    case when grading <> site_grading then 'grading ' || grading || ' does not match call site grading ' || site_grading end,
+    case when not odd and not unknown and inputs = 0 then 'inputs missing body' end,
+    case when not odd and unknown then 'inputs not in the prompt: ' || ['subject', 'body, subject', 'body, subject, tone', 'body, subject'][1 + inputs] when not odd and inputs = 2 then 'inputs not in the prompt: tone' end,
+    case when grading = 'exact' and kind <> 0 then 'exact grading needs expected to be a non-empty string' when grading = 'json_fields' and kind not in (2, 4) then 'json_fields grading needs expected to be a non-empty object'
+      when grading = 'judge' and kind <> 0 then 'judge grading needs expected to be a reference answer or rubric string' end,
+    case when grading = 'json_fields' and fielded then case when kind = 2 then 'expected lacks graded fields b' when kind = 4 then 'expected lacks graded fields b; expected has fields that are not graded: c' else 'expected lacks graded fields a, b' end end], lambda x: x is not null)) as problem from met),
+held as (select distinct slug from cases),
+sets as (
+  select slug, site_id, 'error' as severity, 'prompt is unresolved' as problem from sites semi join held using (slug) where unknown
+  union all select slug, site_id, 'error', 'prompt has expressions: x.y' from sites semi join held using (slug) where odd
+  union all select slug, null, 'error', 'no call site' from held anti join sites using (slug)
+  union all select slug, site_id, 'warning', 'no eval file' from sites anti join held using (slug)
+  union all select slug, site_id, 'warning', 'output_contract names no graded fields' from sites semi join held using (slug) where site_grading = 'json_fields' and not fielded
+  union all select slug, any_value(site_id), 'warning', 'only ' || count(*) || ' cases (aim for 20 or more)' from cases left join sites using (slug) group by slug having count(*) < 20)
+"""
+
+
+def eval_sets(spark, d):
+    """(cases, call sites): each customer is a call site, its orders are the cases of its set."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    pick = lambda n, *xs: F.get(F.array(*map(F.lit, xs)), (n % len(xs)).cast("int"))
+    message = lambda text: F.array(F.struct(F.lit("user").alias("role"), F.lit(text).alias("content"), F.lit(True).alias("resolved")))
+    sites = table(spark, d, "customer").select(
+        F.concat(F.lit("m"), c.cast("string"), F.lit(".py::f")).alias("id"), F.when(c % 5 == 0, None).when(c % 5 == 1, message("Tell {subject} {x.y}")).otherwise(message("Tell {subject} of {body}")).alias("messages"),
+        pick(c, None, "exact", "json_fields", "judge").alias("grading"), pick(c, "One label from the set {F, O}", "Graded fields: a, b.", None).alias("output_contract"),
+    )
+    raw = F.concat(F.lit('{"inputs": '), pick(o, '{"subject": "s"}', '{"subject": "s", "body": "b"}', '{"subject": "s", "body": "b", "tone": "t"}', '{"body": "b", "subject": "s"}'), F.lit(', "expected": '), pick(o, '"F"', "7", '{"a": 1}', '" "', '{"a": 1, "c": 2}'), F.lit("}"))
+    cases = table(spark, d, "orders").select(
+        F.concat(F.when(o % 97 == 0, "x").otherwise("m"), F.col("o_custkey").cast("string"), F.lit("__f")).alias("slug"), o.alias("line"), (o % 7).cast("string").alias("id"), pick(o, "judge", "json_fields", "exact", "exact", "exact", "exact").alias("grading"), raw.alias("value")
+    )
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.expected", "variant"))
+    return cases.withColumns({"inputs": F.from_json(F.get_json_object("value", "$.inputs"), "map<string,string>"), "expected": F.get_json_object("value", "$.expected"), "expected_kind": kind}).drop("value"), sites
+
+
+@query(REPORT_SQL + "select slug, site_id, line, severity, problem from rows_ union all select slug, site_id, null, severity, problem from sets")
+def eval_set_report(spark, d):
+    """All problems of all eval sets as one relation, typed: a number is no text."""
+    cases, sites = eval_sets(spark, d)
+    return E.set_report(cases, sites, spark.createDataFrame([], "slug string, line bigint, problem string"))
+
+
+@query(REPORT_SQL + "select (select count(*) from held) as sets, (select count(*) from cases) as cases, (select count(*) from rows_) + (select count(*) from sets where severity = 'error') as errors, (select count(*) from sets where severity = 'warning') as warnings")
+def eval_set_totals(spark, d):
+    cases, sites = eval_sets(spark, d)
+    return E.set_totals(E.set_report(cases, sites, spark.createDataFrame([], "slug string, line bigint, problem string")), cases)

@@ -150,7 +150,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def eval_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(cases, problems) of eval files. A first record with ``shared`` only sets inputs that every case gets unless it has its own; ``{"file": name}`` there is the text of that file.
 
-    Cases have slug, line, id, inputs, expected (JSON), grading and notes; problems have slug, line and text. Unknown fields and
+    Cases have slug, line, id, inputs, expected (JSON) and its JSON type, grading and notes; problems have slug, line and text. Unknown fields and
     a later ``shared`` record are problems too; a case with an unknown field only is still a case.
     """
     lines = numbered_lines(spark, path).filter(F.col("path").endswith(".jsonl") & (F.trim("value") != "")).withColumn("slug", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl$", ""))
@@ -177,7 +177,8 @@ def eval_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
     body = body.withColumns({"problem": problem, "own": own, "unknown": F.array_sort(F.array_except("keys", F.array(*map(F.lit, _CASE_FIELDS))))})
     merged = F.map_concat(F.map_filter(F.coalesce("shared", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key("own", k)), "own")
-    cases = body.filter("problem is null").select("slug", "line", field("id"), merged.alias("inputs"), field("expected"), field("grading"), field("notes"))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.expected", "variant"))
+    cases = body.filter("problem is null").select("slug", "line", field("id"), merged.alias("inputs"), field("expected"), kind.alias("expected_kind"), field("grading"), field("notes"))
     odd = body.filter("problem is null and size(unknown) > 0").select("slug", "line", F.concat(F.lit("unknown field "), F.array_join("unknown", ", ")).alias("problem"))
     problems = body.filter("problem is not null").select("slug", "line", "problem").unionByName(odd).unionByName(lost).unionByName(badly)
     return cases, problems
