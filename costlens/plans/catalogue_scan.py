@@ -190,3 +190,12 @@ def stream_last_wins(spark, d):
     folder = f"{shared_dir(spark)}/costlens-stream-{uuid.uuid4().hex}"
     log.upsert(stream, f"{folder}/table", f"{folder}/progress").awaitTermination()
     return log.upserted(spark, f"{folder}/table").select("site_id", "model", "case_id", "seq", "error", "passed")
+
+
+@query(domain("select site_id, model, case_id, seq, error, passed from latest"))
+def stream_running_last(spark, d):
+    """The log's keys as state of the stream, one row a key: each batch hands on only the keys that changed, with their last row so far."""
+    stream = results_of(log.follow(spark, f"{d}/events*.parquet", table(spark, d, "events").schema)).select("site_id", "model", "case_id", "seq", "error", "passed")
+    folder = f"{shared_dir(spark)}/costlens-stream-{uuid.uuid4().hex}"
+    log.upsert(log.running_last(stream), f"{folder}/table", f"{folder}/progress", mode="update").awaitTermination()
+    return log.upserted(spark, f"{folder}/table")
