@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
@@ -23,11 +24,17 @@ from .schemas import CALL_SITE, Settings
 from .session import kept
 from .sources import files, gitref
 
+#: Problems of a scan file that a command names before it stops.
+SHOWN_PROBLEMS = 20
 FIELDS = [f.split()[0] for f in CALL_SITE.replace("array<struct<role:string,content:string,resolved:boolean>>", "x").replace("struct<value:string,source:string,expression:string,env_var:string,defined_in:string>", "x").split(", ")]
 
 
+def _tree(spark: SparkSession, root: str, s: Settings) -> DataFrame:
+    return S.python_files(files.source_tree(spark, os.path.abspath(root)), s.include or ["*.py"], s.exclude)
+
+
 def scan_tree(spark: SparkSession, root: str, s: Settings) -> DataFrame:
-    return S.scan(S.python_files(files.source_tree(spark, os.path.abspath(root)), s.include or ["*.py"], s.exclude))
+    return S.scan(_tree(spark, root, s))
 
 
 def scan_ref(spark: SparkSession, repo: str, ref: str, path: str, s: Settings) -> DataFrame:
@@ -36,13 +43,39 @@ def scan_ref(spark: SparkSession, repo: str, ref: str, path: str, s: Settings) -
     return S.scan(S.python_files(tree, s.include or ["*.py"], s.exclude))
 
 
-def write_scan(sites: DataFrame, path: str) -> None:
-    """One JSON document of a scan; a scan lists call sites, so the driver can hold it."""
+def write_scan(sites: DataFrame, path: str, totals: DataFrame, warnings: DataFrame, root: str = ".") -> None:
+    """One JSON document of a scan, written a call site and a warning at a time: the driver holds one partition of either."""
     shown = [c for c in FIELDS if c in sites.columns]
-    doc = sites.select(F.struct(*shown).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("call_sites"))
-    doc = doc.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("costlens").alias("tool"), F.lit("ast").alias("generated_by"), "call_sites"), {"ignoreNullFields": "false", "pretty": "true"}))
+    rows = S.ordered(sites).select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}))
+    told = warnings.orderBy("repo", "rel", "line").select(_told())
+    count = totals.first().asDict()
+    count.pop("warnings")
+    head = {"schema_version": 1, "tool": "costlens", "tool_version": __version__, "generated_by": "ast", "root": root, "summary": count}
+
+    def items(lines) -> None:
+        for n, line in enumerate(lines):
+            file.write(f"{',' if n else ''}\n  {line}")
+
     with open(path, "w", encoding="utf-8") as file:
-        file.write(doc.first()[0] + "\n")
+        file.write(json.dumps(head, ensure_ascii=False)[:-1] + ',\n"warnings": [')
+        items(json.dumps(r[0], ensure_ascii=False) for r in told.toLocalIterator())
+        file.write('],\n"call_sites": [')
+        items(r[0] for r in rows.toLocalIterator())
+        file.write("]}\n")
+
+
+def _told():
+    """A warning of a scan as one text, its file and line first."""
+    return F.concat("rel", F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")), F.lit(": "), "warning")
+
+
+def read_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The call sites of scan files that have no problems; those with some are bad input, with the first of them told."""
+    found = files.scan_problems(spark, path, FIELDS).orderBy("id", "problem").limit(SHOWN_PROBLEMS + 1).collect()
+    if found:
+        told = [f"{r['id'] or path}: {r['problem']}" for r in found]
+        raise ValueError("; ".join(told[:SHOWN_PROBLEMS] + ["and more: see validate"] * (len(told) > SHOWN_PROBLEMS)))
+    return files.scan_file(spark, path)
 
 
 def logged(spark: SparkSession, sites: DataFrame, evals: str, results: str, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -55,24 +88,35 @@ def logged(spark: SparkSession, sites: DataFrame, evals: str, results: str, s: S
 
 
 def command_scan(spark, a, s):
-    sites = scan_tree(spark, a.root, s)
-    write_scan(sites, a.out)
-    render.show(sites.select("id", "line", F.col("model.value").alias("model"), F.col("model.source").alias("source"), C.prompt_resolved().alias("prompt"), "file").orderBy("file", "line").drop("file"))
+    """Finds the call sites of a source tree; files that can't be read are warnings."""
+    facts = S.scan_facts(_tree(spark, a.root, s))
+    sites, warnings = kept(S.scan_sites(facts), "scanned"), S.scan_warnings(facts)
+    totals = kept(S.scan_totals(facts, sites), "scan-totals")
+    write_scan(sites, a.out, totals, warnings, a.root)
+    render.show(S.ordered(sites).select("id", "line", F.col("model.value").alias("model"), F.col("model.source").alias("source"), C.prompt_resolved().alias("prompt"), "output_format"))
+    n = totals.first()
+    print(f"{n['call_sites']} call sites in {n['files_scanned']} files, models resolved {n['models_resolved']}/{n['call_sites']}, prompts resolved {n['prompts_resolved']}/{n['call_sites']}")
+    for r in warnings.orderBy("repo", "rel", "line").select(_told()).toLocalIterator():
+        print(f"warning: {r[0]}", file=sys.stderr)
     return 0
 
 
 def command_validate(spark, a, s):
-    problems = files.scan_problems(spark, a.scan, FIELDS).collect()
-    warnings = [] if problems else C.lint(files.scan_file(spark, a.scan), a.generated_by).orderBy("id").collect()
-    for r in problems:
-        print(f"error: {r['id']}: {r['problem']}")
-    for r in warnings:
+    """Prints the problems of scan files, else what shows an unfinished audit, one partition at a time."""
+    problems = kept(files.scan_problems(spark, a.scan, FIELDS), "scan-problems")
+    for r in problems.orderBy("id", "problem").toLocalIterator():
+        print(f"error: {r['id'] or a.scan}: {r['problem']}")
+    if not problems.isEmpty():
+        return 1
+    by = a.generated_by or files.scan_heads(spark, a.scan).first()["generated_by"]
+    warnings = kept(C.lint(files.scan_file(spark, a.scan), by), "scan-lint")
+    for r in warnings.orderBy("id", "warning").toLocalIterator():
         print(f"warning: {r['id'] or 'scan'}: {r['warning']}")
-    return int(bool(problems or a.strict and warnings))
+    return int(a.strict and not warnings.isEmpty())
 
 
 def command_compare(spark, a, s):
-    before, after = files.scan_file(spark, a.before), files.scan_file(spark, a.after)
+    before, after = read_scan(spark, a.before), read_scan(spark, a.after)
     C.compare_metrics(before, after).orderBy("metric").show(truncate=False)
     render.show(C.compare(before, after).orderBy("id"))
     return 0
@@ -81,7 +125,7 @@ def command_compare(spark, a, s):
 def command_check_evals(spark, a, s):
     """Prints what is wrong with the eval sets, errors first, and the totals; rows come to the driver one partition at a time."""
     cases, problems = files.eval_cases(spark, a.evals)
-    report = kept(E.set_report(cases, files.scan_file(spark, a.scan), problems), "set-report")
+    report = kept(E.set_report(cases, read_scan(spark, a.scan), problems), "set-report")
     for r in report.orderBy("severity", "slug", F.col("line").asc_nulls_first(), "problem").toLocalIterator():
         print(f"{r['severity']}: {r['slug']}{'' if r['line'] is None else ' line ' + str(r['line'])}: {r['problem']}")
     n = E.set_totals(report, cases).first()
@@ -98,7 +142,7 @@ def _clients(s: Settings, client, judge):
 
 def _cases(spark, a, s: Settings) -> DataFrame:
     """The eval cases of the asked call sites with their filled-in prompt; sites whose set has problems are named and left out."""
-    sites = files.scan_file(spark, a.scan)
+    sites = read_scan(spark, a.scan)
     if a.site:
         sites = E.select_only(sites, "id", a.site)
     cases, problems = files.eval_cases(spark, a.evals)
@@ -167,7 +211,7 @@ def command_rescore(spark, a, s, client=None, judge=None):
 def command_evalgen(spark, a, s, client=None, judge=None):
     """Has a model write eval cases for call sites that have none yet."""
     make, _ = _clients(s, client, judge)
-    sites = files.scan_file(spark, a.scan)
+    sites = read_scan(spark, a.scan)
     if a.site:
         sites = E.select_only(sites, "id", a.site)
     skipped = E.generation_skips(sites)
@@ -187,7 +231,7 @@ def command_evalgen(spark, a, s, client=None, judge=None):
 
 
 def command_report(spark, a, s):
-    sites = files.scan_file(spark, a.scan)
+    sites = read_scan(spark, a.scan)
     rated, log = logged(spark, sites, a.evals, a.results, s)
     without = E.missing_evals(sites.select(F.col("id").alias("site_id"), slug_for("id").alias("slug")), files.eval_cases(spark, a.evals)[0])
     with open(a.out, "w", encoding="utf-8") as file:
@@ -196,7 +240,7 @@ def command_report(spark, a, s):
 
 
 def command_export(spark, a, s):
-    sites = files.scan_file(spark, a.scan)
+    sites = read_scan(spark, a.scan)
     rated, log = logged(spark, sites, a.evals, a.results, s)
     known = files.eval_cases(spark, a.evals)[0].withColumnRenamed("id", "case_id").join(F.broadcast(sites.select(F.col("id").alias("site_id"), slug_for("id").alias("slug"))), "slug")
     decisions = D.decide(rated, s)
@@ -212,7 +256,7 @@ def _diffed(diffs: DataFrame, a) -> int:
 
 
 def command_estimate(spark, a, s):
-    return _diffed(C.diff(C.estimate(files.scan_file(spark, a.before), s), C.estimate(files.scan_file(spark, a.after), s)), a)
+    return _diffed(C.diff(C.estimate(read_scan(spark, a.before), s), C.estimate(read_scan(spark, a.after), s)), a)
 
 
 def command_diff(spark, a, s):
@@ -238,7 +282,7 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(flag, default=default, type=float if x == "fail_above" else int if x in ("limit", "cases") else str, action="append" if x in ("site", "model") else "store")
 
     add("scan", "root", out="scan.json")
-    add("validate", "scan", strict=False, generated_by="ast")
+    add("validate", "scan", strict=False, generated_by=None)
     add("compare", "before", "after")
     add("check-evals", "scan", "evals", strict=False)
     chosen = {"site": None, "model": None, "limit": None}

@@ -169,6 +169,31 @@ def scan_definitions(spark, d):
     return found.select("id", F.col("model.value").alias("model"), F.col("model.source").alias("source"), F.get("messages", 0)["content"].alias("prompt"))
 
 
+def rough_sources(spark, d):
+    """A file for each supplier, of which every tenth is cut off in the middle of a call and every fifteenth is no UTF-8."""
+    rows, n = sources(spark, d), F.regexp_extract("rel", "svc_([0-9]+)", 1).cast("bigint")
+    text = F.decode("content", "UTF-8")
+    cut = F.encode(F.concat(text, F.lit("\n\nask_x(1,\n")), "UTF-8")
+    return rows.withColumn("content", F.when(n % 15 == 7, F.concat("content", F.lit(b"# \xff\xfe\n"))).when(n % 10 == 3, cut).otherwise(F.col("content")))
+
+
+_ROUGH_SQL = "with s as (select s_suppkey, s_suppkey % 15 = 7 as bytes, s_suppkey % 10 = 3 as cut from supplier)"
+
+
+@query(f"""{_ROUGH_SQL} select count(*) as files_scanned, count(*) filter (bytes or cut) as warnings, count(*) filter (not bytes and not cut) as call_sites,
+  count(*) filter (not bytes and not cut and s_suppkey % 6 <> 5) as models_resolved, count(*) filter (not bytes and not cut) as prompts_resolved from s""")
+def scan_totals(spark, d):
+    """Files, warnings, call sites and what is known of them, all from one parse."""
+    facts = S.scan_facts(S.python_files(rough_sources(spark, d)))
+    return S.scan_totals(facts, S.scan_sites(facts))
+
+
+@query(f"""{_ROUGH_SQL} select 'app/svc_' || s_suppkey || '.py' as rel, case when bytes then null else 18 end as line, case when bytes then 'could not read file' else 'syntax error' end as warning from s where bytes or cut""")
+def scan_file_warnings(spark, d):
+    """The files that can't be read or parsed, syntax errors with their line."""
+    return S.scan_warnings(S.file_facts(S.python_files(rough_sources(spark, d)))).select("rel", "line", F.substring_index("warning", ",", 1).alias("warning"))
+
+
 #: Statuses as a price list would know them: an order's status holds from its date on.
 @query("""select l.l_orderkey, l.l_linenumber, l.l_shipdate as at, (select max(o.o_orderkey) from orders o where o.o_custkey = c.o_custkey and o.o_orderdate =
     (select max(o2.o_orderdate) from orders o2 where o2.o_custkey = c.o_custkey and o2.o_orderdate < l.l_shipdate)) as last_order

@@ -11,7 +11,7 @@ CALL_SITE = (
     "output_format string, temperature double, max_tokens int, via string, callers array<string>, notes array<string>, "
     "purpose string, output_contract string, difficulty string, grading string, found_by string"
 )
-SCAN_FILE = f"schema_version int, tool string, tool_version string, generated_by string, root string, warnings array<string>, call_sites array<struct<{CALL_SITE.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' boolean', ':boolean').replace(' array', ':array').replace(' struct', ':struct')}>>"
+SCAN_FILE = f"schema_version int, tool string, tool_version string, generated_by string, root string, summary struct<files_scanned:bigint>, warnings array<string>, call_sites array<struct<{CALL_SITE.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' boolean', ':boolean').replace(' array', ':array').replace(' struct', ':struct')}>>"
 RESULT_ROW = (
     "case_id string, model string, output string, prompt_tokens bigint, completion_tokens bigint, latency_s double, score double, "
     "passed boolean, detail string, judge_score int, error string, judge_model string, run bigint, pos bigint"
@@ -23,6 +23,7 @@ OUTPUT_FORMATS = ["text", "json"]
 DIFFICULTIES = ["easy", "medium", "hard"]
 GRADINGS = ["exact", "json_fields", "judge"]
 PRODUCERS = ["ast", "auditor", "manual"]
+MODEL_SOURCES = ["literal", "constant", "env_default", "env", "dict_lookup", "parameter_default", "kwargs", "dynamic", "missing"]
 HOURS_PER_MONTH, DAYS_PER_MONTH = 730, 30
 DEFAULT_COMPLETION_TOKENS = 256
 JUDGE_EXTRA_PROMPT_TOKENS, JUDGE_COMPLETION_TOKENS = 150, 200

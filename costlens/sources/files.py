@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import model_filename, slug_for
-from ..schemas import DIFFICULTIES, GRADINGS, OUTPUT_FORMATS, PRODUCERS, RESULT_ROW, SCAN_FILE
+from ..schemas import DIFFICULTIES, GRADINGS, MODEL_SOURCES, OUTPUT_FORMATS, PRODUCERS, RESULT_ROW, SCAN_FILE
 
 
 def source_tree(spark: SparkSession, root: str, repo: str = "repo") -> DataFrame:
-    """``(repo, rel, content)`` of the Python files below ``root``, by Spark's binary reader."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
-    tail = F.element_at(F.split("path", f"{root.rstrip('/')}/", 2), -1)
-    return raw.select(F.lit(repo).alias("repo"), tail.alias("rel"), "content")
+    """``(repo, rel, content)`` of the Python files below ``root``, or of the one file that it is, by Spark's binary reader."""
+    root = root.rstrip("/")
+    plain = re.sub(r"([{}\[\]*?\\])", r"\\\1", root)  # a folder's name is no pattern
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(plain)
+    rest = F.substr("path", F.locate(root, "path") + len(root) + 1)
+    rel = F.when(rest == "", root.rsplit("/", 1)[-1]).otherwise(rest)  # a single file is its own root
+    return raw.select(F.lit(repo).alias("repo"), rel.alias("rel"), "content")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -82,16 +86,26 @@ def scan_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: F.coalesce(c, default) for c, default in defaults.items()})
 
 
+def scan_heads(spark: SparkSession, path: str) -> DataFrame:
+    """``(root, generated_by, tool_version, files_scanned, warnings)`` of scan files."""
+    raw = spark.read.schema(SCAN_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    empty = F.array().cast("array<string>")
+    return raw.select("root", F.coalesce("generated_by", F.lit("ast")).alias("generated_by"), "tool_version", F.col("summary.files_scanned").alias("files_scanned"), F.coalesce("warnings", empty).alias("warnings"))
+
+
 #: What the fields of a call site must be in a scan file: the JSON types of each (as Spark names them), and a rule on the value.
 _TEXT, _LIST = "STRING", "ARRAY<(STRING|VOID)?>"
 _SITE_RULES = {
     "id": (_TEXT, "<> ''"), "file": (_TEXT, "<> ''"), "function": (_TEXT, "<> ''"), "api": (_TEXT, "<> ''"),
-    "line": ("BIGINT", ">= 1"), "end_line": ("BIGINT|VOID", ">= 1"), "is_async": ("BOOLEAN|VOID", None), "model": ("OBJECT<.*>|VOID", None), "messages": ("ARRAY<.*>|VOID", None),
+    "line": ("BIGINT", ">= 1"), "end_line": ("BIGINT|VOID", ">= 1"), "is_async": ("BOOLEAN|VOID", None), "model": ("OBJECT<.*>", None), "messages": ("ARRAY<.*>|VOID", None),
     "output_format": ("STRING|VOID", f"in {tuple(OUTPUT_FORMATS)}"), "temperature": (r"BIGINT|DOUBLE|DECIMAL\(.*\)|VOID", None), "max_tokens": ("BIGINT|VOID", ">= 1"), "via": ("STRING|VOID", "<> ''"),
     "callers": (f"{_LIST}|VOID", None), "notes": (f"{_LIST}|VOID", None), "purpose": ("STRING|VOID", None), "output_contract": ("STRING|VOID", None),
     "difficulty": ("STRING|VOID", f"in {tuple(DIFFICULTIES)}"), "grading": ("STRING|VOID", f"in {tuple(GRADINGS)}"), "found_by": ("STRING|VOID", f"in {tuple(PRODUCERS)}"),
 }
-_NEEDED = ["id", "file", "function", "api", "line"]
+_NEEDED = ["id", "file", "function", "api", "line", "model"]
+#: The same of a call site's model and of each message.
+_MODEL_RULES = {"value": ("STRING|VOID", "<> ''"), "source": (_TEXT, f"in {tuple(MODEL_SOURCES)}"), "expression": (_TEXT, None), "env_var": ("STRING|VOID", "<> ''"), "defined_in": ("STRING|VOID", "<> ''")}
+_MESSAGE_RULES = {"role": (_TEXT, "<> ''"), "content": (_TEXT, None), "resolved": ("BOOLEAN", None)}
 
 
 def scan_problems(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
@@ -104,23 +118,37 @@ def scan_problems(spark: SparkSession, path: str, known: list[str]) -> DataFrame
     return of_file.unionByName(site_problems(whole.select(F.posexplode(listed).alias("at", "s")), known))
 
 
-def site_problems(sites: DataFrame, known: list[str]) -> DataFrame:
-    """``(id, problem)`` of ``sites(at, s)``, call sites as VARIANT with their place in the list; a site without an id is named by its place."""
-    text = F.to_json("s")
-    is_object = F.startswith(F.schema_of_variant("s"), F.lit("OBJECT"))
-    unknown = F.array_sort(F.array_except(F.json_object_keys(text), F.array(*map(F.lit, known))))
-    found = [F.when(~is_object, "is no object"), F.when(F.size(unknown) > 0, F.concat(F.lit("unknown field "), F.array_join(unknown, ", ")))]
-    for name, (kinds, rule) in _SITE_RULES.items():
-        value = F.try_variant_get("s", f"$.{name}", "variant")
-        wrong = ~F.schema_of_variant(value).rlike(f"^({kinds})$")
-        if name in _NEEDED:
-            found.append(F.when(is_object & value.isNull(), f"{name} is missing"))
-        found.append(F.when(value.isNotNull() & wrong, f"{name} must be {kinds.replace('|VOID', ' or null').split('<')[0].lower()}"))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _broken(variant: str, rules: dict[str, tuple[str, str | None]], needed: list[str], known: list[str]) -> str:
+    """SQL of the list of what is wrong with a VARIANT by ``rules``; one text for all rules, as columns made one by one take seconds to build."""
+    is_object = f"coalesce(startswith(schema_of_variant({variant}), 'OBJECT'), false)"
+    unknown = f"array_sort(array_except(json_object_keys(to_json({variant})), array({', '.join(map(_quoted, known))})))"
+    found = [f"if({is_object}, null, 'is no object')", f"if(size({unknown}) > 0, concat('unknown field ', array_join({unknown}, ', ')), null)"]
+    for name, (kinds, rule) in rules.items():
+        value = f"try_variant_get({variant}, '$.{name}', 'variant')"
+        fits = f"schema_of_variant({value}) rlike {_quoted(f'^({kinds})$')}"
+        if name in needed:
+            found.append(f"if({is_object} and {value} is null, '{name} is missing', null)")
+        found.append(f"if({value} is not null and not {fits}, {_quoted(f'{name} must be ' + kinds.replace('|VOID', ' or null').split('<')[0].lower())}, null)")
         if rule:
-            typed = F.expr(f"try_variant_get(s, '$.{name}', '{'bigint' if rule.startswith('>=') else 'string'}') {rule}")
-            found.append(F.when(value.isNotNull() & ~wrong & ~F.coalesce(typed, F.lit(True)), f"{name} must be {rule.replace('<> ' + chr(39) * 2, 'non-empty')}"))
+            typed = f"try_variant_get({variant}, '$.{name}', '{'bigint' if rule.startswith('>=') else 'string'}')"
+            shown = rule.replace("<> ''", "non-empty")
+            found.append(f"if({value} is not null and {fits} and not coalesce({typed} {rule}, true), {_quoted(f'{name} must be {shown}')}, null)")
+    return f"array_compact(array({', '.join(found)}))"
+
+
+def site_problems(sites: DataFrame, known: list[str]) -> DataFrame:
+    """``(id, problem)`` of ``sites(at, s)``, call sites as VARIANT with their place in the list; a site without an id is named by its place. Those of its model and its messages name them first."""
+    model = "try_variant_get(s, '$.model', 'variant')"
+    of_model = f"if(startswith(schema_of_variant({model}), 'OBJECT'), transform({_broken(model, _MODEL_RULES, ['source', 'expression'], list(_MODEL_RULES))}, p -> concat('model: ', p)), null)"
+    of_message = f"transform({_broken('m', _MESSAGE_RULES, ['role', 'content'], list(_MESSAGE_RULES))}, p -> concat('messages[', i, ']: ', p))"
+    of_messages = f"flatten(transform(try_variant_get(s, '$.messages', 'array<variant>'), (m, i) -> {of_message}))"
+    lists = [_broken("s", _SITE_RULES, _NEEDED, known), *(f"coalesce({x}, cast(array() as array<string>))" for x in (of_model, of_messages))]
     named = F.coalesce(F.try_variant_get("s", "$.id", "string"), F.concat(F.lit("call_sites["), F.col("at").cast("string"), F.lit("]")))
-    rows = sites.select(named.alias("id"), F.array_compact(F.array(*found)).alias("problems"))
+    rows = sites.select(named.alias("id"), F.expr(f"concat({', '.join(lists)})").alias("problems"))
     odd = rows.select("id", F.explode("problems").alias("problem"))
     twice = rows.groupBy("id").count().filter("count > 1").select("id", F.lit("duplicate id").alias("problem"))
     return odd.unionByName(twice)

@@ -70,3 +70,45 @@ def test_a_report_names_sites_without_cases(spark, project):
     run("run", *where, client=lambda: FixedClient("yes."))
     run("report", *where, "--out", f"{project}/report.md")
     assert "- other.py::other: no eval cases" in (project / "report.md").read_text()
+
+
+def test_a_scan_tells_its_files_and_warnings(spark, project, capsys):
+    (project / "app" / "broken.py").write_text("x = 1\ndef f(:\n")
+    (project / "app" / "plain.py").write_text("x = 1\n")
+    assert cli.main(["--config", f"{project}/c.json", "scan", f"{project}/app", "--out", f"{project}/scan.json"], spark) == 0
+    told = capsys.readouterr()
+    assert "1 call sites in 3 files, models resolved 1/1, prompts resolved 1/1" in told.out and "warning: broken.py:2: syntax error" in told.err
+    doc = json.loads((project / "scan.json").read_text())
+    assert doc["summary"] == {"files_scanned": 3, "call_sites": 1, "models_resolved": 1, "prompts_resolved": 1}
+    assert [w.split(",")[0] for w in doc["warnings"]] == ["broken.py:2: syntax error"] and len(doc["call_sites"]) == 1
+    assert cli.main(["validate", f"{project}/scan.json", "--strict"], spark) == 0
+
+
+BROKEN = [
+    ({"line": 0}, "line must be >= 1"),
+    ({"model": None}, "model must be object"),
+    ({"model": {"value": "m", "source": "guess", "expression": "m"}}, "model: source must be in"),
+    ({"model": {"value": 3, "source": "literal", "expression": "m", "extra": 1}}, "model: value must be string or null"),
+    ({"messages": [{"role": "user", "content": "x"}, {"role": "user"}, "text"]}, r"messages\[1\]: content is missing; a.py::f: messages\[2\]: is no object"),
+    ({"messages": [{"role": "", "content": "x", "resolved": "yes"}]}, "role must be non-empty"),
+    ({"mystery": 1}, "unknown field mystery"),
+]
+
+
+@pytest.mark.parametrize(("change", "problem"), BROKEN)
+def test_no_command_takes_a_broken_scan(spark, project, change, problem, capsys):
+    import re
+
+    site = {"id": "a.py::f", "file": "a.py", "line": 1, "function": "f", "api": "x", "model": {"value": "m", "source": "literal", "expression": "'m'"}} | change
+    (project / "bad.json").write_text(json.dumps({"schema_version": 1, "call_sites": [site]}))
+    assert cli.main(["--config", f"{project}/c.json", "estimate", f"{project}/bad.json", f"{project}/bad.json"], spark) == 2
+    assert re.search(problem, capsys.readouterr().err)
+    assert cli.main(["validate", f"{project}/bad.json"], spark) == 1
+
+
+def test_a_scan_of_another_version_or_with_repeated_ids_is_bad_input(spark, project, capsys):
+    site = {"id": "a.py::f", "file": "a.py", "line": 1, "function": "f", "api": "x", "model": {"value": None, "source": "env", "expression": "m"}}
+    for doc, problem in (({"schema_version": 2, "call_sites": []}, "schema_version must be 1"), ({"schema_version": 1, "call_sites": [site, site]}, "duplicate id")):
+        (project / "bad.json").write_text(json.dumps(doc))
+        assert cli.main(["compare", f"{project}/bad.json", f"{project}/bad.json"], spark) == 2
+        assert problem in capsys.readouterr().err

@@ -6,6 +6,7 @@ import pytest
 
 from costlens.operators import scan as S
 from costlens.operators.asof import last_before
+from costlens.sources import files
 
 HEAD = 'from openai import OpenAI\nfrom lib import TABLE as T, WHO\nimport lib\nROUTES = {"fast": "f", "slow": "s", "env": os.getenv("LLM", "e")}\nNAME = "top"\nclient = OpenAI()\n'
 LIB = 'TABLE = {"far": "far_model", "env": os.environ["M"]}\nWHO = "Dear " + name\nASK = [{"role": "user", "content": WHO}]\nMODEL = "lib_model"\n'
@@ -70,3 +71,19 @@ def test_last_before_by_force(spark, strict):
         best = max(((e[1], -e[2]) for e in fits), default=None)
         assert (r["event"] is None) if best is None else (r["event"]["at"], -r["event"]["first"]) == best
     assert len(got) == 200
+
+
+def test_warnings_and_totals_come_from_the_same_facts(spark):
+    rows = [("r", "a.py", b"x = 1\n"), ("r", "b.py", b"def f(:\n"), ("r", "c.py", b"\xff\xfe"), ("r", "d.py", b""), ("r", "e.py", None)]
+    facts = S.scan_facts(spark.createDataFrame(rows, "repo string, rel string, content binary"))
+    warnings = {r["rel"]: (r["line"], r["warning"].split(",")[0]) for r in S.scan_warnings(facts).collect()}
+    assert warnings == {"b.py": (1, "syntax error"), "c.py": (None, "could not read file")}
+    assert S.scan_totals(facts, S.scan_sites(facts)).first().asDict() == {"files_scanned": 5, "warnings": 2, "call_sites": 0, "models_resolved": 0, "prompts_resolved": 0}
+
+
+def test_a_tree_root_is_no_pattern_and_may_be_a_file(spark, tmp_path):
+    root = tmp_path / "c++ [x] {y}"
+    (root / "in").mkdir(parents=True)
+    (root / "in" / "a.py").write_text("A = 1\n")
+    rel = lambda at: [r["rel"] for r in files.source_tree(spark, str(at)).collect()]
+    assert rel(root) == ["in/a.py"] and rel(root / "in" / "a.py") == ["a.py"]
