@@ -250,6 +250,15 @@ def command_export(spark, a, s):
     return 0
 
 
+def command_audit(spark, a, s):
+    """Sets an audit beside the scan before it and the one after it, where they are given: figures on the console, all of it as documents."""
+    optional = lambda path: None if path is None else read_scan(spark, path)
+    audit, ast, after = read_scan(spark, a.audit), optional(a.ast), optional(a.ast_after)
+    render.show(C.metrics_over(render.audit_scans(audit, ast, after)).orderBy("metric"))
+    render.write_payloads(render.audit_payload(audit, ast, after), a.out)
+    return 0
+
+
 def _diffed(diffs: DataFrame, a) -> int:
     print(render.diff_report(diffs))
     return int(a.fail_above is not None and C.fails_above(C.diff_totals(diffs), a.fail_above))
@@ -291,6 +300,7 @@ def parser() -> argparse.ArgumentParser:
     add("evalgen", "scan", out="evals", cases=25, site=None, model=None)
     add("report", "scan", "evals", "results", out="report.md")
     add("export", "scan", "evals", "results", out="export")
+    add("audit", "audit", ast=None, ast_after=None, out="audit")
     add("estimate", "before", "after", fail_above=None)
     add("diff", "base", "head", repo=".", path="", fail_above=None)
     return top

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,27 @@ def compare_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     return metrics(before).withColumnRenamed("value", "before").join(metrics(after).withColumnRenamed("value", "after"), "metric")
 
 
+def metrics_over(scans: dict[str, DataFrame]) -> DataFrame:
+    """(metric, and a column for each of the named scans): a scan's figures are a row of counts, so all of them are."""
+    tagged = [metrics(sites).withColumn("scan", F.lit(name)) for name, sites in scans.items()]
+    return reduce(DataFrame.unionByName, tagged).groupBy("metric").pivot("scan", list(scans)).agg(F.first("value"))
+
+
+def presence(scans: dict[str, DataFrame]) -> DataFrame:
+    """(id, a struct for each of the named scans): every call site of any scan with what each says of it, null where it doesn't list it. One shuffle by id, whatever the number of scans."""
+    brief = F.struct("found_by", "via", F.col("model.value").alias("model"), F.col("model.source").alias("model_source"), prompt_resolved().alias("prompt_resolved"))
+    tagged = [sites.select("id", F.lit(name).alias("scan"), brief.alias("brief")) for name, sites in scans.items()]
+    return reduce(DataFrame.unionByName, tagged).groupBy("id").pivot("scan", list(scans)).agg(F.first("brief"))
+
+
+def fates(held: DataFrame, scans: list[str]) -> DataFrame:
+    """:func:`presence` with ``fate``, how a call site fares over the scans in their order: kept in all, gone after the first ones, new in the last ones, passing in between, or back after it was missing."""
+    there = F.array(*(F.col(s).isNotNull() for s in scans))
+    first, last = F.array_position(there, True), F.size(there) - F.array_position(F.reverse(there), True) + 1
+    whole = F.size(F.filter(there, lambda x: x)) == last - first + 1
+    return held.withColumn("fate", F.when(~whole, "back").when((first == 1) & (last == len(scans)), "kept").when(first == 1, "gone").when(last == len(scans), "new").otherwise("passing"))
+
+
 def compare(ast: DataFrame, audit: DataFrame) -> DataFrame:
     """(id, change, detail) for each call site of either scan: split, removed, added, resolved, changed, enriched or unchanged."""
     children = audit.filter(F.col("via").isNotNull()).groupBy(F.col("via").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("children"))

@@ -188,7 +188,7 @@ def scan_totals(spark, d):
     return S.scan_totals(facts, S.scan_sites(facts))
 
 
-@query(f"""{_ROUGH_SQL} select 'app/svc_' || s_suppkey || '.py' as rel, case when bytes then null else 18 end as line, case when bytes then 'could not read file' else 'syntax error' end as warning from s where bytes or cut""")
+@query(f"""{_ROUGH_SQL} select 'app/svc_' || s_suppkey || '.py' as rel, case when bytes then null else 17 end as line, case when bytes then 'could not read file' else 'syntax error' end as warning from s where bytes or cut""")
 def scan_file_warnings(spark, d):
     """The files that can't be read or parsed, syntax errors with their line."""
     return S.scan_warnings(S.file_facts(S.python_files(rough_sources(spark, d)))).select("rel", "line", F.substring_index("warning", ",", 1).alias("warning"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import callsites as C
 from ..operators import evals as E
 from ..operators.numbering import numbered
+from ..render import audit_payload
 from .bindings import SETTINGS, SIDES_SQL, call_sites, side_sql, table
 from .catalogue import query
 
@@ -384,3 +385,42 @@ def eval_set_report(spark, d):
 def eval_set_totals(spark, d):
     cases, sites = eval_sets(spark, d)
     return E.set_totals(E.set_report(cases, sites, spark.createDataFrame([], "slug string, line bigint, problem string")), cases)
+
+
+# ---- an audit beside the scans before and after it
+
+AFTER_SQL = "after as (select * replace (coalesce(model, 'm_big') as model, 'ast' as found_by) from head where conv_id % 3 <> 1)"
+
+
+def three_scans(spark, d):
+    """The scan before, the audit, and a later scan that knows every model but lacks a third of the call sites."""
+    head = call_sites(spark, d, True)
+    number = F.regexp_extract("id", "fn_([0-9]+)$", 1).cast("bigint")
+    model = F.struct(F.coalesce("model.value", F.lit("m_big")).alias("value"), F.coalesce("model.source", F.lit("constant")).alias("source"))
+    return {"ast": call_sites(spark, d, False), "audit": head, "ast_after": head.filter(number % 3 != 1).withColumns({"model": model, "found_by": F.lit("ast")})}
+
+
+@query(f"""with {SIDES_SQL}, {AFTER_SQL}, {METRICS_SQL.format('base')}, {METRICS_SQL.format('head')}, {METRICS_SQL.format('after')}
+select b.metric, b.value as ast, h.value as audit, a.value as ast_after from unpivot_base b join unpivot_head h using (metric) join unpivot_after a using (metric)""")
+def audit_metrics(spark, d):
+    return C.metrics_over(three_scans(spark, d))
+
+
+@query(f"""with {SIDES_SQL}, {AFTER_SQL} select id, b.id is not null as in_ast, h.id is not null as in_audit, a.id is not null as in_after, b.model as ast_model, h.model as audit_model, a.model as after_model,
+  h.prompt_resolved as audit_prompt, h.found_by as audit_found_by,
+  case when b.id is not null and h.id is not null and a.id is not null then 'kept' when b.id is not null and h.id is null and a.id is not null then 'back' when b.id is not null then 'gone' when a.id is not null then 'new' else 'passing' end as fate
+from base b full outer join head h using (id) full outer join after a using (id)""")
+def audit_presence(spark, d):
+    """Every call site of any of three scans, with what each says of it."""
+    scans = three_scans(spark, d)
+    rows = C.fates(C.presence(scans), list(scans))
+    there = [F.col(c).isNotNull().alias(n) for c, n in (("ast", "in_ast"), ("audit", "in_audit"), ("ast_after", "in_after"))]
+    return rows.select("id", *there, F.col("ast.model").alias("ast_model"), F.col("audit.model").alias("audit_model"), F.col("ast_after.model").alias("after_model"), F.col("audit.prompt_resolved").alias("audit_prompt"), F.col("audit.found_by").alias("audit_found_by"), "fate")
+
+
+@query(f"""with {SIDES_SQL}, {AFTER_SQL}, ids as (select id from base union select id from head union select id from after)
+select 'metric' as part, 6 as n union all select 'site', count(*) from ids union all select 'change', count(*) from base full outer join head using (id)""")
+def audit_documents(spark, d):
+    """How many documents of each kind an audit of three scans makes."""
+    s = three_scans(spark, d)
+    return audit_payload(s["audit"], s["ast"], s["ast_after"]).groupBy("part").agg(F.count("doc").alias("n"))

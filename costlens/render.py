@@ -119,11 +119,29 @@ def grid_payload(grid: DataFrame, models: list[str]) -> DataFrame:
     return grid.groupBy("site_id").agg(F.to_json(F.array_sort(F.collect_list(row)), {"ignoreNullFields": "false"}).alias("doc"))
 
 
-def audit_payload(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One document: the two scans' figures side by side and the changes by id."""
-    metrics = C.compare_metrics(before, after).agg(F.array_sort(F.collect_list(F.struct("metric", "before", "after"))).alias("metrics"))
-    changes = C.compare(before, after).filter("change <> 'unchanged'").agg(F.array_sort(F.collect_list(F.struct("id", "change", "detail"))).alias("changes"))
-    return metrics.crossJoin(changes).select(F.to_json(F.struct("metrics", "changes")).alias("doc"))
+#: What a figure of a scan is called where it is shown.
+METRIC_LABELS = {"call_sites": "Call sites", "models_resolved": "Models known", "prompts_resolved": "Prompts known", "enriched": "Described in full", "found_by_auditor": "Found by the auditor", "via_helper": "Behind a helper"}
+
+
+def audit_scans(audit: DataFrame, ast: DataFrame | None = None, ast_after: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The scans that there are, by name, in the order they were made."""
+    return {n: s for n, s in (("ast", ast), ("audit", audit), ("ast_after", ast_after)) if s is not None}
+
+
+def audit_payload(audit: DataFrame, ast: DataFrame | None = None, ast_after: DataFrame | None = None) -> DataFrame:
+    """``(part, key, doc)``: the audit as JSON documents, one for each figure (``metric``), call site of any scan (``site``) and, with ``ast``, change from it (``change``); a scan that wasn't given is null."""
+    scans = audit_scans(audit, ast, ast_after)
+    absent = [n for n in ("ast", "audit", "ast_after") if n not in scans]
+    to_doc = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("doc")
+    none = [F.lit(None).cast("string").alias(n) for n in absent]
+    label = F.create_map(*(F.lit(x) for pair in METRIC_LABELS.items() for x in pair))[F.col("metric")].alias("label")
+    out = C.metrics_over(scans).select(F.lit("metric").alias("part"), F.col("metric").alias("key"), to_doc("metric", label, *scans, *none))
+    sites = C.fates(C.presence(scans), list(scans))
+    out = out.unionByName(sites.select(F.lit("site").alias("part"), F.col("id").alias("key"), to_doc("id", "fate", *scans, *none)))
+    if ast is not None:
+        changes = C.compare(ast, audit)
+        out = out.unionByName(changes.select(F.lit("change").alias("part"), F.col("id").alias("key"), to_doc("id", F.col("change").alias("kind"), "detail")))
+    return out
 
 
 def write_payloads(docs: DataFrame, path: str) -> None:

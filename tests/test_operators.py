@@ -6,6 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from costlens import render
 from costlens.operators import callsites as C
 from costlens.operators import decide as D
 from costlens.operators import evals as E
@@ -350,3 +351,14 @@ def test_selectors(spark):
         E.select_only(sites, "site_id", ["a", "y", "x"])
     found = spark.createDataFrame([("c", "bad"), ("c", "worse")], "site_id string, problem string")
     assert {r["site_id"]: r["skipped"] for r in E.ready_sites(sites, found).collect()} == {"a": None, "b": "no eval file", "c": "2 problems"}
+
+
+def test_fates_of_call_sites_over_scans(spark):
+    kinds = "id string, model struct<value:string,source:string>, messages array<struct<role:string,content:string,resolved:boolean>>, purpose string, output_contract string, difficulty string, grading string, found_by string, via string"
+    scan = lambda *ids: spark.createDataFrame([(i, ("m", "literal"), None, None, None, None, None, "ast", None) for i in ids], kinds)
+    scans = {"ast": scan("a", "b", "c"), "audit": scan("a", "d", "e"), "ast_after": scan("a", "b", "e", "f")}
+    got = {r["id"]: r["fate"] for r in C.fates(C.presence(scans), list(scans)).collect()}
+    assert got == {"a": "kept", "b": "back", "c": "gone", "d": "passing", "e": "new", "f": "new"}
+    docs = {(r["part"], r["key"]): json.loads(r["doc"]) for r in render.audit_payload(scans["audit"]).collect()}
+    assert docs["metric", "call_sites"] == {"metric": "call_sites", "label": "Call sites", "audit": 3, "ast": None, "ast_after": None}
+    assert docs["site", "a"]["ast"] is None and docs["site", "a"]["audit"]["model"] == "m" and not [k for k in docs if k[0] == "change"]
