@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsonvalues import canonical as sorted_keys
 from ..functions.text import allowed_values, clip, expression_fields, graded_fields, normalize_text, placeholders, slug_for, strip_fences
 from ..schemas import MIN_CASES
 from .callsites import prompt_resolved, prompt_text
@@ -128,8 +129,8 @@ def missing_evals(sites: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def canonical(inputs: str = "inputs"):
-    """A flat map as JSON with sorted keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(inputs))))
+    """A map as JSON with sorted keys, at every depth: values that are JSON objects or arrays are written with theirs sorted and without spaces, other texts as they are."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(inputs, lambda _, value: sorted_keys(value))))))
 
 
 def first_of_equal(generated: DataFrame, key: str) -> DataFrame:

@@ -424,3 +424,13 @@ def audit_documents(spark, d):
     """How many documents of each kind an audit of three scans makes."""
     s = three_scans(spark, d)
     return audit_payload(s["audit"], s["ast"], s["ast_after"]).groupBy("part").agg(F.count("doc").alias("n"))
+
+
+@query(f"select site_id, ord, event_type, k from ({GENERATED_SQL}) qualify row_number() over (partition by site_id, event_type, k order by ord) = 1")
+def dedupe_nested_inputs(spark, d):
+    """Cases whose inputs hold an object of objects, written in either order of keys: the order makes no difference."""
+    e = table(spark, d, "events").select((F.col("user_id") % 40).alias("site_id"), F.col("event_id").alias("ord"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    one = F.format_string('{"at": {"k": %d, "of": ["%s", {"x": 1, "y": null}]}, "id": 7}', "k", "event_type")
+    other = F.format_string(' {"id":7,"at":{"of":["%s",{"y":null,"x":1}],"k":%d}}', "event_type", "k")
+    keyed = e.withColumn("inputs", F.create_map(F.lit("body"), F.when(F.col("ord") % 2 == 0, one).otherwise(other))).withColumn("key", E.canonical())
+    return E.first_of_equal(keyed, "key").select("site_id", "ord", "event_type", "k")

@@ -85,3 +85,15 @@ def test_set_report_of_nothing(spark):
     sites = spark.createDataFrame([], "id string, messages array<struct<role:string,content:string,resolved:boolean>>, output_contract string, grading string")
     report = E.set_report(cases, sites, spark.createDataFrame([], "slug string, line long, problem string"))
     assert report.count() == 0 and E.set_totals(report, cases).first()[:] == (0, 0, 0, 0)
+
+
+def test_generated_inputs_that_differ_in_nested_order_alone_are_one(spark):
+    cases = [{"inputs": {"a": {"x": 1, "y": [{"p": 1, "q": 2}]}, "b": "t"}, "expected": "1"}, {"inputs": {"b": "t", "a": {"y": [{"q": 2, "p": 1}], "x": 1}}, "expected": "2"}, {"inputs": {"a": {"x": 1, "y": [{"p": 1, "q": 3}]}, "b": "t"}, "expected": "3"}]
+    replies = spark.createDataFrame([("s", "f", json.dumps(cases))], "site_id string, function string, text string")
+    found, problems = E.parse_generated(replies, ["a", "b"])
+    assert sorted((r["id"], r["expected"]) for r in found.collect()) == [("f-01", "1"), ("f-02", "3")] and problems.count() == 0
+
+
+def test_the_canonical_form_leaves_texts_that_are_no_json(spark):
+    rows = spark.createDataFrame([({"b": "[no json", "a": "x"},), ({"a": "{}", "b": ""},), ({},), (None,)], "inputs map<string,string>")
+    assert [r[0] for r in rows.select(E.canonical()).collect()] == ['{"a":"x","b":"[no json"}', '{"a":"{}","b":""}', "{}", None]
