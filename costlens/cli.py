@@ -245,7 +245,8 @@ def command_export(spark, a, s):
     known = files.eval_cases(spark, a.evals)[0].withColumnRenamed("id", "case_id").join(F.broadcast(sites.select(F.col("id").alias("site_id"), slug_for("id").alias("slug"))), "slug")
     decisions = D.decide(rated, s)
     render.write_payloads(render.site_payload(rated, decisions, M.site_costs(decisions, rated, s)), os.path.join(a.out, "callsites"))
-    render.write_payloads(render.grid_payload(R.pass_grid(log, s.models), s.models), os.path.join(a.out, "evals"))
+    render.write_payloads(render.grid_payload(known, log, s.models), os.path.join(a.out, "evals"))
+    render.write_payloads(render.examples_payload(known, log, s.models, a.examples), os.path.join(a.out, "examples"))
     render.write_payloads(render.summary_payload(rated, log, known, s), os.path.join(a.out, "summary"))
     return 0
 
@@ -288,7 +289,7 @@ def parser() -> argparse.ArgumentParser:
             if default is False:
                 p.add_argument(flag, action="store_true")
             else:
-                p.add_argument(flag, default=default, type=float if x == "fail_above" else int if x in ("limit", "cases") else str, action="append" if x in ("site", "model") else "store")
+                p.add_argument(flag, default=default, type=float if x == "fail_above" else int if x in ("limit", "cases", "examples") else str, action="append" if x in ("site", "model") else "store")
 
     add("scan", "root", out="scan.json")
     add("validate", "scan", strict=False, generated_by=None)
@@ -299,7 +300,7 @@ def parser() -> argparse.ArgumentParser:
     add("rescore", "scan", "evals", "results", **chosen)
     add("evalgen", "scan", out="evals", cases=25, site=None, model=None)
     add("report", "scan", "evals", "results", out="report.md")
-    add("export", "scan", "evals", "results", out="export")
+    add("export", "scan", "evals", "results", out="export", examples=5)
     add("audit", "audit", ast=None, ast_after=None, out="audit")
     add("estimate", "before", "after", fail_above=None)
     add("diff", "base", "head", repo=".", path="", fail_above=None)

@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import render
 from ..operators import decide as D
 from ..operators import money as M
 from ..operators import results as R
@@ -327,3 +328,34 @@ def project_summary(spark, d):
     decisions = D.decide(r, SETTINGS)
     out = M.project_summary(decisions, M.site_costs(decisions, r, SETTINGS), spine(spark, d), latest(spark, d))
     return out.select("call_sites", "downgrades", "sets", "cases", F.array_join("judges", ",").alias("judges"), F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
+# ---- documents of cases
+
+
+def case_rows(spark, d):
+    line = F.col("line").cast("string")
+    return spine(spark, d).withColumns({"inputs": F.create_map(F.lit("body"), F.concat(F.lit("in "), line)), "expected": F.concat(F.lit("want "), line), "notes": F.lit(None).cast("string")})
+
+
+def answers(spark, d):
+    return latest(spark, d).withColumns({"output": F.concat(F.lit("out "), F.col("seq").cast("string")), "detail": F.lit(None).cast("string")})
+
+
+@query(domain("select site_id, case_id, " + ", ".join(f"max(passed) filter (model = '{m}') as {m}" for m in SETTINGS.models) + " from spine left join latest using (site_id, case_id) group by all"))
+def grid_documents(spark, d):
+    """What each model made of each case, read back from the documents; null where it never ran or failed."""
+    docs = render.grid_payload(case_rows(spark, d), answers(spark, d), SETTINGS.models)
+    kind = f"site_id string, id string, passed struct<{', '.join(f'{m}: boolean' for m in SETTINGS.models)}>"
+    return docs.select(F.from_json("doc", kind).alias("x")).select("x.site_id", F.col("x.id").alias("case_id"), "x.passed.*")
+
+
+@query(domain("""select s.site_id, s.case_id, 'in ' || s.line as body, 'want ' || s.line as expected, m.model, 'out ' || l.seq as output, l.passed, round(l.score, 4) as score, cast(l.judge_score as integer) as judge_score, l.error, 20 as cases
+  from spine s cross join models m left join latest l on l.site_id = s.site_id and l.case_id = s.case_id and l.model = m.model where s.line < 5"""))
+def example_documents(spark, d):
+    """The first five cases of each site with every model's last answer, read back from the documents."""
+    docs = render.examples_payload(case_rows(spark, d), answers(spark, d), SETTINGS.models, 5)
+    kind = "site_id string, cases int, examples array<struct<id: string, inputs: map<string, string>, expected: string, outputs: map<string, struct<output: string, passed: boolean, score: double, judge_score: int, error: string>>>>"
+    rows = docs.select(F.from_json("doc", kind).alias("x")).select("x.site_id", "x.cases", F.explode("x.examples").alias("e"))
+    rows = rows.select("site_id", "cases", F.col("e.id").alias("case_id"), F.col("e.inputs")["body"].alias("body"), "e.expected", F.explode("e.outputs").alias("model", "o"))
+    return rows.select("site_id", "case_id", "body", "expected", "model", "o.output", "o.passed", "o.score", "o.judge_score", "o.error", "cases")

@@ -11,6 +11,7 @@ from .functions.text import money, signed_money, slug_for
 from .operators import callsites as C
 from .operators import decide as D
 from .operators import money as M
+from .operators.results import first_cases
 from .schemas import Settings
 
 
@@ -113,10 +114,36 @@ def summary_payload(rated: DataFrame, latest: DataFrame, cases: DataFrame, setti
     return rows.select(F.to_json(F.struct(chosen.alias("settings"), *figures.columns, "analysis"), {"ignoreNullFields": "false"}).alias("doc"))
 
 
-def grid_payload(grid: DataFrame, models: list[str]) -> DataFrame:
-    """``(site_id, doc)``: the passes of every case and model, cases in order."""
-    row = F.struct("case_id", F.struct(*models).alias("passed"))
-    return grid.groupBy("site_id").agg(F.to_json(F.array_sort(F.collect_list(row)), {"ignoreNullFields": "false"}).alias("doc"))
+#: What an example tells of a model's last output.
+OUTPUT_FIELDS = ["output", "passed", "score", "judge_score", "detail", "error"]
+
+
+def _by_model(cases: DataFrame, latest: DataFrame, entry, models: list[str]) -> DataFrame:
+    """``cases`` with ``of``: a struct of every configured model and its last row as ``entry``, null where it has none. The log is cut to these models and gathered by case: a few rows each."""
+    rows = latest.filter(F.col("model").isin(*models)).groupBy("site_id", "case_id").agg(F.map_from_entries(F.collect_list(F.struct("model", entry))).alias("_held"))
+    whole = F.struct(*(F.try_element_at("_held", F.lit(m)).alias(m) for m in models))
+    return cases.join(rows, ["site_id", "case_id"], "left").withColumn("of", whole).drop("_held")
+
+
+def grid_payload(cases: DataFrame, latest: DataFrame, models: list[str]) -> DataFrame:
+    """``(site_id, line, doc)``: for each of ``cases(site_id, case_id, line)`` a document with what every model made of it; a site may have any number of cases, so each is a row."""
+    rows = _by_model(cases.select("site_id", "case_id", "line"), latest, F.col("passed"), models)
+    return rows.select("site_id", "line", F.to_json(F.struct("site_id", F.col("case_id").alias("id"), F.col("of").alias("passed")), {"ignoreNullFields": "false"}).alias("doc"))
+
+
+def examples_payload(cases: DataFrame, latest: DataFrame, models: list[str], n: int) -> DataFrame:
+    """``(site_id, slug, doc)``: a document for each site with its number of ``cases(site_id, case_id, line, inputs, expected, notes)``, and the first ``n`` of them as examples: what every model last answered, and null where one didn't."""
+    first = first_cases(cases, n)
+    held = latest.join(first.select("site_id", "case_id"), ["site_id", "case_id"], "left_semi")
+    shown = _by_model(first, held, F.struct(*(F.round(c, 4).alias(c) if c == "score" else F.col(c) for c in OUTPUT_FIELDS)), models)
+    entry = F.struct("line", F.col("case_id").alias("id"), "inputs", "expected", "notes", F.col("of").alias("outputs"))
+    place = lambda x: F.struct(x["line"], x["id"])
+    in_order = lambda x, y: F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0)  # noqa: E731 - maps have no order of their own
+    examples = shown.groupBy("site_id").agg(F.array_sort(F.collect_list(entry), in_order).alias("examples"))  # n of a site at most
+    sizes = cases.groupBy("site_id").agg(F.count("*").alias("cases"))
+    doc = F.struct("site_id", slug_for("site_id").alias("slug"), "cases", F.array(*map(F.lit, models)).alias("models"), "examples")
+    rows = sizes.join(examples, "site_id", "left")
+    return rows.select("site_id", slug_for("site_id").alias("slug"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc"))
 
 
 #: What a figure of a scan is called where it is shown.

@@ -112,3 +112,22 @@ def test_a_scan_of_another_version_or_with_repeated_ids_is_bad_input(spark, proj
         (project / "bad.json").write_text(json.dumps(doc))
         assert cli.main(["compare", f"{project}/bad.json", f"{project}/bad.json"], spark) == 2
         assert problem in capsys.readouterr().err
+
+
+def test_export_holds_examples_and_a_grid_of_every_model(spark, project):
+    site = {"id": "main.py::label", "file": "main.py", "line": 5, "function": "label", "api": "x", "model": {"value": "big", "source": "literal", "expression": "'big'"}}
+    (project / "scan.json").write_text(json.dumps({"schema_version": 1, "call_sites": [site]}))
+    log = project / "results" / "main__label"
+    log.mkdir(parents=True)
+    row = {"output": "yes", "prompt_tokens": 3, "completion_tokens": 1, "latency_s": 0.1, "score": 1.0, "passed": True, "detail": "match"}
+    (log / "big.jsonl").write_text("\n".join(json.dumps({"case_id": f"c{i}", "model": "big"} | row) for i in range(20)))
+    (log / "mid.jsonl").write_text(json.dumps({"case_id": "c1", "model": "mid", "error": "refused"}))
+    where = (f"{project}/scan.json", f"{project}/evals", f"{project}/results")
+    assert cli.main(["--config", f"{project}/c.json", "export", *where, "--out", f"{project}/export", "--examples", "2"], spark) == 0
+    docs = lambda part: [json.loads(json.loads(line)["doc"]) for f in (project / "export" / part).glob("*.json") for line in f.read_text().splitlines()]
+    (found,) = docs("examples")
+    assert (found["cases"], found["models"], [e["id"] for e in found["examples"]]) == (20, ["big", "mid"], ["c0", "c1"])
+    assert found["examples"][0]["inputs"] == {"text": "t0"} and found["examples"][0]["outputs"]["mid"] is None
+    assert found["examples"][1]["outputs"] == {"big": {"output": "yes", "passed": True, "score": 1.0, "judge_score": None, "detail": "match", "error": None}, "mid": {"output": None, "passed": None, "score": None, "judge_score": None, "detail": None, "error": "refused"}}
+    grid = {g["id"]: g["passed"] for g in docs("evals")}
+    assert len(grid) == 20 and grid["c0"] == {"big": True, "mid": None}
