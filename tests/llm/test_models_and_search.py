@@ -145,6 +145,31 @@ def test_recall_in_dense_regions(spark, n):
     assert recall(got, brute_nearest(rows, [i for i, _ in rows if i % 20 == 0], 20)) >= 0.9
 
 
+def uneven(kind):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(4000, 16))
+    if kind == "norms":
+        return x * np.exp(1.5 * rng.normal(size=(len(x), 1)))
+    if kind == "sparse":
+        return x * (rng.random(x.shape) < 0.15) + 1e-6
+    if kind == "huge and tiny":
+        x[7] *= 1e12
+        return x * 1e-14
+    # one in twenty of the rows, those asked for, lies spread out beside tight heaps
+    x = rng.normal(size=(20, 16))[rng.integers(0, 20, len(x))] * 3 + x * 0.02
+    x[::20] = rng.normal(size=x[::20].shape) * 2
+    return x
+
+
+@pytest.mark.parametrize("kind", ["norms", "sparse", "huge and tiny", "queries apart"])
+def test_recall_over_many_lists_of_uneven_rows(spark, kind):
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(uneven(kind))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = op4_posting_lists.nearest(vectors, F.col("vec_id") % 20 == 0, size=20).collect()
+    assert len(got) == len(rows) // 20 * 20  # every query has its 20 rows
+    assert recall(got, brute_nearest(rows, [i for i, _ in rows if i % 20 == 0], 20)) >= 0.9
+
+
 def test_overfull_lists_are_split(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 6))
